@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from docloom.llm import sharding, url_filter
+from docloom.llm import sharding, url_filter, warc
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
+    "op6_warc": warc.op6_warc,
     "op9_sharding": sharding.op9_sharding,
 }
 
 ORACLES = {
     "op4_url_filter": url_filter.OP4_SQL,
+    "op6_warc": warc.OP6_SQL,
 }
