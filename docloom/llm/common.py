@@ -62,3 +62,50 @@ def ascii_lower(c: Column) -> Column:
 
 def crc_mod(c: Column, n: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(n))
+
+
+#: Keys that hold at least 1/HOT_SHARE of all rows are joined by broadcast: there are at most HOT_SHARE of them.
+HOT_SHARE = 10_000
+
+
+def join_by_share(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows left join table on key, where table has one row a key and ``weight``, the key's number of rows.
+
+    Hot keys go to every task (their number is bounded by HOT_SHARE), all others
+    are shuffled; rows of hot keys are then dealt at random. So no key gathers
+    its rows in one task. ``key`` may be null: such rows find nothing.
+    """
+    others = [c for c in table.columns if c not in (key, weight)]
+    hot = table.filter(F.col(weight) * HOT_SHARE >= total).select(F.col(key).alias("_hot_key"), F.struct(*others).alias("_hot"))
+    cold = table.filter(F.col(weight) * HOT_SHARE < total).select(F.col(key).alias("_cold_key"), F.struct(*others).alias("_cold"), F.lit(0).alias("_deal"))
+    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    # only the deal 0 finds anything; rows that are answered, or can't be, are spread over the others
+    settled = F.col("_hot").isNotNull() | F.col(key).isNull()
+    out = out.withColumn("_row_deal", F.when(settled, F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
+    out = out.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_row_deal") == F.col("_deal")), "left")
+    found = F.coalesce("_hot", "_cold")
+    return out.select(*rows.columns, *(found[c].alias(c) for c in others))
+
+
+def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
+    """(node, root) of every node that isn't the root of its component, from links (a, b).
+
+    Alternates large and small stars until nothing changes; the root is the
+    smallest node. Every round is a written table.
+    """
+    edges = ws.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
+    before, step = None, 0
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        step += 1
+        edges = ws.table(small, f"{name}-{step}")
+        state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
+        if step > 1:
+            ws.drop(f"{name}-{step - 2}")
+        if state == before or not state[0]:
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        before = state

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from docloom.llm import pieces, secrets, sharding, url_filter, warc
+from docloom.llm import jaccard, pieces, secrets, sharding, url_filter, warc
 
 QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_warc": warc.op6_warc,
+    "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_sharding": sharding.op9_sharding,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
