@@ -29,6 +29,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -40,8 +41,9 @@ SPACE = "▁"
 UNIT = 1_000_000
 NEVER = -(1 << 80)
 N_BEST = 4
-CACHE_CHUNKS = 150_000
+CACHE_CHUNKS = 120_000
 CACHED_CHARS = 64
+SLICE_CHARS = 1 << 20
 ALTERNATIVES = "array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>"
 ENCODED = f"ids array<int>, score double, others {ALTERNATIVES}"
 _EDIT = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -60,7 +62,7 @@ class Pieces:
         ranks = min(scores) < -1000
         self.bytes_of: list[bytes] = [b""] * size
         self.byte_ids = [0] * 256
-        self.trie: dict = {}  # by characters; 0 leads to the (score, ids) of a piece that ends there
+        self.edges: dict[str, tuple[int, tuple[int, ...]]] = {}
         lowest = 0
         for i in range(size):
             piece = sp.id_to_piece(i)
@@ -74,60 +76,59 @@ class Pieces:
                 shown = piece.replace(SPACE, " ")
                 if "\n" in shown[1:] or shown[:-1] and "\n" in shown or " " in shown.lstrip(" "):
                     raise ValueError("pieces cross the places where chunks are cut")
-                node = self.trie
-                for c in shown:
-                    node = node.setdefault(c, {})
-                node[0] = (score, (i,))
+                self.edges[shown] = (score, (i,))
         self.byte_score = lowest - 10 * UNIT
+        self.longest = max(map(len, self.edges), default=1)
 
-    def _bytes_edge(self, text: str, i: int) -> tuple[int, int, tuple[int, ...]]:
-        raw = text[i].encode("utf-8", "surrogatepass")
-        return i + 1, self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)
+    def _bytes_edge(self, c: str) -> tuple[int, tuple[int, ...]]:
+        raw = c.encode("utf-8", "surrogatepass")
+        return self.byte_score * len(raw), tuple(self.byte_ids[b] for b in raw)
 
     def _from(self, text: str, i: int) -> list[tuple[int, int, tuple[int, ...]]]:
         """Edges at i: end, score, ids."""
-        out, node, j = [], self.trie, i
-        while j < len(text) and (node := node.get(text[j])) is not None:
-            j += 1
-            if 0 in node:
-                out.append((j, *node[0]))
-        if not out or out[0][0] != i + 1:
-            out.insert(0, self._bytes_edge(text, i))
-        return out
-
-    def viterbi(self, text: str) -> tuple[list[int], int, int | None]:
-        """Ids of the best path, its score, and what the second path loses."""
-        n = len(text)
-        best = [NEVER] * (n + 1)
-        second = [NEVER] * (n + 1)
-        back: list = [None] * (n + 1)
-        best[0] = 0
-        for i in range(n):
-            a, b = best[i], second[i]
-            node, j, single = self.trie, i, False
-            while j < n:
-                node = node.get(text[j])
-                if node is None:
-                    break
-                j += 1
-                edge = node.get(0)
-                if edge is not None:
-                    single = single or j == i + 1
-                    x, y, old = a + edge[0], b + edge[0], best[j]
-                    if x > old:
-                        best[j], back[j] = x, (i, edge[1])
-                        second[j] = old if old > y else y
-                    elif x > second[j]:
-                        second[j] = x
-            if not single:
-                _, score, ids = self._bytes_edge(text, i)
-                x, y, old = a + score, b + score, best[i + 1]
-                best[i + 1], back[i + 1], second[i + 1] = (x, (i, ids), max(old, y)) if x > old else (old, back[i + 1], max(second[i + 1], x))
-        path, j = [], n
-        while j:
-            j, ids = back[j]
-            path.append(ids)
-        return list(chain.from_iterable(reversed(path))), best[n], None if second[n] <= NEVER // 2 else best[n] - second[n]
+        found = [(j, *self.edges[sub]) for j in range(i + 1, min(len(text), i + self.longest) + 1) if (sub := text[i:j]) in self.edges]
+        if not found or found[0][0] != i + 1:
+            found.insert(0, (i + 1, *self._bytes_edge(text[i])))
+        return found
+
+    def viterbi(self, texts):
+        """(ids of the best path, its score, what the second path loses) of each text.
+
+        Scores of a position depend on the text before it alone, so they are
+        kept for what a text has in common with the one before: sorted texts
+        share most of the work.
+        """
+        edges, longest = self.edges, self.longest
+        best, second, back, before = [0], [NEVER], [None], ""
+        for text in texts:
+            n = len(text)
+            k, most = 0, min(len(before), n)
+            while k < most and before[k] == text[k]:
+                k += 1
+            del best[k + 1 :], second[k + 1 :], back[k + 1 :]
+            for j in range(k + 1, n + 1):
+                top = next_best = NEVER
+                came = None
+                for i in range(j - 1, max(-1, j - 1 - longest), -1):
+                    edge = edges.get(text[i:j])
+                    if edge is None:
+                        if i < j - 1:
+                            continue
+                        edge = self._bytes_edge(text[i])
+                    x, y = best[i] + edge[0], second[i] + edge[0]
+                    if x > top:
+                        next_best = top if top > y else y
+                        top, came = x, (i, edge[1])
+                    elif x > next_best:
+                        next_best = x
+                best.append(top)
+                second.append(next_best)
+                back.append(came)
+            before, path, j = text, [], n
+            while j:
+                j, ids = back[j]
+                path.append(ids)
+            yield list(chain.from_iterable(reversed(path))), best[n], None if second[n] <= NEVER // 2 else best[n] - second[n]
 
     def nbest(self, text: str, n_best: int) -> list[tuple[int, list[int]]]:
         """The n best paths (score, ids) by backward A* with forward Viterbi scores."""
@@ -168,16 +169,23 @@ class Encoder:
         self.old: dict = {}
         self.others: dict = {}
 
-    def chunk(self, chunk: str):
-        """[ids, score, loss of the second path]; two generations of cache."""
-        got = self.old.get(chunk)
-        if got is None:
-            got = self.pieces.viterbi(chunk)
-        if len(chunk) <= CACHED_CHARS:
-            if len(self.new) >= CACHE_CHUNKS:
-                self.old, self.new = self.new, {}
-            self.new[chunk] = got
-        return got
+    def chunk_rows(self, chunked: list[list[str]]) -> dict:
+        """[ids, score, loss of the second path] of all chunks; two generations of cache."""
+        rows, missing = {}, []
+        for chunk in set(chain.from_iterable(chunked)):
+            got = self.new.get(chunk) or self.old.get(chunk)
+            if got is None:
+                missing.append(chunk)
+            else:
+                rows[chunk] = self.new[chunk] = got
+        missing.sort()
+        for chunk, got in zip(missing, self.pieces.viterbi(missing)):
+            rows[chunk] = got
+            if len(chunk) <= CACHED_CHARS:
+                self.new[chunk] = got
+        if len(self.new) >= CACHE_CHUNKS:
+            self.old, self.new = self.new, {}
+        return rows
 
     def alternatives(self, chunk: str, best: list[int]) -> list[tuple[int, list[int]]]:
         """(loss, ids) of the next best paths."""
@@ -191,13 +199,16 @@ class Encoder:
                 self.others[chunk] = got
         return got
 
-    def encode(self, text: str):
-        """(ids, score, [(score, [(at, drop, ids)])]): the best path, and the edits of the others."""
-        if not text:
+    def encode(self, texts: list[str | None]):
+        """(ids, score, [(score, [(at, drop, ids)])]) of each text: the best path, and the edits of the others."""
+        chunked = [self.CHUNK.findall(" " + t) if t else [] for t in texts]
+        rows = self.chunk_rows(chunked)
+        for text, chunks in zip(texts, chunked):
+            yield (None, None, []) if text is None else self._combined(chunks, [rows[c] for c in chunks])
+
+    def _combined(self, chunks: list[str], rows: list):
+        if not rows:
             return [], 0.0, []
-        chunks = self.CHUNK.findall(" " + text)
-        new = self.new
-        rows = [new.get(c) or self.chunk(c) for c in chunks]
         ids = list(chain.from_iterable([r[0] for r in rows]))
         score = sum([r[1] for r in rows])
         if self.n_best == 1:
@@ -251,57 +262,65 @@ def encoder(model: bytes, n_best: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def _add_columns(df: DataFrame, read_col: str, make, schema: str, types: list[pa.DataType]) -> DataFrame:
-    at = df.columns.index(read_col)
+def _batches(b: pa.RecordBatch, at: int):
+    """Slices of b of about SLICE_CHARS characters of the string column ``at``."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)) // SLICE_CHARS
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
+    for first, last in zip(cuts, cuts[1:]):
+        if last > first:
+            yield b.slice(first, last - first)
+
+
+def _extended(df: DataFrame, schema: str) -> StructType:
     new = df.sparkSession.createDataFrame([], schema).schema.fields
     if clash := {f.name for f in new} & set(df.columns):
         raise ValueError(f"there already: {sorted(clash)}")
-    out = StructType([*df.schema.fields, *new])
-
-    def add(batches):
-        step = make()
-        for b in batches:
-            made = [[] for _ in types]
-            for value in b.column(at).to_pylist():
-                for column, x in zip(made, step(value)):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([*b.columns, *map(pa.array, made, types)], names=out.names)
-
-    return df.mapInArrow(add, out)
+    return StructType([*df.schema.fields, *new])
 
 
-def encode_texts(df: DataFrame, model: bytes, n_best: int = N_BEST, text_col: str = "text") -> DataFrame:
+def encode_texts(df: DataFrame, model: bytes, n_best: int = N_BEST, text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """df with ids, score, others: the best path and the edits that give the others, best first.
 
+    With ``decoded``, also with a column of that name: what the ids decode to.
     Null texts give null ids and score and no others; empty ones no ids and the
     score 0. Rows, also repeated ones, and other columns stay as they are; a
     column named like a new one is an error.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
+    out, at = _extended(df, ENCODED + (f", {decoded} string" if decoded else "")), df.columns.index(text_col)
 
-    def make():
+    def run(batches):
         e = encoder(held.value, n_best)
-
-        def step(text):
-            if text is None:
-                return None, None, []
-            ids, score, others = e.encode(text)
-            return ids, score, [{"score": s, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in edits]} for s, edits in others]
-
-        return step
-
-    return _add_columns(df, text_col, make, ENCODED, [pa.list_(pa.int32()), pa.float64(), _OTHERS])
+        for whole in batches:
+            for b in _batches(whole, at):
+                flat, ends, valid, scores, others, texts = [], [0], [], [], [], []
+                for ids, score, more in e.encode(b.column(at).to_pylist()):
+                    valid.append(ids is not None)
+                    flat.append(np.array(ids or [], np.int32))
+                    ends.append(ends[-1] + len(flat[-1]))
+                    scores.append(score)
+                    others.append([{"score": s, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in edits]} for s, edits in more])
+                    if decoded:
+                        texts.append(None if ids is None else e.decode(ids))
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)), mask=pa.array([not v for v in valid]))
+                made = [lists, pa.array(scores, pa.float64()), pa.array(others, _OTHERS), *([pa.array(texts, pa.string())] if decoded else [])]
+                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=out.names)
+
+    return df.mapInArrow(run, out)
 
 
 def decode_ids(df: DataFrame, model: bytes, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """df with the text of ids_col; null ids give null."""
     held = df.sparkSession.sparkContext.broadcast(model)
+    out, at = _extended(df, f"{to} string"), df.columns.index(ids_col)
 
-    def make():
+    def run(batches):
         e = encoder(held.value, N_BEST)
-        return lambda ids: (None if ids is None else e.decode(ids),)
+        for b in batches:
+            texts = [None if ids is None else e.decode(ids) for ids in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=out.names)
 
-    return _add_columns(df, ids_col, make, f"{to} string", [pa.string()])
+    return df.mapInArrow(run, out)
 
 
 def model_bytes(path: str = MODEL_PATH) -> bytes:
@@ -313,7 +332,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document as count and hash, the scores of the best paths, and whether decoding gives the text back."""
     model = model_bytes()
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return decode_ids(encode_texts(docs, model), model).select(
+    return encode_texts(docs, model, decoded="decoded").select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
         F.xxhash64("ids").alias("ids_hash"),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.llm import jaccard, pieces, quality, secrets, sharding, url_filter, warc
+from docloom.llm import decontam, jaccard, pieces, quality, secrets, sharding, url_filter, warc
 
 QUERIES = {
+    "op2_decontamination": decontam.op2_decontamination,
     "op3_quality": quality.op3_quality,
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_secret_scan": secrets.op5_secret_scan,
