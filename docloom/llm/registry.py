@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontam, jaccard, pieces, quality, secrets, sharding, url_filter, warc
+from docloom.llm import decontam, jaccard, neighbours, pieces, quality, secrets, sharding, url_filter, warc
 
 QUERIES = {
     "op2_decontamination": decontam.op2_decontamination,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_url_filter": url_filter.op4_url_filter,
     "op5_secret_scan": secrets.op5_secret_scan,
     "op6_warc": warc.op6_warc,
+    "op7_nearest_neighbours": neighbours.op7_nearest_neighbours,
     "op8_ngram_jaccard": jaccard.op8_ngram_jaccard,
     "op9_sharding": sharding.op9_sharding,
     "op10_sentencepiece": pieces.op10_sentencepiece,
