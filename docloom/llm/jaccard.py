@@ -13,12 +13,10 @@ don't meet in the prefixes:
    that one node alone has fill the front of a prefix and find nobody.
 3. Nodes with equal size and equal prefixes form a group; groups meet in the
    lists of their prefix shingles, and are expanded to their members.
-4. Candidates of compatible size are verified on the whole sets: first with a
-   few pivots of each list, which links the bulk of a large group of copies in
-   linear work; then every pair of a list that is still in two components.
-
-Pairs already in one component are not verified: they can't change the result.
-A list is never held as a whole: it is read in chunks by the hash of the node.
+4. Candidates of compatible size are verified on the whole sets. Pairs of short
+   lists are written out. Long lists come from large groups of near copies:
+   there, blocks of nodes are compared block by block without a row for a pair,
+   and only links that join two components come back.
 """
 
 from __future__ import annotations
@@ -37,8 +35,10 @@ PERCENT = 80
 #: Part of the 48-bit hash space whose shingles are ordered by frequency; over 1 - PERCENT/100, so that it nearly always holds the prefix.
 BAND = 0.3
 HASH_BITS = 48
-PIVOTS = 8
-CHUNK_NODES = 2048
+#: Nodes of a list whose pairs are written out; longer lists are joined block by block.
+SHORT_LIST = 64
+BLOCK_NODES = 256
+COLUMNS = 8192
 #: Ids that go to all tasks by broadcast at most (8 bytes each); above, the join is a shuffle.
 BROADCAST_IDS = 2_000_000
 
@@ -217,33 +217,85 @@ def _links(ws: Workspace, docs: DataFrame, nodes: DataFrame, words: int, percent
     posts = ws.table(lists.join(several, "h").select("h", "g").unionByName(inner.select("h", "g")).join(groups, "g").select("h", "rid", "n"), "posts")
     sets = ws.table(whole_sets(docs, ws.table(posts.select("rid").distinct().join(nodes.select("rid", "node", "rep_doc"), "rid"), "wanted"), words), "sets")
 
-    order = F.xxhash64("rid")
-    pivots = posts.groupBy("h", F.pmod(order, F.lit(PIVOTS)).alias("part")).agg(F.min(F.struct(order.alias("o"), "rid", "n")).alias("p"))
-    first = posts.join(pivots, "h").filter((F.col("p.rid") != F.col("rid")) & fits(F.col("n"), F.col("p.n"), percent))
-    first = ws.table(first.select(F.least("rid", "p.rid").alias("a"), F.greatest("rid", "p.rid").alias("b")).distinct(), "first")
-    linked = ws.table(verified(first, sets, percent), "linked-1")
-    roots = components(ws, linked, "part")
-
-    # every pair of a list that is still in two components; asked from the smaller component
-    placed = posts.join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    sizes = placed.select("rid", "root").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    divided = placed.groupBy("h").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count(F.lit(1)).alias("k")).filter("r1 <> r2")
-    divided = ws.table(divided.select("h", "k"), "divided")
-    longest = divided.agg(F.max("k")).first()[0] or 0
-    placed = ws.table(placed.join(divided, "h").join(sizes, "root").select("h", "rid", "n", "root", "size"), "placed")
-    chunks = -(-longest // CHUNK_NODES) or 1
-    lists = placed.groupBy("h", F.pmod(order, F.lit(chunks)).alias("chunk")).agg(F.collect_list(F.struct("size", "root", "rid", "n")).alias("nodes"))
-
-    def partner(y):
-        later = (y["size"] > F.col("size")) | ((y["size"] == F.col("size")) & (y["root"] > F.col("root")))
-        return later & fits(y["n"], F.col("n"), percent)
-
-    found = F.transform(F.filter("nodes", partner), lambda y: y["rid"])
-    asked = placed.join(lists, "h").select("rid", "chunk", found.alias("found")).filter(F.size("found") > 0)
-    asked = asked.groupBy("rid", "chunk").agg(F.array_distinct(F.flatten(F.collect_list("found"))).alias("found"))
-    rest = asked.select("rid", F.explode("found").alias("other")).select(F.least("rid", "other").alias("a"), F.greatest("rid", "other").alias("b"))
-    rest = ws.table(rest.join(first, ["a", "b"], "left_anti"), "rest")
-    return linked.unionByName(ws.table(verified(rest, sets, percent), "linked-2"))
+    lengths = posts.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
+    short = posts.join(lengths.filter(F.col("k") <= SHORT_LIST).select("h"), "h")
+    other = short.select("h", F.col("rid").alias("b"), F.col("n").alias("m"))
+    pairs = short.join(other, "h").filter((F.col("rid") < F.col("b")) & fits(F.col("n"), F.col("m"), percent)).select(F.col("rid").alias("a"), "b").distinct()
+    links = ws.table(verified(ws.table(pairs, "pairs"), sets, percent), "links")
+    return links.unionByName(_links_of_long_lists(ws, posts.join(lengths.filter(F.col("k") > SHORT_LIST).select("h"), "h"), sets, percent))
+
+
+def _links_of_long_lists(ws: Workspace, posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links that make up the components within lists that are too long to pair off.
+
+    Lists with common nodes are one cluster. Its nodes are dealt to blocks of
+    about BLOCK_NODES by their hash, and each pair of blocks is a row of work: all
+    overlaps come from a product of incidence matrices, and of the links only
+    those that join two components of the two blocks are returned.
+    """
+    posts = ws.table(posts.select("h", "rid"), "long")
+    first = posts.groupBy("h").agg(F.min("rid").alias("b"))
+    roots = components(ws, posts.join(first, "h").select(F.col("rid").alias("a"), "b"), "clusters")
+    nodes = posts.select("rid").distinct().join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("cluster", F.coalesce("root", "rid"))
+    counts = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("blocks"))
+    nodes = nodes.join(counts, "cluster").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
+    nodes = nodes.join(sets, "rid").select("cluster", "rid", "packed", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+    work = nodes.groupBy("cluster", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j")).agg(F.collect_list(F.struct("own", "rid", "packed")).alias("nodes"))
+
+    def join(batches):
+        for b in batches:
+            out = []
+            for i, j, nodes in zip(*(b.column(c).to_pylist() for c in ("i", "j", "nodes"))):
+                own, rids = np.array([x["own"] for x in nodes]), [x["rid"] for x in nodes]
+                arrays = [unpacked(x["packed"]) for x in nodes]
+                left = np.flatnonzero(own == i)
+                right = left if i == j else np.flatnonzero(own == j)
+                out += [(rids[x], rids[y]) for x, y in _joining(arrays, left, right, percent)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
+
+    return ws.table(work.select("i", "j", "nodes").mapInArrow(join, "a long, b long"), "long-links")
+
+
+def _joining(arrays: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Of the similar pairs of left x right, those that join two components, as they come."""
+    size = np.array([len(a) for a in arrays])
+    flat = np.concatenate(arrays)
+    row = np.repeat(np.arange(len(arrays)), size)
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    keep = count[column] > 1
+    row, column = row[keep], column[keep]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    to_left, to_right = np.full(len(arrays), -1), np.full(len(arrays), -1)
+    to_left[left], to_right[right] = np.arange(len(left)), np.arange(len(right))
+    start = 0
+    while start < len(column):  # some columns at a time
+        end = int(np.searchsorted(column, column[start] + COLUMNS))
+        c, r = column[start:end] - column[start], row[start:end]
+        x, y = (np.zeros((len(side), COLUMNS), np.float32) for side in (left, right))
+        for matrix, to in ((x, to_left), (y, to_right)):
+            inside = to[r] >= 0
+            matrix[to[r][inside], c[inside]] = 1
+        shared += x @ y.T
+        start = end
+    union = size[left][:, None] + size[right][None] - shared
+    root = list(range(len(arrays)))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    out = []
+    for x, y in zip(*np.nonzero(100 * shared >= percent * union)):
+        a, b = int(left[x]), int(right[y])
+        p, q = find(a), find(b)
+        if p != q:
+            root[p] = q
+            out.append((a, b))
+    return out
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
