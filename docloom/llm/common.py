@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -109,3 +111,36 @@ def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state
+
+
+def summed(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """Sum of float64 matrices (bytes in column ``m``, one a task) over a tree of tasks; a few reach the driver."""
+
+    def add(batches):
+        total = None
+        for b in batches:
+            for m in b.column(0).to_pylist():
+                total = np.frombuffer(m).copy() if total is None else total + np.frombuffer(m)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+
+    n = parts.rdd.getNumPartitions()
+    while n > 8:
+        n = -(-n // 16)
+        parts = parts.repartition(n).mapInArrow(add, "m binary")
+    out = np.zeros(shape)
+    for r in parts.toLocalIterator():
+        out += np.frombuffer(r.m).reshape(shape)
+    return out
+
+
+def map_sum(df: DataFrame, work, shape: tuple[int, ...]) -> np.ndarray:
+    """Sum over partitions of what work(record batch, total) adds to an array of zeros."""
+
+    def run(batches):
+        total = np.zeros(shape)
+        for b in batches:
+            work(b, total)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
+
+    return summed(df.mapInArrow(run, "m binary"), shape)

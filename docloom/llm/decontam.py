@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from docloom.llm.common import read
+from docloom.llm.common import map_sum, read
 
 BLOCK_ITEMS = 4096
 PASSAGE, STRIDE = 64, 32
@@ -188,37 +188,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _summed(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """Sum of matrices (column ``m``) over a tree of tasks."""
-
-    def add(batches):
-        total = None
-        for b in batches:
-            for m in b.column(0).to_pylist():
-                total = np.frombuffer(m).copy() if total is None else total + np.frombuffer(m)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
-
-    n = parts.rdd.getNumPartitions()
-    while n > 8:
-        n = -(-n // 16)
-        parts = parts.repartition(n).mapInArrow(add, "m binary")
-    out = np.zeros(shape)
-    for r in parts.collect():  # 8 at most
-        out += np.frombuffer(r.m).reshape(shape)
-    return out
-
-
 def _map_sum(docs: DataFrame, work, shape: tuple[int, ...]) -> np.ndarray:
-    """Sum over partitions of what work(texts, total) adds to an array."""
-
-    def run(batches):
-        total = np.zeros(shape)
-        for b in batches:
-            work(b.column(0).to_pylist(), total)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
-
-    return _summed(docs.select("text").mapInArrow(run, "m binary"), shape)
+    return map_sum(docs.select("text"), lambda b, total: work(b.column(0).to_pylist(), total), shape)
 
 
 def learn(block: Block, docs: DataFrame) -> None:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from docloom.llm.common import Workspace, crc_mod, read
+from docloom.llm.common import Workspace, crc_mod, map_sum, read
 
 N_RANDOM = 256
 FOLDS = 4
@@ -119,29 +119,6 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten()).reshape(-1, D)
 
 
-def _summed(parts: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """Sum of matrices, one a row (column ``m``), over a tree of tasks."""
-
-    def add(batches):
-        total = None
-        for b in batches:
-            for m in b.column(0).to_pylist():
-                x = np.frombuffer(m)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
-
-    parts = parts.mapInArrow(add, "m binary")
-    n = parts.rdd.getNumPartitions()
-    while n > 8:
-        n = -(-n // 16)
-        parts = parts.repartition(n).mapInArrow(add, "m binary")
-    out = np.zeros(shape)
-    for r in parts.collect():  # 16 at most
-        out += np.frombuffer(r.m).reshape(shape)
-    return out
-
-
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, stats: DataFrame, ws: Workspace) -> Model:
     """Learns from the labelled documents whose crc32(doc_id) mod 3 is not 1."""
     rng = np.random.default_rng(SEED)
@@ -155,17 +132,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, stats: DataFram
     train = ws.table(stats.filter(crc_mod(F.col("doc_id"), 3) != 1).join(known, "doc_id").select(fold.alias("fold"), "x", "y"), "train")
     size = N_RANDOM + 2  # features, constant, label
 
-    def products(batches):
-        total = np.zeros((FOLDS, size, size))
-        for b in batches:
-            z = np.hstack((blank.features(_matrix(b.column(1))), np.asarray(b.column(2))[:, None]))
-            folds = np.asarray(b.column(0))
-            for f in range(FOLDS):
-                own = z[folds == f]
-                total[f] += own.T @ own
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["m"])
-
-    sums = _summed(train.mapInArrow(products, "m binary"), (FOLDS, size, size))
+    def products(b, total):
+        z = np.hstack((blank.features(_matrix(b.column(1))), np.asarray(b.column(2))[:, None]))
+        folds = np.asarray(b.column(0))
+        for f in range(FOLDS):
+            own = z[folds == f]
+            total[f] += own.T @ own
+
+    sums = map_sum(train, products, (FOLDS, size, size))
     whole = sums.sum(axis=0)
     n = whole[-2, -2]
     if not n:  # nothing to learn from: every document is as good as any
@@ -182,15 +156,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, stats: DataFram
     ridge = min(RIDGES, key=lambda r: sum(error(solved(whole - sums[f], r), sums[f]) for f in range(FOLDS)))
     without = np.stack([solved(whole - sums[f], ridge) for f in range(FOLDS)])
 
-    def binned(batches):
-        counts = np.zeros((BINS, 2))
-        for b in batches:
-            raw = np.einsum("ij,ij->i", blank.features(_matrix(b.column(1))), without[np.asarray(b.column(0))])
-            bins = np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
-            counts += np.stack((np.bincount(bins, minlength=BINS), np.bincount(bins, np.asarray(b.column(2)), BINS)), axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array([counts.tobytes()], pa.binary())], names=["m"])
+    def binned(b, counts):
+        raw = np.einsum("ij,ij->i", blank.features(_matrix(b.column(1))), without[np.asarray(b.column(0))])
+        bins = np.clip(((raw - LOW) / (HIGH - LOW) * BINS).astype(int), 0, BINS - 1)
+        counts += np.stack((np.bincount(bins, minlength=BINS), np.bincount(bins, np.asarray(b.column(2)), BINS)), axis=1)
 
-    counts = _summed(train.mapInArrow(binned, "m binary"), (BINS, 2))
+    counts = map_sum(train, binned, (BINS, 2))
     used = np.flatnonzero(counts[:, 0])
     level = pool_adjacent_violators(counts[used, 1] / counts[used, 0], counts[used, 0])
     # one point for each level, at its mean score; straight lines between keep the order of scores

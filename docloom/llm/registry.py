@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from docloom.llm import decontam, jaccard, neighbours, pieces, quality, secrets, sharding, url_filter, warc
+from docloom.llm import decontam, jaccard, neighbours, pieces, quality, scoring, secrets, sharding, url_filter, warc
 
 QUERIES = {
+    "op1_lm_scoring": scoring.op1_lm_scoring,
     "op2_decontamination": decontam.op2_decontamination,
     "op3_quality": quality.op3_quality,
     "op4_url_filter": url_filter.op4_url_filter,
