@@ -298,5 +298,21 @@ def _joining(arrays: list[np.ndarray], left: np.ndarray, right: np.ndarray, perc
     return out
 
 
+def one_of_each(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """The rows of docs, with all columns, that come first in their component.
+
+    Rows are told apart by their place, so ids may be null or repeat; docs must
+    come from a table, which gives the same places whenever it is read.
+    """
+    place = "_place"
+    while place in docs.columns:
+        place += "_"
+    placed = docs.withColumn(place, F.monotonically_increasing_id())
+    kept = similar_components(spark, placed, words, percent, id_col=place).filter("doc_id = component_id").select(F.col("doc_id").alias(place))
+    kept = Workspace(spark, "kept").table(kept, "places")
+    near = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
+    return placed.join(near, place, "left_semi").drop(place)
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_components(spark, read(spark, sf_dir, "documents"))
