@@ -5,12 +5,12 @@ all rows); each block is a pass over the corpus with memory that the block
 bounds:
 
 1. Document frequencies of the block's words are counted over all documents.
-2. Documents are cut into overlapping passages. A passage takes part if its
-   informative words weigh at least ``LEAST_MASS`` of the lightest item passage:
-   below that it can't meet the overlap that a hit needs. TF-IDF rows of these
-   corpus passages and of the items' own passages make up the matrix whose
-   truncated SVD is found by a randomised range finder; each partition sums its
-   share of the sketches.
+2. A hit must share half of an item's weight, so it holds one of the item's
+   anchors: its heaviest words, as many as make up over half of its weight.
+   Documents without an anchor can't hold the item. The others are kept as word
+   ids; their passages (overlapping windows) that hold an anchor, and those of the
+   items, are the rows of a TF-IDF matrix. Its truncated SVD is found by a
+   randomised range finder; each partition sums its share of the sketches.
 3. Corpus passages are searched in the latent space by cosine.
 4. Candidates are verified: the longest common subsequence of words with the
    item must cover ``NEAR_COPY`` of it, or ``PARAPHRASE`` with the item's
@@ -20,7 +20,6 @@ bounds:
 
 from __future__ import annotations
 
-import math
 import re
 from dataclasses import dataclass
 
@@ -30,14 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from docloom.llm.common import map_sum, read
+from docloom.llm.common import Workspace, map_sum, read
 
 BLOCK_ITEMS = 4096
 PASSAGE, STRIDE = 64, 32
 ITEM_PASSAGE = 48
 RANK, OVERSAMPLE = 128, 16
-COSINE = 0.25
-LEAST_MASS = 0.4
+COSINE = 0.15
 NEAR_COPY, PARAPHRASE = 0.75, 0.5
 ANSWER_WORDS = 5
 LONG_PASSAGES = 2048  # passages of one text that are held at a time
@@ -81,37 +79,42 @@ class Block:
         self.passages = [(k, ids[i : i + ITEM_PASSAGE]) for k, ids in enumerate(self.ids) for i in range(0, max(len(ids) - ITEM_PASSAGE // 2, 1), ITEM_PASSAGE) if ids]
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
-        self.idf = np.log((n_docs + 1) / (df + 1)).astype(np.float64) ** 2
-        self.masses = [float(self.idf[list(set(p))].sum()) for _, p in self.passages]
-        self.item_masses = [float(self.idf[list(set(i))].sum()) if i else 0.0 for i in self.ids]
-        self.least = LEAST_MASS * min(self.masses, default=0.0)
-
-    def cut(self, words: list[str]):
-        """(first word, hits as vocabulary ids) of the passages of a text that can matter."""
+        self.idf = np.log((n_docs + 1) / (df + 0.5)) ** 2
+        self.is_anchor = np.zeros(len(df) + 1, bool)  # the last: words outside the vocabulary
+        self.item_masses = []
+        for ids in self.ids:
+            own = sorted(set(ids), key=lambda i: (-self.idf[i], i))
+            total = np.cumsum(self.idf[own])
+            self.item_masses.append(float(total[-1]))
+            self.is_anchor[own[: int(np.searchsorted(total, (1 - PARAPHRASE) * total[-1], side="right")) + 1]] = True
+        self.anchors = {w for w, i in self.vocabulary.items() if self.is_anchor[i]}
+
+    def word_ids(self, words: list[str]) -> np.ndarray | None:
+        """Vocabulary ids (-1: none) of a text's words, or None if there is no anchor among them."""
+        if self.anchors.isdisjoint(words):
+            return None
         get = self.vocabulary.get
-        ids = np.array([get(w, -1) for w in words], np.int32)
-        at = np.flatnonzero(ids >= 0)
-        if not len(at):
-            return
-        hit = ids[at]
-        total = np.r_[0.0, np.cumsum(self.idf[hit])]
-        starts = np.arange(0, max(len(words) - STRIDE, 1), STRIDE)
-        a, b = np.searchsorted(at, starts), np.searchsorted(at, starts + PASSAGE)
-        for i in np.flatnonzero(total[b] - total[a] >= self.least):  # words that repeat count again: never too low
-            own = hit[a[i] : b[i]]
-            if self.idf[np.unique(own)].sum() >= self.least and len(own):
-                yield int(starts[i]), own
+        return np.array([get(w, -1) for w in words], np.int32)
+
+    def cut(self, ids: np.ndarray):
+        """(first word, hits as vocabulary ids) of the passages of a text that hold an anchor."""
+        anchors = np.flatnonzero(self.is_anchor[ids])
+        starts = np.arange(0, max(len(ids) - STRIDE, 1), STRIDE)
+        for start in starts[np.searchsorted(anchors, starts + PASSAGE) > np.searchsorted(anchors, starts)].tolist():
+            part = ids[start : start + PASSAGE]
+            yield start, part[part >= 0]
 
     def rows(self, passages: list[np.ndarray], table: np.ndarray) -> np.ndarray:
         """TF-IDF rows of unit length, times a table of one row a word."""
         flat = np.concatenate(passages)
         ends = np.cumsum([0] + [len(p) for p in passages])
         out = np.add.reduceat(table[flat] * self.idf[flat][:, None], ends[:-1])
-        return out / np.array([self.norm(p) for p in passages])[:, None]
+        return out / self.norms(passages)[:, None]
 
-    def norm(self, p: np.ndarray) -> float:
-        word, tf = np.unique(p, return_counts=True)
-        return max(math.sqrt(float(((self.idf[word] * tf) ** 2).sum())), 1e-12)
+    def norms(self, passages: list[np.ndarray]) -> np.ndarray:
+        size = len(self.idf)
+        key, tf = np.unique(np.concatenate([p + size * i for i, p in enumerate(passages)], dtype=np.int64), return_counts=True)
+        return np.maximum(np.sqrt(np.bincount(key // size, (self.idf[key % size] * tf) ** 2, len(passages))), 1e-12)
 
     def sketch(self, passages: list[np.ndarray], table: np.ndarray, out: np.ndarray) -> None:
         """Adds rows' * (rows * table) to out."""
@@ -119,7 +122,7 @@ class Block:
             return
         y = self.rows(passages, table)
         flat = np.concatenate(passages)
-        norm = np.array([self.norm(p) for p in passages])
+        norm = self.norms(passages)
         row = np.repeat(np.arange(len(passages)), [len(p) for p in passages])
         order = np.argsort(flat, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(flat[order]) > 0])
@@ -134,29 +137,24 @@ class Block:
         own = [np.array(p) for _, p in self.passages]
         self.targets = _unit(self.rows(own, self.latent)) if own else np.empty((0, len(keep)))
 
-    def search(self, text: str | None) -> list[tuple[int, float, float]]:
-        """(item number, best cosine, share of the item in the longest common subsequence) of the hits in a text."""
-        words = words_of(text)
+    def search(self, ids: np.ndarray) -> list[tuple[int, float, float]]:
+        """(item number, best cosine, share of the item in the longest common subsequence) of the hits among a text's ids."""
         hits: dict[int, tuple[float, float]] = {}
-        ids = None
         group: list[tuple[int, np.ndarray]] = []
 
         def flush():
-            nonlocal ids
             cosine = _unit(self.rows([p for _, p in group], self.latent)) @ self.targets.T
             for i, j in zip(*np.nonzero(cosine >= COSINE)):
                 k = self.passages[j][0]
                 if k in hits and hits[k][1] >= 0.999:
                     continue
-                if ids is None:
-                    ids = [self.vocabulary.get(w, -1) for w in words]
                 n, offset = len(self.ids[k]), (j - self.first[k]) * ITEM_PASSAGE
-                share = self.verified(k, ids[max(0, group[i][0] - offset - STRIDE) : group[i][0] + PASSAGE + n - min(n, ITEM_PASSAGE) + STRIDE])
+                share = self.verified(k, ids[max(0, group[i][0] - offset - STRIDE) : group[i][0] + PASSAGE + n - min(n, ITEM_PASSAGE) + STRIDE].tolist())
                 if share and share > hits.get(k, (0, 0))[1]:
                     hits[k] = (float(cosine[i, j]), share)
             group.clear()
 
-        for passage in self.cut(words):
+        for passage in self.cut(ids):
             group.append(passage)
             if len(group) == LONG_PASSAGES:
                 flush()
@@ -164,6 +162,10 @@ class Block:
             flush()
         return [(k, c, s) for k, (c, s) in sorted(hits.items())]
 
+    def holds(self, text: str | None) -> bool:
+        ids = self.word_ids(words_of(text))
+        return ids is not None and bool(self.search(ids))
+
     @property
     def first(self) -> dict[int, int]:
         """Number of each item's first passage."""
@@ -188,30 +190,35 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _map_sum(docs: DataFrame, work, shape: tuple[int, ...]) -> np.ndarray:
-    return map_sum(docs.select("text"), lambda b, total: work(b.column(0).to_pylist(), total), shape)
-
-
-def learn(block: Block, docs: DataFrame) -> None:
-    """Frequencies and latent space of a block from all documents."""
+def learn(ws: Workspace, block: Block, docs: DataFrame, name: str) -> DataFrame:
+    """Learns a block's frequencies and latent space from all documents; returns (doc_id, ids) of those with an anchor."""
     size = len(block.vocabulary)
 
-    def count(texts, total):
+    def count(b, total):
+        texts = b.column(0).to_pylist()
         for t in texts:
-            ids = [block.vocabulary[w] for w in block.vocabulary.keys() & set(words_of(t))]
-            total[ids] += 1
+            total[[block.vocabulary[w] for w in block.vocabulary.keys() & set(words_of(t))]] += 1
         total[size] += len(texts)
 
-    counts = _map_sum(docs, count, (size + 1,))
+    counts = map_sum(docs.select("text"), count, (size + 1,))
     block.weigh(counts[:size], int(counts[size]))
+    held = docs.sparkSession.sparkContext.broadcast(block)
+
+    def anchored(batches):
+        block = held.value
+        for b in batches:
+            found = [(i, ids) for i, t in enumerate(b.column(1).to_pylist()) if (ids := block.word_ids(words_of(t))) is not None]
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([ids for _, ids in found], pa.list_(pa.int32()))], names=["doc_id", "ids"])
+
+    kept = ws.table(docs.select("doc_id", "text").mapInArrow(anchored, "doc_id long, ids array<int>"), name)
     own = [np.array(p) for _, p in block.passages]
     rank = min(RANK + OVERSAMPLE, size)
     table = np.random.default_rng(SEED).normal(size=(size, rank))
 
-    def each(texts, total, work):
+    def each(b, total, work):
         group = []
-        for t in texts:
-            for _, p in block.cut(words_of(t)):
+        for ids in b.column(0):
+            for _, p in block.cut(np.asarray(ids.values)):
                 group.append(p)
                 if len(group) == LONG_PASSAGES:
                     work(group, total)
@@ -219,25 +226,20 @@ def learn(block: Block, docs: DataFrame) -> None:
         if group:
             work(group, total)
 
-    def ranged(texts, total):
-        each(texts, total, lambda group, out: block.sketch(group, table, out))
-
-    sketch = _map_sum(docs, ranged, (size, rank))
+    sketch = map_sum(kept.select("ids"), lambda b, total: each(b, total, lambda group, out: block.sketch(group, table, out)), (size, rank))
     mine = np.zeros_like(sketch)
     block.sketch(own, table, mine)
     weight = max(1.0, np.linalg.norm(sketch) / max(np.linalg.norm(mine), 1e-12))  # the items weigh as much as the corpus
     basis, _ = np.linalg.qr(sketch + weight * mine)
 
-    def project(texts, total):
-        def work(group, out):
-            z = block.rows(group, basis)
-            out += z.T @ z
-
-        each(texts, total, work)
+    def project(group, out):
+        z = block.rows(group, basis)
+        out += z.T @ z
 
-    gram = _map_sum(docs, project, (rank, rank))
+    gram = map_sum(kept.select("ids"), lambda b, total: each(b, total, project), (rank, rank))
     z = block.rows(own, basis)
     block.finish(basis, gram + weight * z.T @ z)
+    return kept
 
 
 def blocks_of(benchmark: DataFrame):
@@ -263,33 +265,34 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     schema = StructType([StructField("doc_id", LongType()), StructField("hits", ArrayType(StructType([StructField("item_id", LongType()), StructField("cosine", DoubleType()), StructField("lcs", DoubleType())])))])
     arrow = pa.list_(pa.struct([("item_id", pa.int64()), ("cosine", pa.float64()), ("lcs", pa.float64())]))
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    out = spark.createDataFrame([], schema)
-    for block in blocks_of(benchmark):
-        learn(block, docs)
+    ws, out = Workspace(spark, "decontamination"), spark.createDataFrame([], schema)
+    for number, block in enumerate(blocks_of(benchmark)):
+        kept = learn(ws, block, docs, f"anchored-{number}")
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
             block = held.value
             for b in batches:
-                found = [[{"item_id": block.items[k][0], "cosine": c, "lcs": s} for k, c, s in block.search(t)] for t in b.column(1).to_pylist()]
+                found = [[{"item_id": block.items[k][0], "cosine": c, "lcs": s} for k, c, s in block.search(np.asarray(ids.values))] for ids in b.column(1)]
                 keep = pa.array([i for i, f in enumerate(found) if f], pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0).take(keep), pa.array([f for f in found if f], arrow)], names=["doc_id", "hits"])
 
-        out = out.unionByName(docs.mapInArrow(run, schema))
+        out = out.unionByName(kept.mapInArrow(run, schema))
     return out.select("doc_id", F.explode("hits").alias("hit")).groupBy("doc_id", "hit.item_id").agg(F.max("hit.cosine").alias("cosine"), F.max("hit.lcs").alias("lcs"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs, with all columns, that hold no benchmark item."""
-    at, schema = docs.columns.index("text"), docs.schema
-    for block in blocks_of(benchmark):
-        learn(block, docs.select(F.col("text").cast("string").alias("text")))
+    at, schema, ws = docs.columns.index("text"), docs.schema, Workspace(spark, "decontamination")
+    texts = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    for number, block in enumerate(blocks_of(benchmark)):
+        learn(ws, block, texts, f"anchored-{number}")
         held = spark.sparkContext.broadcast(block)
 
         def run(batches, held=held):
             block = held.value
             for b in batches:
-                yield b.filter(pa.array([not block.search(t) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not block.holds(t) for t in b.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(run, schema)
     return docs
