@@ -40,6 +40,10 @@ MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = 1_000_000
 NEVER = -(1 << 80)
+#: Scores in arrays: no edge, no path. Paths have at most ARRAY_CHARS edges.
+NO_EDGE, NO_PATH = -(1 << 45), -(1 << 52)
+ARRAY_CHARS = 24
+_FACTOR = 0x9E3779B97F4A7C15
 N_BEST = 4
 CACHE_CHUNKS = 120_000
 CACHED_CHARS = 64
@@ -79,6 +83,17 @@ class Pieces:
                 self.edges[shown] = (score, (i,))
         self.byte_score = lowest - 10 * UNIT
         self.longest = max(map(len, self.edges), default=1)
+        by_length: dict[int, list] = {}
+        for shown, (score, ids) in self.edges.items():
+            by_length.setdefault(len(shown), []).append((self._hash(shown), score, ids[0]))
+        self.tables = {n: [np.array(c, t) for c, t in zip(zip(*sorted(rows)), (np.uint64, np.int64, np.int32))] for n, rows in by_length.items()}
+
+    @staticmethod
+    def _hash(text: str) -> int:
+        h = 0
+        for c in text:
+            h = (h * _FACTOR + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
+        return h
 
     def _bytes_edge(self, c: str) -> tuple[int, tuple[int, ...]]:
         raw = c.encode("utf-8", "surrogatepass")
@@ -130,6 +145,65 @@ class Pieces:
                 path.append(ids)
             yield list(chain.from_iterable(reversed(path))), best[n], None if second[n] <= NEVER // 2 else best[n] - second[n]
 
+    def best_paths(self, texts: list[str]) -> dict:
+        """viterbi of many texts, by text: those of equal length together, in arrays."""
+        out, rest, by_length = {}, [], {}
+        for t in texts:
+            if len(t) > ARRAY_CHARS:
+                rest.append(t)
+            else:
+                by_length.setdefault(len(t), []).append(t)
+        for n, group in by_length.items():
+            rest += self._equal_lengths(n, group, out)
+        rest.sort()
+        out.update(zip(rest, self.viterbi(rest)))
+        return out
+
+    def _equal_lengths(self, n: int, texts: list[str], out: dict) -> list[str]:
+        """Adds the best paths of texts of n characters to out; returns the texts with a character of no piece."""
+        m = len(texts)
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.uint64) + np.uint64(1)
+        window = codes.copy()  # hash of the characters from each place on, one more in each turn
+        found = {}
+        for size in range(1, min(n, self.longest) + 1):
+            if size > 1:
+                window = window[: n - size + 1] * np.uint64(_FACTOR) + codes[size - 1 :]
+            if size in self.tables:
+                hashes, score, ids = self.tables[size]
+                at = np.minimum(np.searchsorted(hashes, window), len(hashes) - 1)
+                hit = hashes[at] == window
+                if size == 1:
+                    known = hit.all(axis=0)
+                found[size] = np.where(hit, score[at], NO_EDGE), ids[at]
+        best, second = (np.full((n + 1, m), NO_PATH) for _ in range(2))
+        best[0] = 0
+        came = np.zeros((n + 1, m), np.int8)
+        for j in range(1, n + 1):
+            for size in range(1, min(j, self.longest) + 1):
+                if size in found:
+                    edge = found[size][0][j - size]
+                    x, y = best[j - size] + edge, second[j - size] + edge
+                    better = x > best[j]
+                    second[j] = np.maximum(np.where(better, best[j], np.maximum(second[j], x)), y)
+                    best[j] = np.where(better, x, best[j])
+                    came[j][better] = size
+        path = np.zeros((n, m), np.int32)
+        count, at, rows = np.zeros(m, np.int64), np.full(m, n), np.flatnonzero(known)
+        while len(rows):
+            size = came[at[rows], rows].astype(np.int64)
+            at[rows] -= size
+            for k in np.unique(size):
+                own = rows[size == k]
+                path[count[own], own] = found[k][1][at[own], own]
+            count[rows] += 1
+            rows = rows[at[rows] > 0]
+        loss = best[n] - second[n]
+        columns = path.T.tolist()
+        for t, ok, ids, k, score, lost in zip(texts, known.tolist(), columns, count.tolist(), best[n].tolist(), loss.tolist()):
+            if ok:
+                out[t] = ids[:k][::-1], score, None if lost > -NO_EDGE // 2 else lost
+        return [t for t, ok in zip(texts, known.tolist()) if not ok]
+
     def nbest(self, text: str, n_best: int) -> list[tuple[int, list[int]]]:
         """The n best paths (score, ids) by backward A* with forward Viterbi scores."""
         n = len(text)
@@ -178,8 +252,7 @@ class Encoder:
                 missing.append(chunk)
             else:
                 rows[chunk] = self.new[chunk] = got
-        missing.sort()
-        for chunk, got in zip(missing, self.pieces.viterbi(missing)):
+        for chunk, got in self.pieces.best_paths(missing).items():
             rows[chunk] = got
             if len(chunk) <= CACHED_CHARS:
                 self.new[chunk] = got
