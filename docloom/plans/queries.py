@@ -58,7 +58,7 @@ def parser_cascade(spark, d):
     docs = documents(spark, d)
     embedded = F.when(docs["doc_id"] % 3 == 0, F.lit(" short ")).when(docs["doc_id"] % 3 == 1, docs["text"])
     second = F.when(docs["doc_id"] % 2 == 0, docs["text"])
-    ocr = F.when(docs["doc_id"] % 5 != 0, F.upper(docs["text"]))
+    ocr = F.when(docs["doc_id"] % 5 != 0, F.reverse(docs["text"]))
     choice = curation.parser_choice(embedded, second, ocr)
     return docs.select("doc_id", choice["text"].alias("text"), choice["parser"].alias("parser"))
 
