@@ -243,9 +243,14 @@ def learn(ws: Workspace, block: Block, docs: DataFrame, name: str) -> DataFrame:
 
 
 def blocks_of(benchmark: DataFrame):
-    """Benchmark items by item_id in blocks, streamed to the driver; null and wordless texts ask nothing."""
+    """Benchmark items by item_id in blocks of BLOCK_ITEMS; null and wordless texts ask nothing."""
+    items = benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct()
+    if items.limit(BLOCK_ITEMS + 1).count() <= BLOCK_ITEMS:
+        rows = sorted(items.collect(), key=lambda r: (r.item_id is not None, r.item_id or 0, r.text))
+    else:
+        rows = items.orderBy("item_id", "text").toLocalIterator()
     block: list[tuple[int, str]] = []
-    for r in benchmark.select("item_id", "text").filter("text IS NOT NULL").distinct().orderBy("item_id", "text").toLocalIterator():
+    for r in rows:
         if words_of(r.text):
             block.append((r.item_id, r.text))
         if len(block) == BLOCK_ITEMS:
