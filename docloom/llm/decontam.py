@@ -34,8 +34,8 @@ from docloom.llm.common import Workspace, map_sum, read
 BLOCK_ITEMS = 4096
 PASSAGE, STRIDE = 64, 32
 ITEM_PASSAGE = 48
-RANK, OVERSAMPLE = 128, 16
-COSINE = 0.15
+RANK, OVERSAMPLE = 96, 8
+COSINE = 0.2
 NEAR_COPY, PARAPHRASE = 0.75, 0.5
 ANSWER_WORDS = 5
 LONG_PASSAGES = 2048  # passages of one text that are held at a time
@@ -81,6 +81,8 @@ class Block:
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
         self.idf = np.log((n_docs + 1) / (df + 0.5)) ** 2
         self.is_anchor = np.zeros(len(df) + 1, bool)  # the last: words outside the vocabulary
+        self.weight = self.idf.tolist()
+        self.item_sets = [set(ids) for ids in self.ids]
         self.item_masses = []
         for ids in self.ids:
             own = sorted(set(ids), key=lambda i: (-self.idf[i], i))
@@ -177,12 +179,12 @@ class Block:
 
     def verified(self, k: int, region: list[int]) -> float:
         """Share of item k in its longest common subsequence with region, or 0 if that is no hit."""
+        common = self.item_sets[k].intersection(region)
+        if sum([self.weight[i] for i in common]) < PARAPHRASE * self.item_masses[k] - 1e-9:
+            return 0.0
         share = lcs(self.ids[k], region) / len(self.ids[k])
         if share < PARAPHRASE:
             return 0.0
-        common = set(self.ids[k]) & set(region)
-        if float(self.idf[list(common)].sum()) < PARAPHRASE * self.item_masses[k]:
-            return 0.0
         return share if share >= NEAR_COPY or self.answers[k] <= common else 0.0
 
 
