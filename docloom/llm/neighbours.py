@@ -52,7 +52,7 @@ class Tree:
         self.leaf.append(-1)
         parts = self._split(x) if len(x) > LEAF_SAMPLE else []
         if len(parts) < 2:
-            self.leaf[node], self.leaves = self.leaves, self.leaves + 1
+            self.leaf[node], self.leaves, parts = self.leaves, self.leaves + 1, []
         for part, c in parts:
             self.children[node].append(self._grow(part, c))
         return node
