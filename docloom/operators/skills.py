@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,16 +32,33 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def similar_skills(text: Column, skills=SKILLS) -> Column:
-    """Phrases with a window of as many words whose ratio exceeds SIMILAR.
+def phrase_windows(text: Column, skills=SKILLS) -> Column:
+    """Distinct word windows whose length admits the ratio, which is at most 2 min / (a + b), for a phrase of as many words."""
+    sizes: dict[int, list[int]] = {}
+    for s in sorted(set(skills)):
+        if " " in s:
+            sizes.setdefault(s.count(" ") + 1, []).append(len(s))
+    tokens = F.filter(F.split(text, " "), lambda w: w != "")
+
+    def fits(lengths: list[int]):
+        allowed = F.array(*map(F.lit, sorted(set(lengths))))
+        return lambda w: F.exists(allowed, lambda n: 2 * F.least(n, F.length(w)) > SIMILAR * (n + F.length(w)))
+
+    windows = [F.filter(ngrams(tokens, k), fits(lengths)) for k, lengths in sorted(sizes.items())]
+    return F.array_distinct(F.concat(*windows)) if windows else F.array().cast("array<string>")
+
 
-    Windows reach the Python side only if their length admits the ratio, which is
-    at most 2 min / (a + b); nothing is lost.
+def with_similar_skills(df: DataFrame, text: Column, to: str, skills=SKILLS) -> DataFrame:
+    """df with the phrases that a window of as many words resembles (ratio over SIMILAR).
+
+    Only windows that the length filter leaves reach Python, in Arrow batches;
+    bounds on the ratio come before the ratio, and pairs are remembered.
     """
     phrases = sorted(s for s in set(skills) if " " in s)
+    out = df.withColumn(to, phrase_windows(text, skills))
+    at = out.columns.index(to)
 
-    @F.pandas_udf("array<string>")
-    def match(windows: pd.Series) -> pd.Series:
+    def match(batches):
         known: dict[tuple[str, str], bool] = {}
 
         def similar(s: str, w: str) -> bool:
@@ -52,18 +69,11 @@ def similar_skills(text: Column, skills=SKILLS) -> Column:
                 known[s, w] = m.real_quick_ratio() > SIMILAR and m.quick_ratio() > SIMILAR and m.ratio() > SIMILAR
             return known[s, w]
 
-        return windows.map(lambda ws: [] if ws is None else [s for s in phrases if any(similar(s, w) for w in ws if w.count(" ") == s.count(" "))])
-
-    tokens = F.filter(F.split(text, " "), lambda w: w != "")
-    sizes: dict[int, list[int]] = {}
-    for s in phrases:
-        sizes.setdefault(s.count(" ") + 1, []).append(len(s))
-    def fits(lengths: list[int]):
-        allowed = F.array(*map(F.lit, sorted(set(lengths))))
-        return lambda w: F.exists(allowed, lambda n: 2 * F.least(n, F.length(w)) > SIMILAR * (n + F.length(w)))
+        for b in batches:
+            found = [[s for s in phrases if any(similar(s, w) for w in ws or () if w.count(" ") == s.count(" "))] for ws in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
-    windows = [F.filter(ngrams(tokens, k), fits(lengths)) for k, lengths in sorted(sizes.items())]
-    return match(F.array_distinct(F.concat(*windows)))
+    return out.mapInArrow(match, out.schema)
 
 
 def search_text(text: Column, section: Column) -> Column:
@@ -73,4 +83,5 @@ def search_text(text: Column, section: Column) -> Column:
 
 def skills(df: DataFrame, text: Column, section: Column, to: str = "skills", bank=SKILLS) -> DataFrame:
     found = search_text(text, section)
-    return df.withColumn(to, F.array_sort(F.array_distinct(F.concat(exact_skills(found, bank), similar_skills(found, bank)))))
+    out = with_similar_skills(df.withColumn(to, exact_skills(found, bank)), found, "_similar", bank)
+    return out.withColumn(to, F.sort_array(F.array_distinct(F.concat(F.col(to), F.col("_similar"))))).drop("_similar")

@@ -207,7 +207,8 @@ def skills_exact(spark, d):
 
 
 def skills_fuzzy(spark, d):
-    return resumes(spark, d).select("doc_id", joined(sk.similar_skills(tx.collapse_space(F.lower("text")))).alias("skills"))
+    found = sk.with_similar_skills(resumes(spark, d).select("doc_id", "text"), tx.collapse_space(F.lower("text")), "found")
+    return found.select("doc_id", joined(F.col("found")).alias("skills"))
 
 
 def skills(spark, d):
