@@ -5,8 +5,8 @@
    follow from the word counts. They lay out the model's vocabulary.
 3. A causal self-attention model (``attention``) first trains in one task on a
    bounded sample of ``SAMPLE_DOCS`` documents. Then all partitions train on
-   windows of their own training documents, one in ``RATE`` each round, and
-   their weights are averaged by the number of ids seen.
+   their own training documents, one in ``RATE`` each round, and the weights
+   are averaged by the number of ids seen.
 4. Every text is scored in overlapping windows; each id is scored once. In the
    same pass the ``HEAD_WORDS`` most frequent words give their share of the base
    score; less frequent words are joined with their counts by a shuffle.
@@ -34,7 +34,8 @@ SAMPLE_IDS = 3_000_000  # small samples are read again, four times at most
 ROUNDS, RATE = 2, 32
 LEARNING_RATE, AVERAGED_RATE = 0.012, 0.002
 TRAIN_WINDOWS = 32
-GROUP_IDS = 65_536
+SEGMENT_IDS = 65_536
+GROUP_IDS = 12_288  # scored at a time: their rows of scores stay in a core's cache
 CACHE_WORDS = 150_000
 FLUSH_WORDS = 300_000
 CONTEXT = attention.WINDOW - attention.STRIDE
@@ -74,9 +75,9 @@ class Subwords:
 
 def segments(ids: np.ndarray):
     """(ids, places not to score) of a sequence in bounded pieces; later ones begin with some context."""
-    yield ids[:GROUP_IDS], 0
-    for start in range(GROUP_IDS, len(ids), GROUP_IDS):
-        yield ids[start - CONTEXT : start + GROUP_IDS], CONTEXT
+    yield ids[:SEGMENT_IDS], 0
+    for start in range(SEGMENT_IDS, len(ids), SEGMENT_IDS):
+        yield ids[start - CONTEXT : start + SEGMENT_IDS], CONTEXT
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -151,7 +152,7 @@ def train_on_sample(docs: DataFrame, counts: np.ndarray, model: bytes, seed: int
 
 
 def train_everywhere(docs: DataFrame, state: np.ndarray, counts: np.ndarray, model: bytes, turn: int) -> np.ndarray:
-    """One round on every partition's own windows; the weighted mean of the weights."""
+    """One round on every partition's own documents; the weighted mean of the weights."""
     held = docs.sparkSession.sparkContext.broadcast((model, counts, state))
 
     def train(batches):
@@ -161,10 +162,8 @@ def train_everywhere(docs: DataFrame, state: np.ndarray, counts: np.ndarray, mod
         for b in batches:
             group: list = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for seg, _ in segments(s.text(words_of(t))):
-                    x, y, scored, _ = attention.windows([seg], net.rank, s.end)
-                    own = (np.arange(len(x)) + zlib.crc32(str(i).encode()) + turn * 7919) % RATE == 0
-                    group.append((x[own], y[own], scored[own]))
+                if zlib.crc32(f"{turn}:{t if i is None else i}".encode("utf-8", "surrogatepass")) % RATE == 0:
+                    group += [attention.windows([seg], net.rank, s.end)[:3] for seg, _ in segments(s.text(words_of(t)))]
             data = [np.concatenate(c) for c in zip(*group)] if group else None
             if data is not None and len(data[0]):
                 seen += int(data[2].sum())
