@@ -32,10 +32,21 @@ def is_state(line: Column) -> Column:
 
 
 def distinct_first(items: Column, key) -> Column:
-    """Items whose key, a function of the item, hasn't come before; in order."""
-    keyed = F.transform(items, lambda x: F.struct(key(x).alias("k"), x.alias("v")))
-    keys = F.transform(keyed, lambda x: x["k"])
-    return F.transform(F.filter(keyed, lambda x, i: F.array_position(keys, x["k"]) == i + 1), lambda x: x["v"])
+    """Items whose key, a function of the item, hasn't come before; in order.
+
+    A fold: what a lambda refers to from outside would be computed anew for each item.
+    """
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("keys"), none.alias("out"))
+
+    def step(s: Column, x: Column) -> Column:
+        new = ~F.array_contains(s["keys"], key(x))
+        return F.struct(
+            F.when(new, F.array_append(s["keys"], key(x))).otherwise(s["keys"]).alias("keys"),
+            F.when(new, F.array_append(s["out"], x)).otherwise(s["out"]).alias("out"),
+        )
+
+    return F.aggregate(items, start, step, lambda s: s["out"])
 
 
 def dedupe_ci(items: Column) -> Column:

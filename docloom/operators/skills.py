@@ -82,6 +82,8 @@ def search_text(text: Column, section: Column) -> Column:
 
 
 def skills(df: DataFrame, text: Column, section: Column, to: str = "skills", bank=SKILLS) -> DataFrame:
-    found = search_text(text, section)
-    out = with_similar_skills(df.withColumn(to, exact_skills(found, bank)), found, "_similar", bank)
-    return out.withColumn(to, F.sort_array(F.array_distinct(F.concat(F.col(to), F.col("_similar"))))).drop("_similar")
+    # a column of its own: it is read once for each skill
+    found = df.withColumn("_search", search_text(text, section))
+    out = with_similar_skills(found, F.col("_search"), "_similar", bank)
+    exact = exact_skills(F.col("_search"), bank)
+    return out.withColumn(to, F.sort_array(F.array_distinct(F.concat(exact, F.col("_similar"))))).drop("_similar", "_search")
