@@ -5,22 +5,26 @@ all rows); each block is a pass over the corpus with memory that the block
 bounds:
 
 1. Document frequencies of the block's words are counted over all documents.
-2. A hit must share half of an item's weight, so it holds one of the item's
-   anchors: its heaviest words, as many as make up over half of its weight.
-   Documents without an anchor can't hold the item. The others are kept as word
+2. A paraphrase must share half of an item's weight, so it holds one of the item's
+   anchors: its heaviest words, as many as make up over half of its weight. A near
+   copy needs no weight, but ``NEAR_COPY`` of the item's words must be there.
+   Documents without either can't hold the item. The others are kept as word
    ids; their passages (overlapping windows) that hold an anchor, and those of the
    items, are the rows of a TF-IDF matrix. Its truncated SVD is found by a
    randomised range finder; each partition sums its share of the sketches.
 3. Corpus passages are searched in the latent space by cosine.
 4. Candidates are verified: the longest common subsequence of words with the
-   item must cover ``NEAR_COPY`` of it, or ``PARAPHRASE`` with the item's
-   informative words and its answer (what follows ``answer:``, or its last
-   words) present too.
+   item must cover ``NEAR_COPY`` of it, or ``PARAPHRASE`` with half of the item's
+   weight and its answer (what follows ``answer:``, or its last
+   words) present too. Near copies are also looked for by the number of the
+   item's words in a window, which no cosine or weight can miss.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +43,7 @@ COSINE = 0.2
 NEAR_COPY, PARAPHRASE = 0.75, 0.5
 ANSWER_WORDS = 5
 LONG_PASSAGES = 2048  # passages of one text that are held at a time
+PART_WORDS = 1024  # of a text that near copies are looked for in at a time
 SEED = 77
 
 _WORD = re.compile(r"[^\W_]+")
@@ -77,26 +82,57 @@ class Block:
         self.answers = [set(words_of(m[1])) if (m := _ANSWER.search(t or "")) else set(ws[-ANSWER_WORDS:]) for (_, t), ws in zip(self.items, self.words)]
         self.answers = [{self.vocabulary[w] for w in a if w in self.vocabulary} for a in self.answers]
         self.passages = [(k, ids[i : i + ITEM_PASSAGE]) for k, ids in enumerate(self.ids) for i in range(0, max(len(ids) - ITEM_PASSAGE // 2, 1), ITEM_PASSAGE) if ids]
+        self.counts = [Counter(ids) for ids in self.ids]
+        self.least = np.array([math.ceil(NEAR_COPY * len(ids)) for ids in self.ids])
+        self.longest = max(map(len, self.ids), default=0) + PASSAGE
+        # items by word: those of word w, and how often they hold it, from places[w] to places[w + 1]
+        word, self.held_by, self.held = np.array([(w, k, n) for k, count in enumerate(self.counts) for w, n in count.items()], np.int64).reshape(-1, 3).T
+        order = np.argsort(word, kind="stable")
+        self.held_by, self.held = self.held_by[order], self.held[order]
+        self.places = np.searchsorted(word[order], np.arange(len(self.vocabulary) + 1))
 
     def weigh(self, df: np.ndarray, n_docs: int) -> None:
         self.idf = np.log((n_docs + 1) / (df + 0.5)) ** 2
         self.is_anchor = np.zeros(len(df) + 1, bool)  # the last: words outside the vocabulary
         self.weight = self.idf.tolist()
         self.item_sets = [set(ids) for ids in self.ids]
-        self.item_masses = []
-        for ids in self.ids:
-            own = sorted(set(ids), key=lambda i: (-self.idf[i], i))
-            total = np.cumsum(self.idf[own])
+        self.item_masses, needed = [], np.zeros(len(df), bool)
+        for count, least in zip(self.counts, self.least):
+            own = sorted(count, key=lambda i: (-self.idf[i], i))
+            total, words = np.cumsum(self.idf[own]), np.cumsum([count[i] for i in own])
             self.item_masses.append(float(total[-1]))
             self.is_anchor[own[: int(np.searchsorted(total, (1 - PARAPHRASE) * total[-1], side="right")) + 1]] = True
-        self.anchors = {w for w, i in self.vocabulary.items() if self.is_anchor[i]}
+            needed[own[: int(np.searchsorted(words, words[-1] - least, side="right")) + 1]] = True  # a near copy can't lack all of them
+        self.anchors = {w for w, i in self.vocabulary.items() if self.is_anchor[i] or needed[i]}
 
     def word_ids(self, words: list[str]) -> np.ndarray | None:
-        """Vocabulary ids (-1: none) of a text's words, or None if there is no anchor among them."""
+        """Vocabulary ids (-1: none) of a text's words, or None if they can't hold an item."""
         if self.anchors.isdisjoint(words):
             return None
         get = self.vocabulary.get
-        return np.array([get(w, -1) for w in words], np.int32)
+        ids = np.array([get(w, -1) for w in words], np.int32)
+        return ids if self.is_anchor[ids].any() or len(self.present(ids)) else None
+
+    def present(self, ids: np.ndarray) -> np.ndarray:
+        """Numbers of the items of which ids hold as many words as a near copy must."""
+        words = np.unique(ids)
+        words = words[np.searchsorted(words, 0) :]
+        first, n = self.places[words], self.places[words + 1] - self.places[words]
+        at = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+        return np.flatnonzero(np.bincount(self.held_by[at], self.held[at], len(self.ids)) >= self.least)
+
+    def near_copies(self, ids: np.ndarray):
+        """(item number, share, region) where NEAR_COPY of an item is a subsequence of PASSAGE words more than it has."""
+        for start in range(0, max(len(ids) - self.longest, 1), max(PART_WORDS, self.longest)):
+            part = ids[start : start + max(PART_WORDS, self.longest) + self.longest]
+            for k in self.present(part).tolist():
+                span, least, count = len(self.ids[k]) + PASSAGE, self.least[k], self.counts[k]
+                at = np.flatnonzero(np.isin(part, self.ids[k]))
+                full = np.searchsorted(at, at + span) - np.arange(len(at)) >= least
+                for first in (np.unique(at[full] // span) * span).tolist():
+                    region = part[first : first + 2 * span].tolist()
+                    if sum([count[i] for i in count.keys() & set(region)]) >= least and (common := lcs(self.ids[k], region)) >= least:
+                        yield k, common / len(self.ids[k]), region
 
     def cut(self, ids: np.ndarray):
         """(first word, hits as vocabulary ids) of the passages of a text that hold an anchor."""
@@ -162,6 +198,10 @@ class Block:
                 flush()
         if group:
             flush()
+        for k, share, region in self.near_copies(ids):
+            if share > hits.get(k, (0, 0))[1]:
+                own = self.targets[self.first[k] : self.first.get(k + 1, len(self.targets))]
+                hits[k] = (float((own @ _unit(self.rows([np.array([i for i in region if i >= 0])], self.latent))[0]).max()), share)
         return [(k, c, s) for k, (c, s) in sorted(hits.items())]
 
     def holds(self, text: str | None) -> bool:
@@ -179,13 +219,13 @@ class Block:
 
     def verified(self, k: int, region: list[int]) -> float:
         """Share of item k in its longest common subsequence with region, or 0 if that is no hit."""
-        common = self.item_sets[k].intersection(region)
-        if sum([self.weight[i] for i in common]) < PARAPHRASE * self.item_masses[k] - 1e-9:
+        common, count, n = self.item_sets[k].intersection(region), self.counts[k], len(self.ids[k])
+        heavy = sum([self.weight[i] for i in common]) >= PARAPHRASE * self.item_masses[k] - 1e-9
+        least = PARAPHRASE if heavy and self.answers[k] <= common else NEAR_COPY
+        if sum([count[i] for i in common]) < least * n:  # no subsequence is longer
             return 0.0
-        share = lcs(self.ids[k], region) / len(self.ids[k])
-        if share < PARAPHRASE:
-            return 0.0
-        return share if share >= NEAR_COPY or self.answers[k] <= common else 0.0
+        share = lcs(self.ids[k], region) / n
+        return share if share >= least else 0.0
 
 
 def _unit(x: np.ndarray) -> np.ndarray:

@@ -130,6 +130,43 @@ def test_lcs():
         assert decontam.lcs(a, b) == plain(a, b)
 
 
+def searched(items, texts):
+    """A block that has learned from texts as decontam.learn does, in one process."""
+    block = decontam.Block(list(enumerate(items)))
+    sets = [set(decontam.words_of(t)) for t in texts]
+    block.weigh(np.array([sum(w in s for s in sets) for w in block.vocabulary], float), len(texts))
+    own = [np.array(p) for _, p in block.passages]
+    rows = own + [p for t in texts if (ids := block.word_ids(decontam.words_of(t))) is not None for _, p in block.cut(ids)]
+    table, out = np.random.default_rng(1).normal(size=(len(block.vocabulary), 60)), np.zeros((len(block.vocabulary), 60))
+    block.sketch(rows, table, out)
+    basis, _ = np.linalg.qr(out)
+    z = block.rows(rows, basis)
+    block.finish(basis, z.T @ z)
+    return block
+
+
+def skewed(rng, n):
+    """Words that are rarer the longer their number."""
+    return [f"w{int(10 ** (rng.random() * 4))}" for _ in range(n)]
+
+
+def test_near_copies_without_the_rarest_words():
+    rng = random.Random(21)
+    items = [" ".join(skewed(rng, rng.randrange(16, 60))) for _ in range(40)]
+    texts = [" ".join(skewed(rng, 120)) for _ in range(400)]
+    block = searched(items, texts)
+    strict = 0
+    for k, ids in enumerate(block.ids):
+        left = len(ids) // 4  # as many words, rarest first, as a near copy may lack
+        gone = set(sorted(range(len(ids)), key=lambda i: -block.idf[ids[i]])[:left])
+        copy = ["typo" if i in gone else w for i, w in enumerate(block.words[k])]
+        common = block.item_sets[k] & {block.vocabulary.get(w) for w in copy}
+        strict += sum(block.idf[i] for i in common) < 0.5 * block.item_masses[k]
+        found = block.search(block.word_ids([*skewed(rng, 50), *copy, *skewed(rng, 50)]))
+        assert any(i == k and share >= 0.75 for i, _, share in found), k
+    assert strict >= 10
+
+
 def test_isotonic_fit():
     rng = np.random.default_rng(8)
     y, w = rng.random(30), rng.integers(1, 5, 30).astype(float)
