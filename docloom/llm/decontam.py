@@ -15,8 +15,8 @@ bounds:
 3. Corpus passages are searched in the latent space by cosine.
 4. Candidates are verified: the longest common subsequence of words with the
    item must cover ``NEAR_COPY`` of it, or ``PARAPHRASE`` with half of the item's
-   weight and its answer (what follows ``answer:``, or its last
-   words) present too. Near copies are also looked for by the number of the
+   weight and its answer (what follows ``answer:``, if it states one)
+   present too. Near copies are also looked for by the number of the
    item's words in a window, which no cosine or weight can miss.
 """
 
@@ -41,7 +41,6 @@ ITEM_PASSAGE = 48
 RANK, OVERSAMPLE = 96, 8
 COSINE = 0.2
 NEAR_COPY, PARAPHRASE = 0.75, 0.5
-ANSWER_WORDS = 5
 LONG_PASSAGES = 2048  # passages of one text that are held at a time
 PART_WORDS = 1024  # of a text that near copies are looked for in at a time
 SEED = 77
@@ -79,7 +78,7 @@ class Block:
         self.words = [words_of(t) for _, t in self.items]
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for ws in self.words for w in ws))}
         self.ids = [[self.vocabulary[w] for w in ws] for ws in self.words]
-        self.answers = [set(words_of(m[1])) if (m := _ANSWER.search(t or "")) else set(ws[-ANSWER_WORDS:]) for (_, t), ws in zip(self.items, self.words)]
+        self.answers = [set(words_of(m[1])) if (m := _ANSWER.search(t or "")) else set() for _, t in self.items]
         self.answers = [{self.vocabulary[w] for w in a if w in self.vocabulary} for a in self.answers]
         self.passages = [(k, ids[i : i + ITEM_PASSAGE]) for k, ids in enumerate(self.ids) for i in range(0, max(len(ids) - ITEM_PASSAGE // 2, 1), ITEM_PASSAGE) if ids]
         self.counts = [Counter(ids) for ids in self.ids]

@@ -167,6 +167,29 @@ def test_near_copies_without_the_rarest_words():
     assert strict >= 10
 
 
+def test_paraphrases_equal_trying_every_item():
+    rng = random.Random(22)
+    items = [" ".join(skewed(rng, rng.randrange(16, 60))) for _ in range(30)]
+    items += [f"{' '.join(skewed(rng, 30))} Answer: right{k} w{k} so" for k in range(5)]
+    block = searched(items, [" ".join(skewed(rng, 120)) for _ in range(400)])
+    reworded = unanswered = 0
+    for rate in (0.1, 0.25, 0.3, 0.4, 0.45, 0.6):
+        for k, words in enumerate(block.words):
+            gone = set(rng.sample(range(len(words)), round(rate * len(words))))
+            copy = ["other" if i in gone else w for i, w in enumerate(words)]
+            ids = np.array([block.vocabulary.get(w, -1) for w in copy])
+            share = decontam.lcs(block.ids[k], ids.tolist()) / len(words)
+            heavy = sum(block.idf[i] for i in block.item_sets[k] & set(ids.tolist())) >= 0.5 * block.item_masses[k]
+            answered = k < 30 or {f"right{k - 30}", f"w{k - 30}", "so"} <= set(copy)
+            want = share >= 0.75 or share >= 0.5 and heavy and answered
+            got = block.word_ids(copy)
+            assert want == (got is not None and k in {i for i, *_ in block.search(got)}), (rate, k)
+            if 0.5 <= share < 0.75 and heavy:
+                reworded += k < 30 and not set(words[-5:]) <= set(copy)
+                unanswered += not answered
+    assert reworded >= 20 and unanswered >= 3
+
+
 def test_isotonic_fit():
     rng = np.random.default_rng(8)
     y, w = rng.random(30), rng.integers(1, 5, 30).astype(float)
