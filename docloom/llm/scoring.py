@@ -5,8 +5,8 @@
    follow from the word counts. They lay out the model's vocabulary.
 3. A causal self-attention model (``attention``) first trains in one task on a
    bounded sample of ``SAMPLE_DOCS`` documents. Then all partitions train on
-   their own training documents, one in ``RATE`` each round, and the weights
-   are averaged by the number of ids seen.
+   all of their own training documents, each document in one of ``ROUNDS`` rounds,
+   and the weights are averaged by the number of ids seen after each.
 4. Every text is scored in overlapping windows; each id is scored once. In the
    same pass the ``HEAD_WORDS`` most frequent words give their share of the base
    score; less frequent words are joined with their counts by a shuffle.
@@ -31,9 +31,9 @@ SMOOTHING = 0.1
 HEAD_WORDS = 200_000
 SAMPLE_DOCS = 2000
 SAMPLE_IDS = 3_000_000  # small samples are read again, four times at most
-ROUNDS, RATE = 2, 32
+ROUNDS = 2
 LEARNING_RATE, AVERAGED_RATE = 0.012, 0.002
-TRAIN_WINDOWS = 32
+TRAIN_WINDOWS, AVERAGED_WINDOWS = 32, 128
 SEGMENT_IDS = 65_536
 GROUP_IDS = 12_288  # scored at a time: their rows of scores stay in a core's cache
 CACHE_WORDS = 150_000
@@ -117,10 +117,10 @@ def count_ids(words: DataFrame, model: bytes) -> np.ndarray:
     return map_sum(words, add, (size,))
 
 
-def _epoch(model: attention.Attention, optimiser: attention.Adam, data, rate) -> None:
+def _epoch(model: attention.Attention, optimiser: attention.Adam, data, rate, size: int = TRAIN_WINDOWS) -> None:
     x, y, scored = data
-    for i in range(0, len(x), TRAIN_WINDOWS):
-        part = slice(i, i + TRAIN_WINDOWS)
+    for i in range(0, len(x), size):
+        part = slice(i, i + size)
         if scored[part].any():
             optimiser.step(model.gradient(x[part], y[part], scored[part])[0], rate(i / len(x)))
 
@@ -151,23 +151,39 @@ def train_on_sample(docs: DataFrame, counts: np.ndarray, model: bytes, seed: int
     return state.astype(np.float32)
 
 
+def turn_of(doc_id, text: str | None) -> int:
+    """The round that a document teaches in."""
+    return zlib.crc32(f"turn:{text if doc_id is None else doc_id}".encode("utf-8", "surrogatepass")) % ROUNDS
+
+
 def train_everywhere(docs: DataFrame, state: np.ndarray, counts: np.ndarray, model: bytes, turn: int) -> np.ndarray:
-    """One round on every partition's own documents; the weighted mean of the weights."""
+    """One round on every partition's own documents of that turn; the weighted mean of the weights."""
     held = docs.sparkSession.sparkContext.broadcast((model, counts, state))
 
     def train(batches):
         piece_model, counts, state = held.value
         s, net = Subwords(piece_model), attention.Attention(state, counts)
-        steps, seen = attention.Adam(net), 0
+        steps, seen, size = attention.Adam(net), 0, 0
+        group: list[np.ndarray] = []
+
+        def learn():
+            nonlocal seen, size
+            if group:
+                x, y, scored, _ = attention.windows(group, net.rank, s.end)
+                seen += int(scored.sum())
+                _epoch(net, steps, (x, y, scored), lambda at: AVERAGED_RATE, AVERAGED_WINDOWS)
+            group.clear()
+            size = 0
+
         for b in batches:
-            group: list = []
             for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if zlib.crc32(f"{turn}:{t if i is None else i}".encode("utf-8", "surrogatepass")) % RATE == 0:
-                    group += [attention.windows([seg], net.rank, s.end)[:3] for seg, _ in segments(s.text(words_of(t)))]
-            data = [np.concatenate(c) for c in zip(*group)] if group else None
-            if data is not None and len(data[0]):
-                seen += int(data[2].sum())
-                _epoch(net, steps, data, lambda at: AVERAGED_RATE)
+                if turn_of(i, t) == turn:
+                    for seg, _ in segments(s.text(words_of(t))):
+                        group.append(seg)
+                        size += len(seg)
+                        if size >= SEGMENT_IDS:
+                            learn()
+        learn()
         yield pa.RecordBatch.from_arrays([pa.array([np.append(net.state.astype(np.float64) * seen, seen).tobytes()], pa.binary())], names=["m"])
 
     total = summed(docs.select("doc_id", "text").mapInArrow(train, "m binary"), (len(state) + 1,))

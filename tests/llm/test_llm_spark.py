@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.llm import common, decontam, jaccard, neighbours, pieces, quality, scoring, secrets, sharding, url_filter, warc
+from docloom.llm import attention, common, decontam, jaccard, neighbours, pieces, quality, scoring, secrets, sharding, url_filter, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(400)]
@@ -205,6 +205,16 @@ def test_quality(spark):
     assert quality.score_quality(spark, docs.limit(0), labels).count() == 0
 
 
+def test_every_training_document_teaches(spark):
+    model = pieces.model_bytes()
+    counts = np.ones(scoring.Subwords(model).size)
+    first = attention.blank(counts)
+    for i in range(4):
+        docs = table(spark, [prose(i, 40)], [i]).coalesce(1)
+        moved = [not np.array_equal(first, scoring.train_everywhere(docs, first, counts, model, turn)) for turn in range(scoring.ROUNDS)]
+        assert sum(moved) == 1, i
+
+
 def test_scoring(spark, monkeypatch):
     monkeypatch.setattr(scoring, "HEAD_WORDS", 50)
     texts = ODD + [prose(i, 80) for i in range(60)]
