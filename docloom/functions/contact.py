@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions.text import SPACE, WORD, collapse_space
 
 DIGIT = r"\p{Nd}"
+# Fixed value: the pattern of an address.
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 
 
@@ -42,6 +43,7 @@ def format_phone(digits: Column) -> Column:
     )
 
 
+# The patterns of telephone numbers.
 US = rf"(?<!{DIGIT})(?:\+?{DIGIT}{{1,3}}[{SPACE}.-]?)?\(?{DIGIT}{{3}}\)?[{SPACE}.-]?{DIGIT}{{3}}[{SPACE}.-]?{DIGIT}{{4}}(?!{DIGIT})"
 LOOSE = rf"(?<!{DIGIT})(?:\+?{DIGIT}{{1,3}}[{SPACE}.-]?)?{DIGIT}{{2,4}}[{SPACE}.-]{DIGIT}{{3,4}}[{SPACE}.-]{DIGIT}{{3,4}}(?!{DIGIT})"
 

@@ -9,7 +9,9 @@ from docloom.functions.text import SPACE, WORD, collapse_space, strip
 from docloom.functions.vocabulary import EDUCATION_HEADERS, EXPERIENCE_CODES, EXPERIENCE_HEADERS, EXPERIENCE_JUNK, EXPERIENCE_TAILS, JUNK_ENTITIES, STATES
 
 _DIGIT = r"\p{Nd}"
-_NOISE = rf"^(?:[^{WORD}]+|[a-z]{{1,2}}[{SPACE}]+[{WORD}].*|{_DIGIT}+[{SPACE}]*[a-zA-Z]{{0,2}}|[^{WORD}{_DIGIT}]{{1,4}}|(?:[^{WORD}]|{_DIGIT}){{1,4}})$"
+
+# Patterns of lines that carry nothing.
+_NOISE = rf"^(?:[^{WORD}]+|[a-z]{{1,2}}[{SPACE}]+[{WORD}].*|{_DIGIT}+[{SPACE}]*[a-zA-Z]{{0,2}}|(?:[^{WORD}]|{_DIGIT}){{1,4}})$"
 _DATES = rf"(?i)^(?:[^{WORD}]|{_DIGIT}){{0,4}}[{SPACE}]*{_DIGIT}{{4}}[{SPACE}]*[-–][{SPACE}]*(?:{_DIGIT}{{4}}|ongoing|present|now|current)"
 _OPEN_DATES = rf"(?i)^{_DIGIT}{{4}}[{SPACE}]*[-–—]?[{SPACE}]*(?:present|current|now|ongoing)[{SPACE}]*$"
 _CONTACT = rf"(?i)(?:@.*@|linkedin\.com|github\.com|twitter\.com|^[{SPACE}]*[^{WORD}]{{0,3}}[{SPACE}]*[{WORD}]+,[{SPACE}]*[{WORD}]+[{SPACE}]*$)"

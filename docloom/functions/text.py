@@ -24,6 +24,15 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+def once(value: Column, use) -> Column:
+    """use(value), with value computed once a row.
+
+    What a lambda refers to from outside is computed anew for each element; an
+    element of an array is bound.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def collapse_space(c: Column) -> Column:
     return F.regexp_replace(c, rf"[{SPACE}]+", " ")
 
@@ -46,6 +55,7 @@ def has_ocr_artifact(c: Column) -> Column:
 
 def repair_ocr_artifact(c: Column) -> Column:
     """The name inside words back to s, at their start to S; alone it is left. (?d): only \\n ends a line."""
+    # Places where the name stands for the letter, in order.
     steps = (
         (rf"(?i)(?<=[A-Za-z]){ARTIFACT}(?=[0-9])", "s"),
         (rf"(?i)(?<![{WORD}]){ARTIFACT}(?=[0-9])", "S"),

@@ -18,7 +18,7 @@ SKILLS = (
     "bentley", "autodesk", "projectwise", "kpi", "kpis", "qa", "quality assurance", "business intelligence", "power bi",
 )
 
-# Sections and their keywords; the order of both decides.
+# Sections and their keywords; the order of both decides.
 SECTIONS = (
     ("experience", ("experience", "professional experience", "employment", "employment history", "work history", "work experience", "relevant experience", "internship experience")),
     ("education", ("education", "academic background", "academic")),
@@ -32,6 +32,7 @@ SECTIONS = (
     ("_references", ("references",)),
 )
 
+# Words that make no name.
 NAME_STOPWORDS = ("summary", "objective", "resume", "curriculum vitae", "cv", "profile", "contact", "personal information", "skills", "experience", "education", "references", "projects", "certifications", "achievements")
 HEADERS = (
     "summary", "objective", "skills", "experience", "education", "projects", "certifications", "achievements", "references", "employment", "work history",
@@ -39,6 +40,7 @@ HEADERS = (
 )
 SKILL_PHRASE_WORDS = ("programming", "development", "management", "integration", "languages", "technical", "skills", "oriented", "analytical", "thinking", "evaluation", "optimization", "methodology")
 
+# Codes and names of states.
 STATE_CODES = tuple("AL AK AZ AR CA CO CT DE FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA RI SC SD TN TX UT VT VA WA WV WI WY DC".split())
 STATES = (
     "alabama", "alaska", "arizona", "arkansas", "california", "colorado", "connecticut", "delaware", "florida", "georgia", "hawaii", "idaho", "illinois",
@@ -48,7 +50,7 @@ STATES = (
     "west virginia", "wisconsin", "wyoming",
 )
 
-# Literal repairs of misread text, in order.
+# Literal repairs of misread text, in order.
 OCR_REPAIRS = (
     ("SOL", "SQL"), ("sol ", "sql "), ("ClaireQL", "SQL"), ("t-sql", "tsql"), ("I ve", "I've"), ("i ve", "i've"),
     ("Bachelor s", "Bachelor's"), ("bachelor s", "bachelor's"), ("Master s", "Master's"), ("master s", "master's"),
@@ -56,9 +58,11 @@ OCR_REPAIRS = (
     ("campany", "company"), ("Campany", "Company"),
 )
 
+# Headers and confidences of the quality measures.
 QUALITY_HEADERS = ("experience", "education", "skills", "summary", "work")
 PARSER_CONFIDENCE = (("ok", 1.0), ("low_text", 0.62), ("empty", 0.0), ("noisy_symbols", 0.45))
 
+# Items of entity lists that are none.
 JUNK_ENTITIES = (":", "-", "–", "—", ".", ",", "n", "oh", "o", "um", "uh", "ha")
 EXPERIENCE_HEADERS = ("experience", "work experience", "professional experience", "relevant experience", "employment", "employment history", "work history", "career history", "professional background")
 EDUCATION_HEADERS = ("education", "academic", "academics", "qualifications", "educational background", "academic background")
@@ -67,4 +71,5 @@ EXPERIENCE_TAILS = ("zation", "ization", "isation", "ations", "tions", "ments",
 EXPERIENCE_CODES = ("ES", "US", "IT", "FR", "UK", "HR", "PR", "ER", "DR", "MS")
 BAD_NAME_WORDS = ("skills", "experience", "education", "summary", "resume", "http")
 
+# Labels of spans.
 ENTITY_LABELS = ("NAME", "SKILL", "EDUCATION", "EXPERIENCE", "COMPANY", "DATE", "LOCATION")

@@ -130,16 +130,41 @@ def stratified_split(df: DataFrame, label_col: str, key_col: str, seed: int = 42
     return ranked.withColumn("split", split).select(*df.columns, "split")
 
 
+#: Rows that one task ranks, about; the number of ranges follows the input up to MOST_RANGES.
+RANGE_ROWS, MOST_RANGES = 200_000, 512
+SAMPLED = 20_000
+
+
+def range_of(order: Column, cuts: list[str]) -> Column:
+    """Number of cuts at or below the order: a binary search in nested conditions."""
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low)
+        middle = (low + high) // 2
+        return F.when(order < F.lit(cuts[middle]), search(low, middle)).otherwise(search(middle + 1, high))
+
+    return search(0, len(cuts))
+
+
 def global_rank(df: DataFrame, order: Column, tie: str, to: str) -> DataFrame:
-    """df with a gapless rank from 1 by (order, tie), without one task that sorts all rows."""
-    placed = df.withColumn("_order", order).withColumn("_bucket", F.substring("_order", 1, 2))
-    sizes = placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("c"))
-    # the counts are at most a few hundred rows
-    other = sizes.select(F.col("_bucket").alias("b"), F.col("c").alias("before"))
-    before = sizes.join(F.broadcast(other), F.col("b") < F.col("_bucket"), "left").groupBy("_bucket").agg(F.coalesce(F.sum("before"), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy("_order", tie)
-    ranked = placed.withColumn(to, F.row_number().over(inside).cast("long"))
-    return ranked.join(F.broadcast(before), "_bucket").withColumn(to, F.col(to) + F.col("_before")).select(*df.columns, to)
+    """df with a gapless rank from 1 by (order, tie), without one task that sorts all rows.
+
+    Cuts between ranges of about RANGE_ROWS rows come from a hash sample of about
+    SAMPLED orders; each range is ranked by itself and starts after the counts of
+    those below. The rank is exact wherever the cuts are.
+    """
+    placed = df.withColumn("_order", order)
+    n = df.count()
+    ranges = max(1, min(MOST_RANGES, -(-n // RANGE_ROWS)))
+    sample = sorted(r[0] for r in placed.filter(F.pmod(F.xxhash64("_order"), F.lit(max(1, n // SAMPLED))) == 0).select("_order").collect()) if ranges > 1 else []
+    cuts = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    placed = placed.withColumn("_range", range_of(F.col("_order"), cuts))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("c"))
+    before = sizes.select("_range", (F.sum("c").over(Window.orderBy("_range")) - F.col("c")).alias("_before"))  # a row a range
+    inside = Window.partitionBy("_range").orderBy("_order", tie)
+    ranked = placed.withColumn(to, F.row_number().over(inside).cast("long")).join(F.broadcast(before), "_range")
+    return ranked.withColumn(to, F.col(to) + F.col("_before")).select(*df.columns, to)
 
 
 def holdout(df: DataFrame, key_col: str, share: float = 0.8, seed: int = 42) -> DataFrame:
@@ -175,6 +200,16 @@ def benchmark_summary(rows: DataFrame) -> DataFrame:
     )
 
 
+def parser_counts(rows: DataFrame) -> DataFrame:
+    """(parser, n) of the successes; a null parser is unknown."""
+    return rows.filter("ok").groupBy(F.coalesce("parser", F.lit("unknown")).alias("parser")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def error_samples(rows: DataFrame, key_col: str, most: int = 8) -> DataFrame:
+    """The first failures in the order of a key, with their errors (a report's sample)."""
+    return rows.filter("error IS NOT NULL").select(key_col, "error").orderBy(key_col).limit(most)
+
+
 def top_errors(rows: DataFrame, most: int = 5) -> DataFrame:
     return rows.filter("error IS NOT NULL").groupBy("error").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "error").limit(most)
 

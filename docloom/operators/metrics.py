@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docloom.functions.text import once
 from docloom.operators.spans import IGNORED
 
 
@@ -17,19 +18,17 @@ def token_accuracy(df: DataFrame, predicted: str = "predicted", labels: str = "l
 
 def tag_spans(tags: Column) -> Column:
     """(start, end, label) of a tag sequence; an I- that nothing of its label precedes opens a span too."""
+    return once(tags, _bound_tag_spans)
+
+
+def _bound_tag_spans(tags: Column) -> Column:
     n = F.size(tags)
     label = lambda t: F.when(t != "O", F.substring(t, 3, 100))
     opens = lambda i: (F.get(tags, i) != "O") & (F.startswith(F.get(tags, i), F.lit("B-")) | (i == 0) | ~label(F.get(tags, i - 1)).eqNullSafe(label(F.get(tags, i))))
+    # a span's last place stands before one that opens another or is outside; so the k-th last place ends the k-th span
+    closes = lambda i: (F.get(tags, i) != "O") & ((i == n - 1) | (F.get(tags, i + 1) == "O") | opens(i + 1))
     places = F.when(n > 0, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).otherwise(F.array().cast("array<int>"))
-    starts = F.filter(places, opens)
-    # a span ends before the next place that opens one or is outside
-    breaks = F.filter(places, lambda i: opens(i) | (F.get(tags, i) == "O"))
-
-    def span(i: Column) -> Column:
-        after = F.get(F.filter(breaks, lambda b: b > i), F.lit(0))
-        return F.struct(i.alias("start"), F.coalesce(after, n).alias("end"), label(F.get(tags, i)).alias("label"))
-
-    return F.transform(starts, span)
+    return F.zip_with(F.filter(places, opens), F.filter(places, closes), lambda a, b: F.struct(a.alias("start"), (b + 1).alias("end"), label(F.get(tags, a)).alias("label")))
 
 
 def entity_counts(df: DataFrame, predicted: str, labels: str) -> DataFrame:

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import WORD, collapse_space
+from docloom.functions.text import WORD, collapse_space, once
 from docloom.functions.vocabulary import SKILLS
 
 SIMILAR = 0.85
@@ -16,15 +16,23 @@ SIMILAR = 0.85
 
 def exact_skills(text: Column, skills=SKILLS) -> Column:
     """Single-word skills that occur as whole words, sorted. Lower-case text with single spaces is expected."""
+    if not any(" " not in s for s in skills):
+        return F.array().cast("array<string>")
     quoted = {s: "".join(c if c.isalnum() else f"\\{c}" for c in s) for s in sorted(set(skills)) if " " not in s}
     bounded = {s: rf"(?<![{WORD}]){q}(?![{WORD}])" for s, q in quoted.items()}
-    return F.array_compact(F.array(*(F.when(F.contains(text, F.lit(s)) & text.rlike(p), s) for s, p in bounded.items())))
+    return once(text, lambda t: F.array_compact(F.array(*(F.when(F.contains(t, F.lit(s)) & t.rlike(p), s) for s, p in bounded.items()))))
 
 
 def ngrams(tokens: Column, k: int) -> Column:
     """All windows of k tokens, joined by spaces."""
+    return once(tokens, lambda t: _windows(t, k))
+
+
+def _windows(tokens: Column, k: int) -> Column:
+    """ngrams of tokens that are bound."""
     n = F.size(tokens)
-    return F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice(tokens, i, k), " "))).otherwise(F.array().cast("array<string>"))
+    places = F.sequence(F.lit(0), F.greatest(n - k, F.lit(0)))
+    return F.when(n >= k, F.transform(places, lambda i: F.concat_ws(" ", *(F.get(tokens, i + j) for j in range(k))))).otherwise(F.array().cast("array<string>"))
 
 
 def ratio(a: str, b: str) -> float:
@@ -44,8 +52,9 @@ def phrase_windows(text: Column, skills=SKILLS) -> Column:
         allowed = F.array(*map(F.lit, sorted(set(lengths))))
         return lambda w: F.exists(allowed, lambda n: 2 * F.least(n, F.length(w)) > SIMILAR * (n + F.length(w)))
 
-    windows = [F.filter(ngrams(tokens, k), fits(lengths)) for k, lengths in sorted(sizes.items())]
-    return F.array_distinct(F.concat(*windows)) if windows else F.array().cast("array<string>")
+    if not sizes:
+        return F.array().cast("array<string>")
+    return once(tokens, lambda t: F.array_distinct(F.concat(*(F.filter(_windows(t, k), fits(lengths)) for k, lengths in sorted(sizes.items())))))
 
 
 def with_similar_skills(df: DataFrame, text: Column, to: str, skills=SKILLS) -> DataFrame:

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.functions.text import SPACE, WORD, strip
+from docloom.functions.text import SPACE, WORD, once, strip
 from docloom.functions.vocabulary import ENTITY_LABELS
 
+#: Defaults of the score filter.
 DOC_PEAK_MIN, ABSOLUTE_FLOOR, RELATIVE_TO_PEAK = 0.20, 0.17, 0.50
 IGNORED = -100
 ENTITY = "struct<text:string,label:string,score:double>"
@@ -18,10 +19,10 @@ def peak_of(tokens: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(tokens, lambda t: t["score"])), F.lit(0.0))
 
 
-def above_peak(items: Column, peak: Column) -> Column:
-    """Nothing if the document's peak is low, else items with a score that reaches the floor."""
-    floor = F.greatest(F.lit(ABSOLUTE_FLOOR), RELATIVE_TO_PEAK * peak)
-    return F.when(peak < DOC_PEAK_MIN, F.slice(items, 1, 0)).otherwise(F.filter(items, lambda t: t["score"] >= floor))
+def above_peak(items: Column, peak: Column, peak_min: float = DOC_PEAK_MIN, floor: float = ABSOLUTE_FLOOR, relative: float = RELATIVE_TO_PEAK) -> Column:
+    """Nothing if the document's peak is low, else items with a score that reaches the floor or the share of the peak."""
+    least = F.when(peak >= peak_min, F.greatest(F.lit(floor), relative * peak))
+    return once(least, lambda low: F.filter(items, lambda t: F.coalesce(t["score"] >= low, F.lit(False))))
 
 
 def group_entities(tokens: Column) -> Column:
@@ -73,8 +74,7 @@ def entities_by_label(entities: Column) -> Column:
 
 def ner_entities(tokens: Column) -> Column:
     """Filter by the tokens' peak, group, filter the spans by the same peak."""
-    peak = peak_of(tokens)
-    return above_peak(group_entities(above_peak(tokens, peak)), peak)
+    return once(tokens, lambda t: above_peak(group_entities(above_peak(t, peak_of(t))), peak_of(t)))
 
 
 def trimmed(text: Column, span: Column) -> Column:

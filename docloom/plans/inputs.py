@@ -17,9 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 RESUME_SQL = """
 SELECT doc_id, lang, source, CASE doc_id % 5
-  WHEN 0 THEN 'Maria K. Lopez' || chr(10) || 'maria.lopez @ mail.example.com' || chr(10) || '+20 1094745504'
+  WHEN 0 THEN 'Maria K. Lopez' || chr(10) || 'maria.lopez @ mail.example.com' || chr(10) || '+20 1055512345'
   WHEN 1 THEN 'JOHN SMITH' || chr(10) || 'reach jsmith example.org' || chr(10) || '(614) 555-0123'
-  WHEN 2 THEN 'Senior Developer' || chr(10) || 'Ana Perez' || chr(10) || 'ana at example.net' || chr(10) || '010 9474 5504'
+  WHEN 2 THEN 'Senior Developer' || chr(10) || 'Ana Perez' || chr(10) || 'ana at example.net' || chr(10) || '010 5551 2345'
   WHEN 3 THEN 'RESUME' || chr(10) || 'Li Wei' || chr(10) || '1-614-555-0199'
   ELSE 'Acme Corp Columbus, OH' || chr(10) || 'Tom Oneil' || chr(10) || '43215 555.123.4567' END
   || chr(13) || chr(10) || 'Summary: builder of data systems' || chr(10) || coalesce(text, '') || chr(10)

@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import json
+import random
 import re
+import time
 from pathlib import Path
 
 import pytest
@@ -85,6 +87,57 @@ def test_stratified_split_holdout_batches(spark):
     assert curation.batches(df.limit(0), "id").count() == 0
 
 
+def test_global_rank_uses_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(curation, "RANGE_ROWS", 100)
+    df = spark.range(2000).select((F.col("id") * 7 % 2003).alias("id"))
+    ranked = curation.global_rank(df, F.lpad(F.col("id").cast("string"), 20, "0"), "id", "rank")
+    rows = sorted((r.rank, r.id) for r in ranked.collect())
+    assert [r for r, _ in rows] == list(range(1, 2001)) and [i for _, i in rows] == sorted(i for _, i in rows)
+    cuts = [f"{i:02d}" for i in range(10, 90, 10)]
+    got = spark.range(100).select(F.lpad(F.col("id").cast("string"), 2, "0").alias("x")).select("x", curation.range_of(F.col("x"), cuts).alias("r")).collect()
+    assert all(r.r == sum(c <= r.x for c in cuts) for r in got) and len({r.r for r in got}) == 9
+
+
+def seconds(work):
+    began = time.perf_counter()
+    work()
+    return time.perf_counter() - began
+
+
+def test_twice_the_words_take_about_twice_the_time(spark):
+    noop = lambda df: df.write.format("noop").mode("overwrite").save()
+    words, tags, tokens = (lambda n: " ".join(f"w{i % 97}" for i in range(n))), (lambda n: ["B-A", "I-A", "O", "B-B"] * (n // 4)), (lambda n: [("B-A", 0.5 + i % 2 / 4, "x") for i in range(n)])
+    cases = (
+        ("text string", words, lambda df: sk.with_similar_skills(df, F.col("text"), "s")),
+        ("text string", words, lambda df: df.select(F.size(sk.ngrams(F.split("text", " "), 3)))),
+        ("t array<string>", tags, lambda df: df.select(F.size(metrics.tag_spans(F.col("t"))))),
+        ("t array<struct<entity:string,score:double,word:string>>", tokens, lambda df: df.select(F.size(sp.above_peak(F.col("t"), sp.peak_of(F.col("t")))))),
+    )
+    for schema, make, use in cases:
+        small, large = (spark.createDataFrame([(make(n),)], schema) for n in (20_000, 80_000))
+        noop(use(small))
+        assert seconds(lambda: noop(use(large))) < 8 * max(0.3, seconds(lambda: noop(use(small)))), schema
+
+
+def tag_spans_python(tags):
+    out = []
+    for i, t in enumerate(tags):
+        if t != "O" and (t.startswith("B-") or i == 0 or tags[i - 1][2:] != t[2:] or tags[i - 1] == "O"):
+            end = i + 1
+            while end < len(tags) and tags[end] == f"I-{t[2:]}":
+                end += 1
+            out.append((i, end, t[2:]))
+    return out
+
+
+def test_tag_spans(spark):
+    rng = random.Random(2)
+    cases = [[rng.choice(["B-A", "I-A", "B-B", "I-B", "O"]) for _ in range(rng.randrange(12))] for _ in range(80)]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t array<string>")
+    got = [[tuple(s) for s in r[0]] for r in df.orderBy("i").select(metrics.tag_spans(F.col("t"))).collect()]
+    assert got == [tag_spans_python(c) for c in cases]
+
+
 def group_python(tokens):
     out, cur = [], None
     for tag, score, word in tokens:
@@ -102,8 +155,6 @@ def group_python(tokens):
 
 
 def test_group_entities(spark):
-    import random
-
     rng = random.Random(1)
     cases = [[(rng.choice(["B-A", "I-A", "B-B", "I-B", "O"]), rng.random(), rng.choice(["x", "##y", "'s"])) for _ in range(rng.randrange(12))] for _ in range(60)]
     df = spark.createDataFrame([(i, c) for i, c in enumerate(cases)], "i int, t array<struct<entity:string,score:double,word:string>>")
