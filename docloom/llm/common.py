@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +32,21 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Roots of workspaces that hold tables, in the order they were opened.
+_OPEN: list[str] = []
+
+
 class Workspace:
-    """Tables written to the shared folder; they cut lineage and survive lost executors."""
+    """Tables written to the shared folder; they cut lineage and survive lost executors.
+
+    Results are read from them lazily, so an operator can't remove its own;
+    whoever has written a result calls ``release`` with the mark taken before.
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docloom/{what}-{uuid.uuid4().hex}"
+        _OPEN.append(self.root)
 
     def table(self, df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -> DataFrame:
         path = f"{self.root}/{name}"
@@ -48,6 +58,17 @@ class Workspace:
             remove(self.spark, f"{self.root}/{name}")
 
 
+def mark() -> int:
+    """A place in the row of open workspaces, for ``release``."""
+    return len(_OPEN)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Removes the workspaces opened since a mark; results that were not written yet are lost."""
+    while len(_OPEN) > since:
+        remove(spark, _OPEN.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -62,6 +83,29 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
+#: A table goes to all tasks by broadcast only up to this size, at BROADCAST_ROW bytes a row besides its own.
+BROADCAST_BYTES, BROADCAST_ROW = 16 << 20, 64
+
+
+def if_small(df: DataFrame, row_bytes: int) -> DataFrame:
+    """df, to be broadcast if its rows (counted; it should be a written table) are proven small."""
+    return F.broadcast(df) if df.count() * (row_bytes + BROADCAST_ROW) <= BROADCAST_BYTES else df
+
+
+#: Bytes of one column that Python turns to objects at a time.
+SLICE_BYTES = 4 << 20
+
+
+def slices(batches, at: int = 0, limit: int = SLICE_BYTES):
+    """The Arrow batches in slices of about ``limit`` bytes of the string or binary column ``at``; a longer value is a slice of its own."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64) // limit
+        cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
+        for first, last in zip(cuts, cuts[1:]):
+            if last > first:
+                yield b.slice(first, last - first)
+
+
 def crc_mod(c: Column, n: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(n))
 

@@ -12,35 +12,44 @@ don't meet in the prefixes:
    order is: the band by frequency then hash, then the rest by hash. Shingles
    that one node alone has fill the front of a prefix and find nobody.
 3. Nodes with equal size and equal prefixes form a group; groups meet in the
-   lists of their prefix shingles, and are expanded to their members.
-4. Candidates of compatible size are verified on the whole sets. Pairs of short
-   lists are written out. Long lists come from large groups of near copies:
-   there, blocks of nodes are compared block by block without a row for a pair,
-   and only links that join two components come back.
+   lists of their prefix shingles, and pairs of groups of compatible size are
+   expanded to their members.
+4. Candidates are verified on the whole sets. Pairs of short lists are written
+   out. Long lists, which large groups of near copies make, are not paired off
+   (see ``_links_of_long_lists``).
+
+Frequent shingles, large groups and frequent sets are joined by share: the few
+keys with many rows go to all tasks, and their rows stay dealt out.
+Shingles are compared by 48 bits of a 64-bit hash: two different ones of a pair
+are taken for equal with a probability of 2^-48.
 """
 
 from __future__ import annotations
 
 import hashlib
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Workspace, components, join_by_share, read
+from docloom.llm.common import Workspace, components, if_small, join_by_share, read, slices
 
 WORDS = 5
 PERCENT = 80
 #: Part of the 48-bit hash space whose shingles are ordered by frequency; over 1 - PERCENT/100, so that it nearly always holds the prefix.
 BAND = 0.3
 HASH_BITS = 48
-#: Nodes of a list whose pairs are written out; longer lists are joined block by block.
+#: Nodes of a list whose pairs are written out; longer lists are treated otherwise.
 SHORT_LIST = 64
-BLOCK_NODES = 256
+#: Nodes of a long list that all its nodes are compared with first.
+PIVOTS = 4
+#: Rows that one copy of a pivot's set serves.
+PIVOT_ROWS = 1024
+#: Shingles of a block of nodes that is compared with another block.
+BLOCK_SHINGLES = 65_536
 COLUMNS = 8192
-#: Ids that go to all tasks by broadcast at most (8 bytes each); above, the join is a shuffle.
-BROADCAST_IDS = 2_000_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -81,13 +90,13 @@ def short(h: np.ndarray) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """doc_id, n, node key, band size and the listed hashes (48 bits) of every document."""
+    """key, n, node key, band size and the listed hashes (48 bits) of every row of docs (key, text)."""
     limit = np.uint64(int(BAND * (1 << HASH_BITS)))
-    schema = "doc_id long, n int, node binary, n_band int, listed array<long>"
+    schema = f"key {docs.schema['key'].dataType.simpleString()}, n int, node binary, n_band int, listed array<long>"
 
     def run(batches):
         s = Shingler(words)
-        for b in batches:
+        for b in slices(batches, 1):
             n, key, band, flat, ends = [], [], [], [], [0]
             for text in b.column(1).to_pylist():
                 h = s.hashes(text)
@@ -101,29 +110,31 @@ def shingled(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 flat.append(listed.astype(np.int64))
                 ends.append(ends[-1] + len(listed))
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(key, pa.binary()), pa.array(band, pa.int32()), lists], names=["doc_id", "n", "node", "n_band", "listed"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(key, pa.binary()), pa.array(band, pa.int32()), lists], names=["key", "n", "node", "n_band", "listed"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.select("key", "text").mapInArrow(run, schema)
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Whether the sets of hashes x and y reach the similarity."""
+    shared = len(x) + len(y) - len(np.unique(np.concatenate((x, y))))
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
+def checked(pairs: DataFrame, percent: int) -> DataFrame:
+    """The links (a, b) among pairs (a, b, set_a, set_b)."""
 
     def check(batches):
-        for b in batches:
+        for b in slices(batches, 2):
             keep, last, mine = [], None, None
-            for i, (x, p, q) in enumerate(zip(*(b.column(c).to_pylist() for c in ("a", "set_a", "set_b")))):
+            for i, (x, p, q) in enumerate(zip(*(b.column(c).to_pylist() for c in (0, 2, 3)))):
                 if x != last:
                     last, mine = x, unpacked(p)
-                other = unpacked(q)
-                shared = len(mine) + len(other) - len(np.unique(np.concatenate((mine, other))))
-                if 100 * shared >= percent * (len(mine) + len(other) - shared):
+                if similar(mine, unpacked(q), percent):
                     keep.append(i)
-            yield pa.RecordBatch.from_arrays([b.column("a").take(pa.array(keep, pa.int64())), b.column("b").take(pa.array(keep, pa.int64()))], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([b.column(c).take(pa.array(keep, pa.int64())) for c in (0, 1)], names=["a", "b"])
 
-    left = sets.select(F.col("rid").alias("a"), F.col("packed").alias("set_a"))
-    right = sets.select(F.col("rid").alias("b"), F.col("packed").alias("set_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
 def packed(h: np.ndarray) -> bytes:
@@ -138,21 +149,20 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """(rid, packed set) of the wanted (rid, node, rep_doc)."""
-    near = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    """(rid, packed set) of the wanted (rid, node, rep); docs: (key, text)."""
 
     def run(batches):
         s = Shingler(words)
-        for b in batches:
+        for b in slices(batches, 2):
             rid, out = [], []
-            for r, node, text in zip(*(b.column(c).to_pylist() for c in ("rid", "node", "text"))):
+            for r, node, text in zip(*(b.column(c).to_pylist() for c in (0, 1, 2))):
                 h = s.hashes(text)
-                if hashlib.blake2b(h.tobytes(), digest_size=16).digest() == node:  # ids may repeat
+                if hashlib.blake2b(h.tobytes(), digest_size=16).digest() == node:  # keys may repeat
                     rid.append(r)
                     out.append(packed(h))
             yield pa.RecordBatch.from_arrays([pa.array(rid, pa.int64()), pa.array(out, pa.binary())], names=["rid", "packed"])
 
-    found = docs.join(near, docs["doc_id"].eqNullSafe(near["rep_doc"])).select("rid", "node", "text")
+    found = docs.join(if_small(wanted, 64), docs["key"].eqNullSafe(wanted["rep"])).select("rid", "node", "text")
     return found.mapInArrow(run, "rid long, packed binary").groupBy("rid").agg(F.first("packed").alias("packed"))
 
 
@@ -161,6 +171,26 @@ def fits(n, m, percent: int):
     return F.least(n, m) * 100 >= F.greatest(n, m) * percent
 
 
+def _labelled(ws: Workspace, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """(key, n, root) of every row of docs (key, text): its number of shingles and the smallest key of its component (its own without shingles)."""
+    rows = ws.table(shingled(docs, words, percent), "rows")
+    nodes = ws.table(
+        rows.filter("n > 0")
+        .groupBy("node")
+        .agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("n_band").alias("n_band"), F.first("listed").alias("listed"))
+        .withColumn("rid", F.monotonically_increasing_id()),
+        "nodes",
+    )
+    roots = _roots(ws, docs, nodes, words, percent)
+    labelled = nodes.select("rid", "node", "rep", "copies").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
+    sizes = ws.table(labelled.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("k")), "roots")
+    table = join_by_share(labelled.select("node", "copies", "root"), sizes, "root", "k", nodes.count())
+    table = ws.table(table.select("node", "copies", "least"), "labels")
+    ws.drop("nodes", "roots")
+    out = join_by_share(rows.select("key", "n", "node"), table, "node", "copies", rows.count())
+    return out.select("key", "n", F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("key")).alias("root"))
+
+
 def similar_components(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row.
 
@@ -170,32 +200,18 @@ def similar_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     null ids count for nothing in it (null if a component has no other). Rows
     with repeated ids each get a row. Other columns are not looked at.
     """
-    ws = Workspace(spark, "jaccard")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = ws.table(shingled(docs, words, percent), "rows")
-    total = rows.count()
-    nodes = ws.table(
-        rows.filter("n > 0")
-        .groupBy("node")
-        .agg(F.min("doc_id").alias("rep_doc"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("n_band").alias("n_band"), F.first("listed").alias("listed"))
-        .withColumn("rid", F.monotonically_increasing_id()),
-        "nodes",
-    )
-    links = _links(ws, docs, nodes, words, percent)
-    roots = components(ws, links, "all")
-    labelled = nodes.select("rid", "node", "rep_doc", "copies").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    least = labelled.groupBy("root").agg(F.min("rep_doc").alias("component_id"))
-    table = ws.table(labelled.join(least, "root").select("node", "copies", "component_id"), "labels")
-    out = join_by_share(rows.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "node"), table, "node", "copies", total)
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    docs = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text_col).cast("string").alias("text"))
+    out = _labelled(Workspace(spark, "jaccard"), docs, words, percent)
+    return out.select(F.col("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("root").alias("component_id"))
 
 
 def _prefixes(ws: Workspace, nodes: DataFrame, percent: int) -> DataFrame:
     """(h, rid, n): the shingles of each node's prefix that another node lists too."""
     limit = int(BAND * (1 << HASH_BITS))
     listed = nodes.select(F.explode("listed").alias("h"), "rid", "n", "n_band")
-    shared = listed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    posts = ws.table(listed.join(shared, "h"), "shared")
+    shared = ws.table(listed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequencies")
+    total = nodes.agg(F.sum(F.size("listed"))).first()[0] or 0
+    posts = ws.table(join_by_share(listed, shared.select("h", "df", F.col("df").alias("rows")), "h", "rows", total).filter("df IS NOT NULL"), "shared")
     inside = posts.filter(F.col("h") < limit)
     rank = F.row_number().over(Window.partitionBy("rid").orderBy("df", "h"))
     known = F.count(F.lit(1)).over(Window.partitionBy("rid"))
@@ -204,60 +220,118 @@ def _prefixes(ws: Workspace, nodes: DataFrame, percent: int) -> DataFrame:
     return ws.table(inside.select("h", "rid", "n").union(posts.filter(F.col("h") >= limit).select("h", "rid", "n")), "prefixes")
 
 
-def _links(ws: Workspace, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+def _roots(ws: Workspace, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(node, root) of the components of nodes, but for the roots themselves."""
     prefixes = _prefixes(ws, nodes, percent)
-    ws.drop("shared")
-    # groups of equal size and prefix
-    keys = prefixes.groupBy("rid", "n").agg(F.md5(F.array_join(F.sort_array(F.collect_list("h")), ",")).alias("prefix"))
-    groups = keys.withColumn("g", F.min("rid").over(Window.partitionBy("n", "prefix")))
-    groups = ws.table(groups.select("rid", "n", "g"), "groups")
-    lists = prefixes.select("h", F.col("rid").alias("g")).join(groups.filter("rid = g").select("g"), "g")
-    several = lists.groupBy("h").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("h")
-    inner = groups.groupBy("g").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("g", (-F.col("g") - 1).alias("h"))
-    posts = ws.table(lists.join(several, "h").select("h", "g").unionByName(inner.select("h", "g")).join(groups, "g").select("h", "rid", "n"), "posts")
-    sets = ws.table(whole_sets(docs, ws.table(posts.select("rid").distinct().join(nodes.select("rid", "node", "rep_doc"), "rid"), "wanted"), words), "sets")
-
-    lengths = posts.groupBy("h").agg(F.count(F.lit(1)).alias("k"))
-    short = posts.join(lengths.filter(F.col("k") <= SHORT_LIST).select("h"), "h")
-    other = short.select("h", F.col("rid").alias("b"), F.col("n").alias("m"))
-    pairs = short.join(other, "h").filter((F.col("rid") < F.col("b")) & fits(F.col("n"), F.col("m"), percent)).select(F.col("rid").alias("a"), "b").distinct()
-    links = ws.table(verified(ws.table(pairs, "pairs"), sets, percent), "links")
-    return links.unionByName(_links_of_long_lists(ws, posts.join(lengths.filter(F.col("k") > SHORT_LIST).select("h"), "h"), sets, percent))
-
-
-def _links_of_long_lists(ws: Workspace, posts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links that make up the components within lists that are too long to pair off.
-
-    Lists with common nodes are one cluster. Its nodes are dealt to blocks of
-    about BLOCK_NODES by their hash, and each pair of blocks is a row of work: all
-    overlaps come from a product of incidence matrices, and of the links only
-    those that join two components of the two blocks are returned.
+    ws.drop("frequencies", "shared")
+    # groups of equal size and prefix; g is the smallest member
+    keys = prefixes.groupBy("rid", "n").agg(F.unhex(F.md5(F.array_join(F.sort_array(F.collect_list("h")), ","))).alias("prefix"))
+    keys = ws.table(keys.select("rid", "n", F.concat("prefix", F.unhex(F.lpad(F.hex("n"), 8, "0"))).alias("prefix")), "keys")
+    sizes = ws.table(keys.groupBy("prefix").agg(F.min("rid").alias("g"), F.count(F.lit(1)).alias("copies")).withColumn("members", F.col("copies")), "sizes")
+    groups = ws.table(join_by_share(keys, sizes, "prefix", "copies", keys.count()).select("rid", "n", "g", "members"), "groups")
+    # lists of at least two groups, and the groups of several members themselves
+    own = ws.table(prefixes.join(groups.select("rid", "g"), "rid"), "own")
+    lists = own.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("rid") == F.col("g"), 1)).alias("k")).filter("k > 1")
+    lists = ws.table(lists.select("h", "size", F.col("size").alias("rows")), "lists")
+    found = join_by_share(own.select("h", "rid", "n", "g"), lists, "h", "rows", own.count()).filter("size IS NOT NULL")
+    inner = groups.filter("members > 1").select((-F.col("g") - 1).alias("h"), "rid", "n", "g", F.col("members").alias("size"))
+    posts = ws.table(found.select("h", "rid", "n", "g", "size").unionByName(inner), "posts")
+    ws.drop("prefixes", "keys", "sizes", "own", "lists")
+    wanted = ws.table(posts.select("rid").distinct().join(nodes.select("rid", "node", "rep"), "rid"), "wanted")
+    sets = ws.table(whole_sets(docs, wanted, words), "sets")
+
+    # pairs of groups that meet in short lists, expanded; pairs within small groups
+    heads = posts.filter((F.col("size") <= SHORT_LIST) & (F.col("h") >= 0) & (F.col("rid") == F.col("g"))).select("h", "g", "n")
+    met = heads.join(heads.select("h", F.col("g").alias("g2"), F.col("n").alias("m")), "h").filter((F.col("g") < F.col("g2")) & fits(F.col("n"), F.col("m"), percent)).select("g", "g2").distinct()
+    members = groups.filter(F.col("members") <= SHORT_LIST).select("g", "rid")
+    pairs = met.join(members.withColumnRenamed("rid", "a"), "g").join(members.select(F.col("g").alias("g2"), F.col("rid").alias("b")), "g2").select("a", "b")
+    several = groups.filter((F.col("members") > 1) & (F.col("members") <= SHORT_LIST)).select("g", "rid")
+    pairs = ws.table(pairs.union(several.join(several.withColumnRenamed("rid", "b"), "g").filter("rid < b").select("rid", "b")), "pairs")
+    joined = pairs.join(sets.select(F.col("rid").alias("b"), F.col("packed").alias("set_b")), "b").join(sets.select(F.col("rid").alias("a"), F.col("packed").alias("set_a")), "a")
+    links = ws.table(checked(joined, percent), "links")
+    ws.drop("wanted", "pairs", "groups")
+
+    long = posts.filter(F.col("size") > SHORT_LIST).select("h", "rid")
+    if not long.isEmpty():
+        links, rest = _links_of_long_lists(ws, long, links, sets, percent)
+        if rest is None:
+            return links
+        links = links.unionByName(rest)
+    roots = components(ws, links, "all")
+    ws.drop("posts", "sets")
+    return roots
+
+
+def _links_of_long_lists(ws: Workspace, posts: DataFrame, links: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame | None]:
+    """Links that make up the components within lists (h, rid) that are too long to pair off.
+
+    1. A node can be similar to others of the lists only if ``percent`` of its
+       shingles occur in another of their nodes too. This bound, on whole sets,
+       takes out what shares a passage or strays too far from a group's core.
+    2. Every node left is compared with its lists' PIVOTS, the nodes with the
+       fewest shingles of their own: linear in the lists.
+    3. Lists whose nodes are then in one component are done. In the others,
+       nodes outside the list's largest component are compared with all nodes of
+       other components, block by block, without a row for a pair; only links
+       that join two components of the blocks come back.
+
+    Returns (roots, None) if the second step settles all, else all links in two parts.
     """
-    posts = ws.table(posts.select("h", "rid"), "long")
-    first = posts.groupBy("h").agg(F.min("rid").alias("b"))
-    roots = components(ws, posts.join(first, "h").select(F.col("rid").alias("a"), "b"), "clusters")
-    nodes = posts.select("rid").distinct().join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("cluster", F.coalesce("root", "rid"))
-    counts = nodes.groupBy("cluster").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).cast("int").alias("blocks"))
-    nodes = nodes.join(counts, "cluster").withColumn("own", F.pmod(F.xxhash64("rid"), F.col("blocks")).cast("int"))
-    nodes = nodes.join(sets, "rid").select("cluster", "rid", "packed", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
-    work = nodes.groupBy("cluster", F.least("own", "met").alias("i"), F.greatest("own", "met").alias("j")).agg(F.collect_list(F.struct("own", "rid", "packed")).alias("nodes"))
-
-    def join(batches):
-        for b in batches:
-            out = []
-            for i, j, nodes in zip(*(b.column(c).to_pylist() for c in ("i", "j", "nodes"))):
-                own, rids = np.array([x["own"] for x in nodes]), [x["rid"] for x in nodes]
-                arrays = [unpacked(x["packed"]) for x in nodes]
-                left = np.flatnonzero(own == i)
-                right = left if i == j else np.flatnonzero(own == j)
-                out += [(rids[x], rids[y]) for x, y in _joining(arrays, left, right, percent)]
+    size = F.length("packed") * 8 / HASH_BITS
+    nodes = ws.table(posts.select("rid").distinct().join(sets, "rid").withColumn("n", size.cast("int")), "long-sets")
+
+    def spread(batches):
+        for b in slices(batches, 1, 1 << 20):
+            arrays = [unpacked(p) for p in b.column(1).to_pylist()]
+            rid = np.repeat(np.asarray(b.column(0)), [len(a) for a in arrays])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(arrays).astype(np.int64)), pa.array(rid)], names=["s", "rid"])
+
+    alone = nodes.select("rid", "packed").mapInArrow(spread, "s long, rid long").groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("rid")).filter("c = 1").groupBy("rid").agg(F.count(F.lit(1)).alias("alone"))
+    kept = nodes.select("rid", "n").join(alone, "rid", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
+    kept = ws.table(kept, "long-kept")
+    posts = ws.table(posts.join(kept, "rid").select("h", "rid", "n", "alone"), "long")
+    total = posts.count()
+
+    order = Window.partitionBy("h").orderBy(F.col("alone") / F.col("n"), "rid")
+    pivots = posts.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PIVOTS).groupBy("h").agg(F.collect_list(F.struct(F.col("rid").alias("a"), F.col("n").alias("m"))).alias("pivots"))
+    pivots = ws.table(pivots.join(posts.groupBy("h").agg(F.count(F.lit(1)).alias("rows")), "h"), "pivots")
+    stars = join_by_share(posts.select("h", "rid", "n"), pivots, "h", "rows", total).select(F.col("rid").alias("b"), "n", F.explode("pivots").alias("p")).select(F.col("p.a").alias("a"), "b", "n", F.col("p.m").alias("m"))
+    stars = ws.table(stars.filter((F.col("a") != F.col("b")) & fits(F.col("n"), F.col("m"), percent)).select("a", "b").distinct(), "stars")
+    counts = ws.table(stars.groupBy("a").agg(F.count(F.lit(1)).alias("rows")).withColumn("copies", F.ceil(F.col("rows") / PIVOT_ROWS).cast("int")), "star-counts")
+    dealt = join_by_share(stars, counts, "a", "rows", stars.count()).withColumn("deal", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int"))
+    centres = nodes.join(counts, nodes["rid"] == counts["a"]).select("a", F.col("packed").alias("set_a"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("deal"))
+    dealt = dealt.join(nodes.select(F.col("rid").alias("b"), F.col("packed").alias("set_b")), "b").join(centres, ["a", "deal"])
+    links = ws.table(links.unionByName(checked(dealt, percent)), "star-links")
+    ws.drop("stars", "star-counts", "pivots", "long-sets")
+    roots = components(ws, links, "stars")
+
+    # what the stars leave apart
+    placed = ws.table(posts.select("h", "rid", "n").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "placed")
+    mains = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("volume")).groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.max(F.struct("k", "root", "volume"))["volume"].alias("main_volume"), F.sum("k").alias("rows"), F.sum("volume").alias("volume"))
+    mains = mains.filter("roots > 1").select("h", "main", "rows", F.ceil((F.col("volume") - F.col("main_volume")) / BLOCK_SHINGLES).cast("int").alias("odd"), F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int").alias("all"))
+    mains = ws.table(mains, "mains")
+    if mains.isEmpty():
+        return roots, None
+    left = join_by_share(placed, mains, "h", "rows", total).filter("main IS NOT NULL")
+    at = F.xxhash64("rid")
+    odd = left.filter("root <> main").select("h", "rid", "root", F.pmod(at, F.col("odd")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("all") - 1)).alias("j"), F.lit(0).alias("side"))
+    every = left.select("h", "rid", "root", F.explode(F.sequence(F.lit(0), F.col("odd") - 1)).alias("i"), F.pmod(at, F.col("all")).cast("int").alias("j"), F.lit(1).alias("side"))
+    work = odd.unionByName(every).join(sets, "rid").select("h", "i", "j", "side", "rid", "root", "packed")
+    work = work.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j", "side")
+
+    def meet(batches):
+        rows = (r for b in slices(batches, 6) for r in zip(*(c.to_pylist() for c in b.columns)))
+        for _, block in groupby(rows, key=lambda r: r[:3]):  # two blocks of about BLOCK_SHINGLES
+            block = list(block)
+            arrays, side = [unpacked(r[6]) for r in block], np.array([r[3] for r in block])
+            out = [(block[x][4], block[y][4]) for x, y in _joining(arrays, np.flatnonzero(side == 0), np.flatnonzero(side == 1), percent, [r[5] for r in block])]
             yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], names=["a", "b"])
 
-    return ws.table(work.select("i", "j", "nodes").mapInArrow(join, "a long, b long"), "long-links")
+    return links, ws.table(work.mapInArrow(meet, "a long, b long"), "rest-links")
 
 
-def _joining(arrays: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Of the similar pairs of left x right, those that join two components, as they come."""
+def _joining(arrays: list[np.ndarray], left: np.ndarray, right: np.ndarray, percent: int, roots: list | None = None) -> list[tuple[int, int]]:
+    """Of the similar pairs of left x right, those that join two components, as they come; roots: components known before."""
     size = np.array([len(a) for a in arrays])
     flat = np.concatenate(arrays)
     row = np.repeat(np.arange(len(arrays)), size)
@@ -280,7 +354,8 @@ def _joining(arrays: list[np.ndarray], left: np.ndarray, right: np.ndarray, perc
         shared += x @ y.T
         start = end
     union = size[left][:, None] + size[right][None] - shared
-    root = list(range(len(arrays)))
+    first: dict = {}
+    root = [i if roots is None else first.setdefault(roots[i], i) for i in range(len(arrays))]
 
     def find(x: int) -> int:
         while root[x] != x:
@@ -299,20 +374,30 @@ def _joining(arrays: list[np.ndarray], left: np.ndarray, right: np.ndarray, perc
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The rows of docs, with all columns, that come first in their component.
+    """The rows of docs, with all columns, that stand for their component.
 
-    Rows are told apart by their place, so ids may be null or repeat; docs must
-    come from a table, which gives the same places whenever it is read.
+    Rows are told apart by what they hold (hashes of the text and of all columns,
+    192 bits), never by their place, so it doesn't matter how often and with
+    how many tasks docs is read. The row with the smallest hashes stays; of rows
+    equal in all columns one stays. Null ids are values like others. Rows with
+    null or blank texts all stay.
     """
-    place = "_place"
-    while place in docs.columns:
-        place += "_"
-    placed = docs.withColumn(place, F.monotonically_increasing_id())
-    kept = similar_components(spark, placed, words, percent, id_col=place).filter("doc_id = component_id").select(F.col("doc_id").alias(place))
-    kept = Workspace(spark, "kept").table(kept, "places")
-    near = F.broadcast(kept) if kept.count() <= BROADCAST_IDS else kept
-    return placed.join(near, place, "left_semi").drop(place)
+    ws, key = Workspace(spark, "kept"), "_row"
+    while key in docs.columns:
+        key += "_"
+    plain = [F.to_json(c) if kind.startswith("map") else F.col(c) for c, kind in docs.dtypes]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    hashes = F.concat(F.unhex(F.md5(text.cast("binary"))), F.unhex(F.lpad(F.hex(F.xxhash64(*plain)), 16, "0")))
+    labelled = _labelled(ws, docs.select(hashes.alias("key"), text.alias("text")), words, percent).filter("n > 0")
+    flags = ws.table(labelled.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.max(F.col("key") == F.col("root")).alias("stays")).filter("k > 1 OR NOT stays").select(F.col("key").alias(key), "stays"), "flags")
+    gone, repeated = flags.filter("NOT stays").select(key), flags.filter("stays").select(key)
+    docs = docs.withColumn(key, hashes).join(if_small(gone, 24), key, "left_anti")
+    if not repeated.isEmpty():
+        one = docs.join(if_small(repeated, 24), key, "left_semi").dropDuplicates([key])
+        docs = docs.join(if_small(repeated, 24), key, "left_anti").unionByName(one)
+    return docs.drop(key)
 
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """similar_components of all documents: every row's number of shingles and component. Nulls, blanks, repeats and empty tables as there."""
     return similar_components(spark, read(spark, sf_dir, "documents"))
