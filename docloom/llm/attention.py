@@ -1,14 +1,16 @@
 """A small causal self-attention language model in numpy.
 
-Inputs are subword ids, each predicted from those before it in its window. Two
-attention heads with a learned bias for each distance read the window; a hidden
-layer on the token's embedding and the heads' output predicts the next id with
-a two-level softmax. The ``CLASSES - 1`` classes hold the most frequent
-ids in order of frequency, ``CLASSES`` each; the last class holds all other ids,
-shared out by their smoothed frequency. Probabilities sum to 1 exactly.
+Inputs are subword ids, each predicted from those before it in its window. An
+attention head with a learned bias for each distance reads the window; a hidden
+layer on the last two embeddings and the head's output predicts the next id with
+a two-level softmax over all ids: leaves are the ids in order of frequency,
+``Layout.k`` classes of ``k`` leaves. Ids that the corpus doesn't have share the
+last leaf in equal parts; there is nothing to tell them apart by. So the layout
+grows with the ids in use, and probabilities sum to 1.
 
 Training is Adam with plain backpropagation. ``state`` is a flat vector, so that
-models trained on parts of a corpus can be averaged.
+models trained on parts of a corpus can be averaged. Scoring goes through tiles of
+fixed shape, padded: a text's score doesn't depend on what is scored with it.
 """
 
 from __future__ import annotations
@@ -17,155 +19,178 @@ import math
 
 import numpy as np
 
-WIDTH, HEADS, HEAD, HIDDEN, CLASSES = 24, 2, 8, 32, 64
-WINDOW, STRIDE = 32, 26
-FREQUENT = (CLASSES - 1) * CLASSES
-#: Windows that go through the network at a time: small enough for a core's cache.
-BATCH = 64
+WIDTH, HEAD, HIDDEN = 16, 8, 24
+WINDOW, STRIDE = 32, 24
+#: Windows, and rows of a class, that are scored at a time.
+BATCH, TILE = 64, 32
 SEED = 11
 #: exp of it, times a row's length, is finite in single precision.
 MOST_LOGIT = np.float32(60)
+_NEVER = np.float32(-1e4)
 _F = np.float32
 
 
-def layout(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rank of each id by frequency (ties: smaller id), and log probability of the ids of the last class."""
-    order = np.lexsort((np.arange(len(counts)), -counts))
-    rank = np.empty(len(counts), np.int32)
-    rank[order] = np.arange(len(counts))
-    rare = np.where(rank >= FREQUENT, counts + 0.1, 0.0)
-    return rank, np.log(np.maximum(rare, 1e-300) / max(rare.sum(), 1e-300)).astype(_F)
-
-
-def shapes() -> dict[str, tuple[int, ...]]:
-    return {
-        "emb": (FREQUENT + 1, WIDTH),  # all rare ids share one row
-        "qkv": (WIDTH, 3 * HEADS * HEAD),
-        "distance": (HEADS, WINDOW),
-        "hidden": (WIDTH + HEADS * HEAD, HIDDEN),
-        "hidden_bias": (HIDDEN,),
-        "classes": (HIDDEN, CLASSES),
-        "class_bias": (CLASSES,),
-        "members": (CLASSES - 1, HIDDEN, CLASSES),
-        "member_bias": (CLASSES - 1, CLASSES),
-    }
-
-
-def blank(counts: np.ndarray) -> np.ndarray:
-    """First state: random weights, biases at the log frequencies."""
-    rng = np.random.default_rng(SEED)
-    rank, _ = layout(counts)
-    q = np.zeros(FREQUENT + 1)
-    np.add.at(q, np.minimum(rank, FREQUENT), counts)
-    q = (q + 0.5) / (q + 0.5).sum()
-    by_class = np.r_[q[:FREQUENT].reshape(CLASSES - 1, CLASSES).sum(axis=1), q[FREQUENT]]
-    p = {k: np.zeros(s) for k, s in shapes().items()}
-    p["emb"] = rng.normal(0, 0.5, p["emb"].shape)
-    for k in ("qkv", "hidden"):
-        p[k] = rng.normal(0, 1 / math.sqrt(p[k].shape[0]), p[k].shape)
-    p["distance"][1] = -0.7 * np.minimum(np.arange(WINDOW), 8)  # one head begins near, one far
-    p["class_bias"] = np.log(by_class)
-    p["member_bias"] = np.log(q[:FREQUENT].reshape(CLASSES - 1, CLASSES))
-    return np.concatenate([p[k].ravel() for k in shapes()]).astype(_F)
+class Layout:
+    """Leaf of each id: ids in use by frequency (ties: smaller id), then one leaf for the others."""
+
+    def __init__(self, counts: np.ndarray):
+        self.counts = counts
+        order = np.lexsort((np.arange(len(counts)), -counts))
+        used = int((counts > 0).sum())
+        self.leaves = used + (used < len(counts))
+        self.k = max(2, math.ceil(math.sqrt(self.leaves)))
+        self.leaf = np.full(len(counts), used, np.int32)
+        self.leaf[order[:used]] = np.arange(used)
+        self.shared = math.log(max(1, len(counts) - used))  # of the ids that share a leaf
+
+    def shapes(self) -> dict[str, tuple[int, ...]]:
+        k = self.k
+        return {
+            "emb": (self.leaves, WIDTH),
+            "qkv": (WIDTH, 3 * HEAD),
+            "distance": (WINDOW,),
+            "hidden": (2 * WIDTH + HEAD + 1, HIDDEN),  # the last row is the bias
+            "classes": (HIDDEN, k),
+            "class_bias": (k,),
+            "members": (k, HIDDEN, k),
+            "member_bias": (k, k),
+        }
+
+    def blank(self) -> np.ndarray:
+        """First state: random weights, biases at the log frequencies."""
+        rng, k = np.random.default_rng(SEED), self.k
+        q = np.zeros(k * k)
+        np.add.at(q, self.leaf, self.counts + 0.5 * (self.counts > 0))
+        q[: self.leaves] += 0.5
+        q /= q.sum()
+        p = {name: np.zeros(shape) for name, shape in self.shapes().items()}
+        p["emb"] = rng.normal(0, 0.5, p["emb"].shape)
+        for name in ("qkv", "hidden"):
+            p[name] = rng.normal(0, 1 / math.sqrt(p[name].shape[0]), p[name].shape)
+        p["distance"] = -0.1 * np.arange(WINDOW)
+        by_class = q.reshape(k, k).sum(axis=1)
+        p["class_bias"] = np.where(by_class > 0, np.log(np.maximum(by_class, 1e-300)), _NEVER)
+        p["member_bias"] = np.where(q > 0, np.log(np.maximum(q, 1e-300)), _NEVER).reshape(k, k)
+        return np.concatenate([p[name].ravel() for name in self.shapes()]).astype(_F)
 
 
 class Attention:
-    def __init__(self, state: np.ndarray, counts: np.ndarray):
-        self.state = np.array(state, _F)
-        self.rank, self.rare = layout(counts)
+    def __init__(self, state: np.ndarray, layout: Layout):
+        self.state, self.layout = np.array(state, _F), layout
         self.p, at = {}, 0
-        for k, shape in shapes().items():
+        for name, shape in layout.shapes().items():
             n = math.prod(shape)
-            self.p[k] = self.state[at : at + n].reshape(shape)  # views of state
+            self.p[name] = self.state[at : at + n].reshape(shape)  # views of state
             at += n
         gap = np.arange(WINDOW)[:, None] - np.arange(WINDOW)[None]
-        self.gap, self.past = np.maximum(gap, 0), (gap >= 0).astype(_F)
+        self.gap, self.future = np.maximum(gap, 0), gap < 0
 
-    def _read(self, x: np.ndarray):
-        """Hidden layer of windows of ranks (n x WINDOW), and what backpropagation needs."""
+    def _bias(self) -> np.ndarray:
+        return np.where(self.future, _NEVER, self.p["distance"][self.gap]).astype(_F)
+
+    def _read(self, x: np.ndarray, bias: np.ndarray):
+        """Hidden layer of windows of leaves (n x WINDOW), and what backpropagation needs."""
         p, n = self.p, len(x)
-        e = p["emb"][np.minimum(x, FREQUENT)]
-        qkv = (e.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, WINDOW, 3, HEADS, HEAD).transpose(2, 0, 3, 1, 4)
-        q, k, v = np.ascontiguousarray(qkv)
-        q *= _F(1 / math.sqrt(HEAD))
+        e = p["emb"][x]
+        qkv = (e.reshape(-1, WIDTH) @ p["qkv"]).reshape(n, WINDOW, 3 * HEAD)
+        q, k = qkv[..., :HEAD], qkv[..., HEAD : 2 * HEAD]
+        v = np.ones((n, WINDOW, HEAD + 1), _F)  # the last column sums the weights
+        v[..., :HEAD] = qkv[..., 2 * HEAD :]
         a = q @ k.swapaxes(-1, -2)
-        a += p["distance"][:, self.gap]
+        a += bias
         np.minimum(a, MOST_LOGIT, out=a)
         np.exp(a, out=a)
-        a *= self.past
-        a /= a.sum(axis=-1, keepdims=True)
-        z = np.concatenate((e, (a @ v).transpose(0, 2, 1, 3).reshape(n, WINDOW, HEADS * HEAD)), axis=-1).reshape(-1, WIDTH + HEADS * HEAD)
-        h = z @ p["hidden"]
-        h += p["hidden_bias"]
+        o = a @ v
+        z = np.ones((n, WINDOW, 2 * WIDTH + HEAD + 1), _F)
+        z[..., :WIDTH] = e
+        z[:, 0, WIDTH : 2 * WIDTH] = 0
+        z[:, 1:, WIDTH : 2 * WIDTH] = e[:, :-1]
+        np.divide(o[..., :HEAD], o[..., HEAD:], out=z[..., 2 * WIDTH : -1])
+        h = z.reshape(-1, z.shape[-1]) @ p["hidden"]
         np.maximum(h, 0, out=h)
-        return e, q, k, v, a, z, h
-
-    def _classes(self, h: np.ndarray) -> np.ndarray:
-        return _softmax(h @ self.p["classes"] + self.p["class_bias"])
+        return e, q, k, v, a, o, z, h
 
     def log_probs(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of the ids y where scored (in row order); x: the ranks that the windows read."""
-        parts = [self._read(x[i : i + BATCH])[-1][scored[i : i + BATCH].ravel()] for i in range(0, len(x), BATCH)]
+        """Natural log probabilities of the ids y where scored (in row order); x: the leaves that the windows read."""
+        bias, k, parts = self._bias(), self.layout.k, []
+        for i in range(0, len(x), BATCH):
+            part = x[i : i + BATCH]
+            if len(part) < BATCH:
+                part = np.concatenate((part, np.zeros((BATCH - len(part), WINDOW), part.dtype)))
+            h = self._read(part, bias)[-1]
+            parts.append(h.reshape(BATCH, WINDOW, HIDDEN)[: len(x) - i][scored[i : i + BATCH]])
         h = np.concatenate(parts) if parts else np.empty((0, HIDDEN), _F)
-        ids = y[scored]
-        rank = self.rank[ids]
-        own = np.minimum(rank // CLASSES, CLASSES - 1).astype(np.int16)
-        out = _log_softmax_at(h @ self.p["classes"] + self.p["class_bias"], own)
-        order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES - 1):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                out[rows] += _log_softmax_at(h[rows] @ self.p["members"][c] + self.p["member_bias"][c], rank[rows] - c * CLASSES)
-        rows = order[ends[CLASSES - 1] :]
-        out[rows] += self.rare[ids[rows]]
-        return out
+        n, leaf = len(h), self.layout.leaf[y[scored]]
+        if not n:
+            return np.empty(0, _F)
+        own, inside = leaf // k, leaf % k
+        # rows by class, each class padded to whole tiles
+        order = np.argsort(own.astype(np.int16), kind="stable")
+        sizes = np.bincount(own, minlength=k)
+        tiles = -(-sizes // TILE)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n) + np.repeat((np.cumsum(tiles) - tiles) * TILE - (np.cumsum(sizes) - sizes), sizes)
+        total = int(tiles.sum())
+        rows, at = np.zeros((total * TILE, HIDDEN), _F), np.zeros((2, total * TILE), np.int64)
+        rows[place], at[0, place], at[1, place] = h, own, inside
+        rows = rows.reshape(total, TILE, HIDDEN)
+        out = _log_softmax_at(rows @ self.p["classes"] + self.p["class_bias"], at[0])
+        first = np.cumsum(tiles) - tiles
+        for c in np.flatnonzero(tiles):
+            part = slice(first[c], first[c] + tiles[c])
+            out[part.start * TILE : part.stop * TILE] += _log_softmax_at(rows[part] @ self.p["members"][c] + self.p["member_bias"][c], at[1, part.start * TILE : part.stop * TILE])
+        return out[place] - _F(self.layout.shared) * (self.layout.counts[y[scored]] <= 0)
 
     def gradient(self, x: np.ndarray, y: np.ndarray, scored: np.ndarray) -> tuple[dict[str, np.ndarray], float]:
-        """Gradient of the mean negative log probability, and its sum."""
-        p, n = self.p, len(x)
-        e, q, k, v, a, z, h = self._read(x)
-        at = np.flatnonzero(scored.ravel())
-        hs, rank = h[at], self.rank[y.ravel()[at]]
-        own = np.minimum(rank // CLASSES, CLASSES - 1)
-        g = {name: np.zeros_like(w) for name, w in p.items() if name in ("members", "member_bias")}
-        pick = np.arange(len(at))
-        dc = self._classes(hs)
+        """Gradient of the mean negative log probability, and its sum (without the shares of ids that share a leaf)."""
+        p, n, k = self.p, len(x), self.layout.k
+        e, q, key, v, a, o, z, h = self._read(x, self._bias())
+        leaf = self.layout.leaf[y[scored]]
+        own = leaf // k
+        order = np.argsort(own.astype(np.int16), kind="stable")
+        at = np.flatnonzero(scored)[order]
+        own, inside, hs = own[order], leaf[order] % k, h[at]
+        pick, g = np.arange(len(at)), {name: np.zeros_like(p[name]) for name in ("members", "member_bias", "emb")}
+        dc = _softmax(hs @ p["classes"] + p["class_bias"])
         loss = -float(np.log(np.maximum(dc[pick, own], 1e-30)).sum())
         dc[pick, own] -= 1
-        dc /= len(at)
+        dc *= _F(1 / len(at))
         g["classes"], g["class_bias"] = hs.T @ dc, dc.sum(axis=0)
         dh_s = dc @ p["classes"].T
-        order = np.argsort(own, kind="stable")
-        ends = np.searchsorted(own[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES - 1):
-            rows = order[ends[c] : ends[c + 1]]
-            if len(rows):
-                dm = _softmax(hs[rows] @ p["members"][c] + p["member_bias"][c])
-                inside = rank[rows] - c * CLASSES
-                loss -= float(np.log(np.maximum(dm[np.arange(len(rows)), inside], 1e-30)).sum())
-                dm[np.arange(len(rows)), inside] -= 1
-                dm /= len(at)
-                g["members"][c], g["member_bias"][c] = hs[rows].T @ dm, dm.sum(axis=0)
-                dh_s[rows] += dm @ p["members"][c].T
+        ends = np.searchsorted(own, np.arange(k + 1))
+        for c in np.flatnonzero(np.diff(ends)):
+            rows = slice(ends[c], ends[c + 1])
+            dm = _softmax(hs[rows] @ p["members"][c] + p["member_bias"][c])
+            m = pick[: len(dm)], inside[rows]
+            loss -= float(np.log(np.maximum(dm[m], 1e-30)).sum())
+            dm[m] -= 1
+            dm *= _F(1 / len(at))
+            g["members"][c], g["member_bias"][c] = hs[rows].T @ dm, dm.sum(axis=0)
+            dh_s[rows] += dm @ p["members"][c].T
         dh = np.zeros_like(h)
-        dh[at] = dh_s
-        dh *= h > 0
-        g["hidden"], g["hidden_bias"] = z.T @ dh, dh.sum(axis=0)
-        dz = (dh @ p["hidden"].T).reshape(n, WINDOW, -1)
-        do = dz[..., WIDTH:].reshape(n, WINDOW, HEADS, HEAD).transpose(0, 2, 1, 3)
-        da = do @ v.swapaxes(-1, -2)
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
-        g["distance"] = np.stack([np.bincount(self.gap.ravel(), s.ravel(), WINDOW) for s in ds.sum(axis=0)]).astype(_F)
-        dqkv = np.stack((_F(1 / math.sqrt(HEAD)) * (ds @ k), ds.swapaxes(-1, -2) @ q, a.swapaxes(-1, -2) @ do)).transpose(1, 3, 0, 2, 4).reshape(-1, 3 * HEADS * HEAD)
-        flat = e.reshape(-1, WIDTH)
-        g["qkv"] = flat.T @ dqkv
-        de = dz[..., :WIDTH].reshape(-1, WIDTH) + dqkv @ p["qkv"].T
-        g["emb"] = np.zeros_like(p["emb"])
-        row = np.minimum(x.ravel(), FREQUENT)
-        order = np.argsort(row, kind="stable")
+        dh[at] = dh_s * (hs > 0)
+        flat = z.reshape(-1, z.shape[-1])
+        g["hidden"] = flat.T @ dh
+        dz = (dh @ p["hidden"].T).reshape(z.shape)
+        do = np.empty_like(o)
+        np.divide(dz[..., 2 * WIDTH : -1], o[..., HEAD:], out=do[..., :HEAD])
+        do[..., HEAD] = -(do[..., :HEAD] * z[..., 2 * WIDTH : -1]).sum(axis=-1)
+        ds = do @ v.swapaxes(-1, -2)
+        ds *= a
+        g["distance"] = np.bincount(self.gap.ravel(), ds.sum(axis=0).ravel(), WINDOW).astype(_F)
+        dqkv = np.empty((n, WINDOW, 3 * HEAD), _F)
+        np.matmul(ds, key, out=dqkv[..., :HEAD])
+        np.matmul(ds.swapaxes(-1, -2), q, out=dqkv[..., HEAD : 2 * HEAD])
+        np.matmul(a.swapaxes(-1, -2), do[..., :HEAD], out=dqkv[..., 2 * HEAD :])
+        dqkv = dqkv.reshape(-1, 3 * HEAD)
+        g["qkv"] = e.reshape(-1, WIDTH).T @ dqkv
+        de = (dqkv @ p["qkv"].T).reshape(n, WINDOW, WIDTH)
+        de += dz[..., :WIDTH]
+        de[:, :-1] += dz[:, 1:, WIDTH : 2 * WIDTH]
+        row = x.ravel()
+        order = np.argsort(row.astype(np.uint16), kind="stable") if self.layout.leaves < 1 << 16 else np.argsort(row, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(row[order]) > 0])
-        g["emb"][row[order][first]] = np.add.reduceat(de[order], first)
+        g["emb"][row[order][first]] = np.add.reduceat(de.reshape(-1, WIDTH)[order], first)
         return g, loss
 
 
@@ -178,40 +203,51 @@ class Adam:
 
     def step(self, g: dict[str, np.ndarray], rate: float) -> None:
         self.t += 1
-        flat = np.concatenate([g[k].ravel() for k in shapes()]).astype(_F)
+        flat = np.concatenate([g[name].ravel() for name in self.model.layout.shapes()])
         self.m += _F(0.1) * (flat - self.m)
-        self.v += _F(0.01) * (flat * flat - self.v)
-        self.model.state -= _F(rate / (1 - 0.9**self.t)) * self.m / (np.sqrt(self.v / _F(1 - 0.99**self.t)) + _F(1e-7))
+        flat *= flat
+        flat -= self.v
+        self.v += _F(0.01) * flat
+        np.sqrt(self.v, out=flat)
+        flat *= _F(1 / math.sqrt(1 - 0.99**self.t))
+        flat += _F(1e-7)
+        np.divide(self.m, flat, out=flat)
+        flat *= _F(rate / (1 - 0.9**self.t))
+        self.model.state -= flat
 
 
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Of tiles of rows (tiles x TILE x k), each row's value at its place; the sum of the row's exponentials is a product of fixed shape."""
     np.minimum(logits, MOST_LOGIT, out=logits)
-    own = logits[np.arange(len(at)), at].copy()
-    return own - np.log(np.exp(logits, out=logits) @ np.ones(logits.shape[1], _F))
+    flat = logits.reshape(-1, logits.shape[-1])
+    own = flat[np.arange(len(flat)), at].copy()
+    np.exp(logits, out=logits)
+    return own - np.log((logits @ np.ones((logits.shape[-1], 1), _F)).ravel())
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
-    x = np.exp(np.minimum(x, MOST_LOGIT))
+    np.minimum(x, MOST_LOGIT, out=x)
+    np.exp(x, out=x)
     x /= x.sum(axis=1, keepdims=True)
     return x
 
 
-def windows(sequences: list[np.ndarray], rank: np.ndarray, start: int):
-    """Overlapping windows of id sequences: ranks read, ids, and which to score (each id once, with the most context).
+def windows(sequences: list[np.ndarray], leaf: np.ndarray, start: int, stride: int = STRIDE):
+    """Overlapping windows of id sequences: leaves read, ids, and which to score (each id once, with the most context).
 
     An id is read one place after its own; the first place of a sequence reads ``start``.
     """
     length = np.array([len(s) for s in sequences])
-    n = np.maximum(1, -(-(length - WINDOW) // STRIDE) + 1)
+    n = np.maximum(1, -(-(length - WINDOW) // stride) + 1)
     total = int(n.sum())
     flat = np.concatenate([*sequences, np.zeros(WINDOW, np.int32)]) if sequences else np.zeros(WINDOW, np.int32)
     base = np.cumsum(length) - length
     owner = np.repeat(np.arange(len(sequences)), n)
     number = np.arange(total) - np.repeat(np.cumsum(n) - n, n)
-    inside = (number * STRIDE)[:, None] + np.arange(WINDOW)[None]  # place within the sequence
+    inside = (number * stride)[:, None] + np.arange(WINDOW)[None]  # place within the sequence
     at = base[owner][:, None] + inside
     y = flat[np.minimum(at, len(flat) - 1)]
-    before = rank[flat[np.maximum(np.minimum(at - 1, len(flat) - 1), 0)]]
-    x = np.where(inside == 0, rank[start], before)
-    scored = (inside < length[owner][:, None]) & ((np.arange(WINDOW)[None] >= WINDOW - STRIDE) | (number == 0)[:, None])
+    before = leaf[flat[np.maximum(np.minimum(at - 1, len(flat) - 1), 0)]]
+    x = np.where(inside == 0, leaf[start], before)
+    scored = (inside < length[owner][:, None]) & ((np.arange(WINDOW)[None] >= WINDOW - stride) | (number == 0)[:, None])
     return x, y, scored, owner

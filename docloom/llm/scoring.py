@@ -2,13 +2,14 @@
 
 1. Words of all training documents are counted (partial counts in each task).
 2. Each counted word is cut into subword ids once; so the corpus counts of ids
-   follow from the word counts. They lay out the model's vocabulary.
-3. A causal self-attention model (``attention``) first trains in one task on a
-   bounded sample of ``SAMPLE_DOCS`` documents. Then all partitions train on
-   all of their own training documents, each document in one of ``ROUNDS`` rounds,
-   and the weights are averaged by the number of ids seen after each.
+   follow from the word counts. They lay out the model's output tree.
+3. A causal self-attention model (``attention``) takes its first steps in one task
+   on a bounded sample, SAMPLE_DOCS documents and SAMPLE_IDS ids at most. Then all
+   partitions train on all of their own training documents, each document, whole, in
+   one of ROUNDS rounds, and the weights are averaged by the number of ids seen
+   after each round.
 4. Every text is scored in overlapping windows; each id is scored once. In the
-   same pass the ``HEAD_WORDS`` most frequent words give their share of the base
+   same pass the HEAD_WORDS most frequent words give their share of the base
    score; less frequent words are joined with their counts by a shuffle.
 """
 
@@ -16,27 +17,27 @@ from __future__ import annotations
 
 import math
 import os
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import attention
-from docloom.llm.common import Workspace, crc_mod, map_sum, read, summed
+from docloom.llm.common import Workspace, crc_mod, map_sum, read, slices, summed
 from docloom.llm.pieces import MODEL_PATH, model_bytes
 
 SMOOTHING = 0.1
 HEAD_WORDS = 200_000
-SAMPLE_DOCS = 2000
-SAMPLE_IDS = 3_000_000  # small samples are read again, four times at most
+#: Bounds of the sample that the first steps are taken on; small samples are read again, SAMPLE_READS times at most.
+SAMPLE_DOCS, SAMPLE_IDS, SAMPLE_READS = 2000, 2_000_000, 4
 ROUNDS = 2
-LEARNING_RATE, AVERAGED_RATE = 0.012, 0.002
-TRAIN_WINDOWS, AVERAGED_WINDOWS = 32, 128
+LEARNING_RATE, AVERAGED_RATE = 0.012, 0.003
+#: Windows in a step of the first training and of the averaged rounds.
+TRAIN_WINDOWS, AVERAGED_WINDOWS = 96, 256
 SEGMENT_IDS = 65_536
-GROUP_IDS = 12_288  # scored at a time: their rows of scores stay in a core's cache
-CACHE_WORDS = 150_000
+GROUP_IDS = 16_384  # scored at a time: their rows of scores stay in a core's cache
+CACHE_WORDS = 300_000
 FLUSH_WORDS = 300_000
 CONTEXT = attention.WINDOW - attention.STRIDE
 END = b""  # stands for a text's end among the words
@@ -48,29 +49,57 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Subwords:
-    """Ids of words; a text's end is an id of its own."""
+    """A table of words with their ids and their share of the base score (NaN: not among the most frequent); a text's end is an id of its own."""
 
-    def __init__(self, model: bytes):
+    def __init__(self, model: bytes, head: dict[bytes, float] | None = None):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.size, self.end = self.sp.get_piece_size(), self.sp.eos_id()
-        self.known: dict[bytes, list[int]] = {}
-
-    def word(self, w: bytes) -> list[int]:
-        if w == END:
-            return [self.end]
-        if len(self.known) >= CACHE_WORDS:
-            self.known.clear()
-        ids = self.known[w] = self.sp.encode(w.decode("utf-8", "replace")) or [self.sp.unk_id()]
-        return ids
-
-    def text(self, words: list[bytes]) -> np.ndarray:
-        get, out = self.known.get, []
-        for w in words:
-            out += get(w) or self.word(w)
-        out.append(self.end)
-        return np.array(out, np.int32)
+        self.size, self.end, self.head = self.sp.get_piece_size(), self.sp.eos_id(), head or {}
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[bytes, int] = {}
+        self.words: list[bytes] = []
+        self.flat, self.start, self.base = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.empty(1 << 14)
+        self._add([END])
+
+    def cut(self, words: list[bytes]) -> list[list[int]]:
+        return [[self.end] if w == END else ids or [self.sp.unk_id()] for w, ids in zip(words, self.sp.encode([w.decode("utf-8", "replace") for w in words]))]
+
+    def _add(self, words: list[bytes]) -> None:
+        ids = self.cut(words)
+        first, n = len(self.words), len(words)
+        ends = self.start[first] + np.cumsum([len(x) for x in ids])
+        self.flat, self.start, self.base = (_grown(a, size) for a, size in ((self.flat, int(ends[-1])), (self.start, first + n + 1), (self.base, first + n)))
+        self.flat[self.start[first] : ends[-1]] = np.concatenate(ids)
+        self.start[first + 1 : first + n + 1] = ends
+        self.base[first : first + n] = [self.head.get(w, math.nan) for w in words]
+        self.place.update(zip(words, range(first, first + n)))
+        self.words += words
+
+    def places(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Numbers in the table of each text's words and its end. Numbers hold until the next call."""
+        if len(self.words) > CACHE_WORDS:
+            self.clear()
+        get = self.place.get
+        found = [list(map(get, words)) for words in texts]
+        missing = dict.fromkeys(w for words, at in zip(texts, found) if None in at for w, i in zip(words, at) if i is None)
+        if missing:
+            self._add(list(missing))
+            found = [list(map(get, words)) if None in at else at for words, at in zip(texts, found)]
+        return [np.array([*at, 0], np.int64) for at in found]
+
+    def ids(self, places: np.ndarray) -> np.ndarray:
+        first, n = self.start[places], self.start[places + 1] - self.start[places]
+        return self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+
+    def sequences(self, texts: list[str | None]) -> list[np.ndarray]:
+        return [self.ids(p) for p in self.places([words_of(t) for t in texts])]
+
+
+def _grown(a: np.ndarray, size: int) -> np.ndarray:
+    return a if size <= len(a) else np.concatenate((a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)))
 
 
 def segments(ids: np.ndarray):
@@ -90,13 +119,13 @@ def count_words(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
             counts.clear()
 
-        for b in batches:
+        for b in slices(batches):
             for text in b.column(0).to_pylist():
                 for w in words_of(text):
                     counts[w] = counts.get(w, 0) + 1
                 counts[END] = counts.get(END, 0) + 1
-                if len(counts) >= FLUSH_WORDS:
-                    yield from emitted()
+            if len(counts) >= FLUSH_WORDS:
+                yield from emitted()
         if counts:
             yield from emitted()
 
@@ -110,9 +139,8 @@ def count_ids(words: DataFrame, model: bytes) -> np.ndarray:
 
     def add(b, total):
         s = cache.get("s") or cache.setdefault("s", Subwords(held.value))
-        for w, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            for i in s.sp.encode(w.decode("utf-8", "replace")) if w != END else [s.end]:
-                total[i] += c
+        ids = s.cut(b.column(0).to_pylist())
+        total += np.bincount(np.concatenate(ids), np.repeat(np.asarray(b.column(1), np.float64), [len(x) for x in ids]), size)
 
     return map_sum(words, add, (size,))
 
@@ -125,68 +153,70 @@ def _epoch(model: attention.Attention, optimiser: attention.Adam, data, rate, si
             optimiser.step(model.gradient(x[part], y[part], scored[part])[0], rate(i / len(x)))
 
 
-def train_on_sample(docs: DataFrame, counts: np.ndarray, model: bytes, seed: int) -> np.ndarray:
-    """First weights, from whole texts of about SAMPLE_DOCS documents chosen by hash."""
+def train_on_sample(docs: DataFrame, layout: attention.Layout, model: bytes, seed: int) -> np.ndarray:
+    """First weights, from documents chosen by hash."""
     total = docs.count()
     part = 1 << 20
     chosen = docs.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(part)) < math.ceil(part * min(1.0, SAMPLE_DOCS / max(total, 1))))
-    held = docs.sparkSession.sparkContext.broadcast((model, counts))
+    held = docs.sparkSession.sparkContext.broadcast((model, layout))
 
     def train(batches):
-        piece_model, counts = held.value
-        s, net = Subwords(piece_model), attention.Attention(attention.blank(counts), counts)
-        rng, texts = np.random.default_rng(seed), []
-        for b in batches:
-            texts += [seg for t in b.column(0).to_pylist() for seg, _ in segments(s.text(words_of(t)))]
+        piece_model, layout = held.value
+        s, net = Subwords(piece_model), attention.Attention(layout.blank(), layout)
+        rng, texts, size = np.random.default_rng(seed), [], 0
+        for b in slices(batches):
+            for ids in s.sequences(b.column(0).to_pylist()):
+                if size < SAMPLE_IDS:
+                    texts.append(ids[: SAMPLE_IDS - size])
+                    size += len(texts[-1])
         if texts:
-            x, y, scored, _ = attention.windows(texts, net.rank, s.end)
-            epochs = max(1, min(4, math.ceil(SAMPLE_IDS / max(1, scored.sum()))))
+            x, y, scored, _ = attention.windows(texts, layout.leaf, s.end, attention.WINDOW)
+            epochs = max(1, min(SAMPLE_READS, math.ceil(SAMPLE_IDS / max(1, size))))
             steps = attention.Adam(net)
             for e in range(epochs):
                 order = rng.permutation(len(x))
-                _epoch(net, steps, (x[order], y[order], scored[order]), lambda at, e=e: LEARNING_RATE * min(1, 0.02 + 20 * (at + e) / epochs) * (1 - 0.9 * (at + e) / epochs))
+                _epoch(net, steps, (x[order], y[order], scored[order]), lambda at, e=e: LEARNING_RATE * min(1, 0.02 + 20 * (at + e) / epochs) * (1 - 0.8 * (at + e) / epochs))
         yield pa.RecordBatch.from_arrays([pa.array([net.state.astype(np.float64).tobytes()], pa.binary())], names=["m"])
 
-    state = summed(chosen.select("text").coalesce(1).mapInArrow(train, "m binary"), (len(attention.blank(counts)),))
+    state = summed(chosen.select("text").coalesce(1).mapInArrow(train, "m binary"), layout.blank().shape)
     return state.astype(np.float32)
 
 
-def turn_of(doc_id, text: str | None) -> int:
-    """The round that a document teaches in."""
-    return zlib.crc32(f"turn:{text if doc_id is None else doc_id}".encode("utf-8", "surrogatepass")) % ROUNDS
+def turn_of() -> Column:
+    """The round that a document (doc_id, text) teaches in."""
+    return F.pmod(F.crc32(F.concat_ws(":", F.lit("turn"), F.coalesce(F.col("doc_id").cast("string"), F.col("text"))).cast("binary")), F.lit(ROUNDS))
 
 
-def train_everywhere(docs: DataFrame, state: np.ndarray, counts: np.ndarray, model: bytes, turn: int) -> np.ndarray:
+def train_everywhere(docs: DataFrame, state: np.ndarray, layout: attention.Layout, model: bytes, turn: int) -> np.ndarray:
     """One round on every partition's own documents of that turn; the weighted mean of the weights."""
-    held = docs.sparkSession.sparkContext.broadcast((model, counts, state))
+    held = docs.sparkSession.sparkContext.broadcast((model, layout, state))
 
     def train(batches):
-        piece_model, counts, state = held.value
-        s, net = Subwords(piece_model), attention.Attention(state, counts)
+        piece_model, layout, state = held.value
+        s, net = Subwords(piece_model), attention.Attention(state, layout)
         steps, seen, size = attention.Adam(net), 0, 0
         group: list[np.ndarray] = []
 
         def learn():
             nonlocal seen, size
             if group:
-                x, y, scored, _ = attention.windows(group, net.rank, s.end)
+                x, y, scored, _ = attention.windows(group, layout.leaf, s.end, attention.WINDOW)
                 seen += int(scored.sum())
-                _epoch(net, steps, (x, y, scored), lambda at: AVERAGED_RATE, AVERAGED_WINDOWS)
+                _epoch(net, steps, (x, y, scored), lambda at: AVERAGED_RATE * min(1, 0.1 + steps.t / 50), AVERAGED_WINDOWS)
             group.clear()
             size = 0
 
-        for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if turn_of(i, t) == turn:
-                    for seg, _ in segments(s.text(words_of(t))):
-                        group.append(seg)
-                        size += len(seg)
-                        if size >= SEGMENT_IDS:
-                            learn()
+        for b in slices(batches):
+            for ids in s.sequences(b.column(0).to_pylist()):
+                for i in range(0, len(ids), SEGMENT_IDS):
+                    group.append(ids[i : i + SEGMENT_IDS])
+                    size += len(group[-1])
+                    if size >= SEGMENT_IDS:
+                        learn()
         learn()
         yield pa.RecordBatch.from_arrays([pa.array([np.append(net.state.astype(np.float64) * seen, seen).tobytes()], pa.binary())], names=["m"])
 
-    total = summed(docs.select("doc_id", "text").mapInArrow(train, "m binary"), (len(state) + 1,))
+    total = summed(docs.filter(turn_of() == turn).select("text").mapInArrow(train, "m binary"), (len(state) + 1,))
     return (total[:-1] / total[-1]).astype(np.float32) if total[-1] else state
 
 
@@ -207,8 +237,8 @@ def score_texts(spark: SparkSession, docs: DataFrame, model: bytes) -> DataFrame
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of docs (doc_id, text).
 
     Null and empty texts hold the end alone. Null ids are not held out. Repeated
-    rows are scored one by one and counted each. Other columns are not looked
-    at. Without training documents nothing is known (N and V are 0) and the
+    rows are scored one by one, alike, and counted each. Other columns are not
+    looked at. Without training documents nothing is known (N and V are 0) and the
     model has its first weights; an empty table gives an empty result.
     """
     ws = Workspace(spark, "scoring")
@@ -218,64 +248,32 @@ def score_texts(spark: SparkSession, docs: DataFrame, model: bytes) -> DataFrame
     words = ws.table(count_words(training), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     denominator = math.log10(n + SMOOTHING * (v + 1))
-    counts = count_ids(words, model)
-    state = train_on_sample(training, counts, model, attention.SEED)
+    layout = attention.Layout(count_ids(words, model))
+    state = train_on_sample(training, layout, model, attention.SEED)
     for turn in range(ROUNDS):
-        state = train_everywhere(training, state, counts, model, turn)
+        state = train_everywhere(training, state, layout, model, turn)
     head = dict(frequent(words))
-    held = spark.sparkContext.broadcast((model, counts, state, {w: math.log10(c + SMOOTHING) - denominator for w, c in head.items()}))
-    tail_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))
+    held = spark.sparkContext.broadcast((model, layout, state, {w: math.log10(c + SMOOTHING) - denominator for w, c in head.items()}))
 
     def run(batches):
-        piece_model, counts, state, head = held.value
-        s, net = Subwords(piece_model), attention.Attention(state, counts)
+        piece_model, layout, state, head = held.value
+        s, net = Subwords(piece_model, head), attention.Attention(state, layout)
         key = int.from_bytes(os.urandom(7), "little")
-        for b in batches:
-            ids, texts = b.column(0), b.column(2).to_pylist()
-            n_tokens, known, base, tails, scores = [], [], [], [], np.zeros(len(texts))
-            group: list[np.ndarray] = []
-            owner: list[int] = []
-            skip: list[int] = []
-            size = 0
-
-            def flush():
-                nonlocal size
-                if group:
-                    x, y, scored, row = attention.windows(group, net.rank, s.end)
-                    first = np.r_[True, row[1:] != row[:-1]]
-                    late = first & (np.array(skip)[row] > 0)
-                    scored[late, :CONTEXT] = False
-                    np.add.at(scores, np.array(owner)[np.repeat(row, scored.sum(axis=1))], net.log_probs(x, y, scored).astype(np.float64))
-                group.clear(), owner.clear(), skip.clear()
-                size = 0
-
-            for i, text in enumerate(texts):
-                words = words_of(text)
-                own: dict[bytes, int] = {END: 1}
-                for w in words:
-                    own[w] = own.get(w, 0) + 1
-                total, seen, tail = 0.0, 0, []
-                for w, c in own.items():
-                    p = head.get(w)
-                    if p is None:
-                        tail.append({"word": w, "n": c})
-                    else:
-                        total, seen = total + c * p, seen + c
-                n_tokens.append(len(words) + 1)
-                known.append(seen)
-                base.append(total)
-                tails.append(tail)
-                for seg, without in segments(s.text(words)):
-                    group.append(seg)
-                    owner.append(i)
-                    skip.append(without)
-                    size += len(seg)
-                    if size >= GROUP_IDS:
-                        flush()
-            flush()
-            keys = [key + i for i in range(len(texts))]
-            key += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), ids, b.column(1), pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(scores / math.log(10)), pa.array(tails, tail_type)], names=["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
+        for b in slices(batches, 2):
+            places = s.places([words_of(t) for t in b.column(2).to_pylist()])
+            lengths = np.array([len(p) for p in places])
+            flat = np.concatenate(places)
+            base, owner = s.base[flat], np.repeat(np.arange(len(places)), lengths)
+            rare = np.isnan(base)
+            known, total = np.bincount(owner[~rare], minlength=len(places)), np.bincount(owner[~rare], base[~rare], len(places))
+            pairs, times = np.unique(owner[rare] * len(s.words) + flat[rare], return_counts=True)
+            tails = pa.StructArray.from_arrays([pa.array([s.words[i] for i in (pairs % len(s.words)).tolist()], pa.binary()), pa.array(times.astype(np.int64))], names=["word", "n"])
+            ends = np.searchsorted(pairs, np.arange(len(places) + 1) * len(s.words))
+            scores = _scores(net, [s.ids(p) for p in places], s.end)
+            keys = np.arange(key, key + len(places))
+            key += len(places)
+            columns = [pa.array(keys), b.column(0), b.column(1), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(total), pa.array(scores / math.log(10)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tails)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"key long, doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word:binary,n:long>>"
@@ -296,5 +294,32 @@ def score_texts(spark: SparkSession, docs: DataFrame, model: bytes) -> DataFrame
     )
 
 
+def _scores(net: attention.Attention, sequences: list[np.ndarray], start: int) -> np.ndarray:
+    """Natural log probability of each id sequence."""
+    scores = np.zeros(len(sequences))
+    group: list[tuple[int, np.ndarray, int]] = []
+
+    def flush():
+        if group:
+            x, y, scored, row = attention.windows([ids for _, ids, _ in group], net.layout.leaf, start)
+            late = np.r_[True, row[1:] != row[:-1]] & (np.array([skip for *_, skip in group])[row] > 0)
+            scored[late, :CONTEXT] = False
+            owner = np.array([i for i, *_ in group])[np.repeat(row, scored.sum(axis=1))]
+            scores[:] += np.bincount(owner, net.log_probs(x, y, scored), len(scores))
+        group.clear()
+
+    size = 0
+    for i, ids in enumerate(sequences):
+        for segment, skip in segments(ids):
+            group.append((i, segment, skip))
+            size += len(segment)
+            if size >= GROUP_IDS:
+                flush()
+                size = 0
+    flush()
+    return scores
+
+
 def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_texts of all documents. Nulls, empty texts, repeats and empty tables as there."""
     return score_texts(spark, read(spark, sf_dir, "documents"), model_bytes(MODEL_PATH))

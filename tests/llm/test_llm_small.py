@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 import re
 
 import numpy as np
 import pytest
 
-from docloom.llm import attention, decontam, jaccard, neighbours, pieces, quality, secrets, sharding, trigrams, url_filter, warc
+from docloom.llm import attention, decontam, jaccard, neighbours, pieces, quality, scoring, secrets, sharding, trigrams, url_filter, warc
 
 
 def test_sweep_equals_trying_every_rule():
@@ -229,43 +230,99 @@ def test_joining_finds_the_components():
     assert same(got) == same(root)
 
 
+def trained(n_ids=600, seed=11):
+    """A model of n_ids ids, a third of them unused, with weights away from the first ones."""
+    counts = np.random.default_rng(seed).integers(-20, 50, n_ids).clip(0).astype(float)
+    layout = attention.Layout(counts)
+    net = attention.Attention(layout.blank(), layout)
+    net.state += np.random.default_rng(seed + 1).normal(0, 0.2, len(net.state)).astype(np.float32) * (net.state > -1000)
+    return net
+
+
 def test_probabilities_sum_to_one_and_gradient():
-    counts = np.random.default_rng(11).integers(0, 50, 5000).astype(float)
-    net = attention.Attention(attention.blank(counts), counts)
-    seq = np.random.default_rng(12).integers(0, 5000, 45).astype(np.int32)
-    x, y, scored, _ = attention.windows([seq], net.rank, 2)
+    net = trained()
+    seq = np.random.default_rng(12).integers(0, 600, 45).astype(np.int32)
+    x, y, scored, _ = attention.windows([seq], net.layout.leaf, 2)
     assert scored.sum() == 45
     one = np.zeros_like(scored)
     one[0, 7] = True
     total = 0.0
-    for i in range(0, 5000, 500):
-        for j in range(i, i + 500):
-            y[0, 7] = j
-            total += float(np.exp(net.log_probs(x[:1], y[:1], one[:1]).astype(float))[0])
+    for j in range(600):
+        y[0, 7] = j
+        total += float(np.exp(net.log_probs(x[:1], y[:1], one[:1]).astype(float))[0])
     assert abs(total - 1) < 1e-3
-    x, y, scored, _ = attention.windows([seq], net.rank, 2)
+    x, y, scored, _ = attention.windows([np.flatnonzero(net.layout.counts)[seq % 300].astype(np.int32)], net.layout.leaf, 2)
     g, _ = net.gradient(x, y, scored)
-    for name, at in (("qkv", (3, 5)), ("hidden", (2, 4)), ("classes", (1, 0)), ("distance", (0, 2)), ("member_bias", (0, 1))):
+    for name, at in (("qkv", (3, 5)), ("qkv", (3, 12)), ("qkv", (3, 20)), ("hidden", (2, 4)), ("hidden", (20, 4)), ("hidden", (35, 4)), ("hidden", (-1, 4)), ("classes", (1, 0)), ("distance", (2,)), ("member_bias", (0, 1)), ("members", (0, 3, 1)), ("emb", (x[0, 3], 4))):
         w, eps = net.p[name], 1e-2
         w[at] += eps
         up = -net.log_probs(x, y, scored).astype(float).mean()
         w[at] -= 2 * eps
         down = -net.log_probs(x, y, scored).astype(float).mean()
         w[at] += eps
-        assert abs((up - down) / (2 * eps) - g[name][at]) < 2e-3
+        assert abs((up - down) / (2 * eps) - g[name][at]) < 2e-3, name
+
+
+def plain_log_prob(net, before, target):
+    """Log probability of an id after the ids before it in its window, one by one in double precision."""
+    p = {name: w.astype(float) for name, w in net.p.items()}
+    layout, k, e = net.layout, net.layout.k, []
+    for i in before:
+        e.append(p["emb"][layout.leaf[i]])
+    q, keys, values = (np.array([x @ p["qkv"][:, part * attention.HEAD : (part + 1) * attention.HEAD] for x in e]) for part in range(3))
+    weight = np.array([math.exp(min(60, q[-1] @ keys[j] + p["distance"][len(e) - 1 - j])) for j in range(len(e))])
+    seen = (weight[:, None] * values).sum(axis=0) / weight.sum()
+    z = np.r_[e[-1], e[-2] if len(e) > 1 else np.zeros(attention.WIDTH), seen, 1.0]
+    h = np.maximum(z @ p["hidden"], 0)
+    c, m = divmod(int(layout.leaf[target]), k)
+    softmax = lambda logits: logits - math.log(sum(math.exp(x) for x in logits))
+    out = softmax(h @ p["classes"] + p["class_bias"])[c] + softmax(h @ p["members"][c] + p["member_bias"][c])[m]
+    return out - (math.log((layout.counts <= 0).sum()) if layout.counts[target] <= 0 else 0)
+
+
+def test_scores_equal_one_window_at_a_time():
+    net, rng = trained(), np.random.default_rng(3)
+    sequences = [rng.integers(0, 600, n).astype(np.int32) for n in (1, 2, 31, 32, 33, 90)]
+    want = []
+    for ids in sequences:
+        start, total, w, s = 0, 0.0, attention.WINDOW, attention.STRIDE
+        while True:
+            for i in range(start if start == 0 else start + w - s, min(start + w, len(ids))):
+                total += plain_log_prob(net, [2 if j == 0 else ids[j - 1] for j in range(start, i + 1)], ids[i])
+            if start + w >= len(ids):
+                break
+            start += s
+        want.append(total)
+    assert np.allclose(scoring._scores(net, sequences, 2), want, rtol=1e-4)
+
+
+def test_scores_do_not_depend_on_neighbours():
+    net, rng = trained(), np.random.default_rng(4)
+    one = rng.integers(0, 600, 70).astype(np.int32)
+    alone = scoring._scores(net, [one], 2)[0]
+    for k in (1, 3, 17):
+        others = [rng.integers(0, 600, rng.integers(1, 200)).astype(np.int32) for _ in range(k)]
+        assert {scoring._scores(net, [*others, one, *others], 2)[k], scoring._scores(net, [one, *others], 2)[0]} == {alone}
 
 
 def test_scores_see_only_what_came_before():
-    counts = np.ones(5000)
-    net = attention.Attention(attention.blank(counts), counts)
+    net = trained()
     a = np.arange(30, dtype=np.int32)
     b = a.copy()
     b[20:] += 7
-    xa, ya, s, _ = attention.windows([a], net.rank, 2)
-    xb, yb, _, _ = attention.windows([b], net.rank, 2)
+    xa, ya, s, _ = attention.windows([a], net.layout.leaf, 2)
+    xb, yb, _, _ = attention.windows([b], net.layout.leaf, 2)
     assert np.allclose(net.log_probs(xa, ya, s)[:20], net.log_probs(xb, yb, s)[:20], atol=1e-5)
 
 
+def test_long_sequences_are_scored_once(monkeypatch):
+    net = trained()
+    ids = np.random.default_rng(5).integers(0, 600, 500).astype(np.int32)
+    monkeypatch.setattr(scoring, "SEGMENT_IDS", 120)
+    cut = [(len(s) - skip) for s, skip in scoring.segments(ids)]
+    assert sum(cut) == 500 and np.isfinite(scoring._scores(net, [ids], 2)).all()
+
+
 def test_tree_visits_all_leaves_once():
     x = np.random.default_rng(13).normal(size=(3000, 8))
     tree = neighbours.Tree(x).finish()
