@@ -2,7 +2,7 @@
 
 Inputs are subword ids, each predicted from those before it in its window. An
 attention head with a learned bias for each distance reads the window; a hidden
-layer on the last two embeddings and the head's output predicts the next id with
+layer on the last RECENT embeddings and the head's output predicts the next id with
 a two-level softmax over all ids: leaves are the ids in order of frequency,
 ``Layout.k`` classes of ``k`` leaves. Ids that the corpus doesn't have share the
 last leaf in equal parts; there is nothing to tell them apart by. So the layout
@@ -19,7 +19,9 @@ import math
 
 import numpy as np
 
-WIDTH, HEAD, HIDDEN = 16, 8, 24
+WIDTH, HEAD, HIDDEN = 24, 8, 32
+#: Last ids whose embeddings the hidden layer reads itself.
+RECENT = 3
 WINDOW, STRIDE = 32, 24
 #: Windows, and rows of a class, that are scored at a time.
 BATCH, TILE = 64, 32
@@ -49,7 +51,7 @@ class Layout:
             "emb": (self.leaves, WIDTH),
             "qkv": (WIDTH, 3 * HEAD),
             "distance": (WINDOW,),
-            "hidden": (2 * WIDTH + HEAD + 1, HIDDEN),  # the last row is the bias
+            "hidden": (RECENT * WIDTH + HEAD + 1, HIDDEN),  # the last row is the bias
             "classes": (HIDDEN, k),
             "class_bias": (k,),
             "members": (k, HIDDEN, k),
@@ -101,11 +103,11 @@ class Attention:
         np.minimum(a, MOST_LOGIT, out=a)
         np.exp(a, out=a)
         o = a @ v
-        z = np.ones((n, WINDOW, 2 * WIDTH + HEAD + 1), _F)
-        z[..., :WIDTH] = e
-        z[:, 0, WIDTH : 2 * WIDTH] = 0
-        z[:, 1:, WIDTH : 2 * WIDTH] = e[:, :-1]
-        np.divide(o[..., :HEAD], o[..., HEAD:], out=z[..., 2 * WIDTH : -1])
+        z = np.ones((n, WINDOW, RECENT * WIDTH + HEAD + 1), _F)
+        for back in range(RECENT):
+            z[:, :back, back * WIDTH : (back + 1) * WIDTH] = 0
+            z[:, back:, back * WIDTH : (back + 1) * WIDTH] = e[:, : WINDOW - back]
+        np.divide(o[..., :HEAD], o[..., HEAD:], out=z[..., RECENT * WIDTH : -1])
         h = z.reshape(-1, z.shape[-1]) @ p["hidden"]
         np.maximum(h, 0, out=h)
         return e, q, k, v, a, o, z, h
@@ -173,8 +175,8 @@ class Attention:
         g["hidden"] = flat.T @ dh
         dz = (dh @ p["hidden"].T).reshape(z.shape)
         do = np.empty_like(o)
-        np.divide(dz[..., 2 * WIDTH : -1], o[..., HEAD:], out=do[..., :HEAD])
-        do[..., HEAD] = -(do[..., :HEAD] * z[..., 2 * WIDTH : -1]).sum(axis=-1)
+        np.divide(dz[..., RECENT * WIDTH : -1], o[..., HEAD:], out=do[..., :HEAD])
+        do[..., HEAD] = -(do[..., :HEAD] * z[..., RECENT * WIDTH : -1]).sum(axis=-1)
         ds = do @ v.swapaxes(-1, -2)
         ds *= a
         g["distance"] = np.bincount(self.gap.ravel(), ds.sum(axis=0).ravel(), WINDOW).astype(_F)
@@ -185,8 +187,8 @@ class Attention:
         dqkv = dqkv.reshape(-1, 3 * HEAD)
         g["qkv"] = e.reshape(-1, WIDTH).T @ dqkv
         de = (dqkv @ p["qkv"].T).reshape(n, WINDOW, WIDTH)
-        de += dz[..., :WIDTH]
-        de[:, :-1] += dz[:, 1:, WIDTH : 2 * WIDTH]
+        for back in range(RECENT):
+            de[:, : WINDOW - back] += dz[:, back:, back * WIDTH : (back + 1) * WIDTH]
         row = x.ravel()
         order = np.argsort(row.astype(np.uint16), kind="stable") if self.layout.leaves < 1 << 16 else np.argsort(row, kind="stable")
         first = np.flatnonzero(np.r_[True, np.diff(row[order]) > 0])

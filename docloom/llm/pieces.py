@@ -14,9 +14,11 @@ that lose least by their second path can take part, and those are combined best
 first. All scores are integers (millionths), so sums are exact and the order of
 ties is fixed: fewer losses, then earlier chunks, then the order of A*.
 
-A model that stores merge ranks instead of log probabilities is scored by Zipf's
-law, ``-ln(rank + 2)``. A literal U+2581 is written in bytes, which makes
-decoding an exact inverse.
+A model that stores merge ranks instead of log probabilities says nothing of the
+probability of a path. Its pieces are then scored by Zipf's law, ``-ln(rank + 2)``:
+the paths are those of a unigram model over the same pieces, not the merges' own
+(the README has how often they agree). The model's normaliser isn't applied and a
+literal U+2581 is written in bytes, which makes decoding an exact inverse.
 """
 
 from __future__ import annotations
@@ -29,12 +31,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docloom.llm.common import read
+from docloom.llm.common import read, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -43,11 +44,14 @@ NEVER = -(1 << 80)
 #: Scores in arrays: no edge, no path. Paths have at most ARRAY_CHARS edges.
 NO_EDGE, NO_PATH = -(1 << 45), -(1 << 52)
 ARRAY_CHARS = 24
-_FACTOR = 0x9E3779B97F4A7C15
+CODE_BITS = 21
 N_BEST = 4
-CACHE_CHUNKS = 120_000
+#: Chunks in an encoder's table, and of those the ones with known alternatives; longer chunks are not kept.
+CACHE_CHUNKS, CACHE_OTHERS = 250_000, 50_000
 CACHED_CHARS = 64
-SLICE_CHARS = 1 << 20
+SLICE_BYTES = 1 << 20
+#: Names the file of the model in a session.
+MODEL_SETTING = "spark.docloom.pieces.model"
 ALTERNATIVES = "array<struct<score:double,edits:array<struct<at:int,drop:int,ids:array<int>>>>>"
 ENCODED = f"ids array<int>, score double, others {ALTERNATIVES}"
 _EDIT = pa.struct([("at", pa.int32()), ("drop", pa.int32()), ("ids", pa.list_(pa.int32()))])
@@ -83,17 +87,17 @@ class Pieces:
                 self.edges[shown] = (score, (i,))
         self.byte_score = lowest - 10 * UNIT
         self.longest = max(map(len, self.edges), default=1)
-        by_length: dict[int, list] = {}
+        self.score_of = {i: score for score, (i,) in self.edges.values()} | {i: self.byte_score for i in self.byte_ids}
+        # the pieces as a trie: a step from a node with a character is a key in a sorted array
+        nodes: dict[str, int] = {"": 0}
+        for shown in sorted(self.edges):
+            for n in range(1, len(shown) + 1):
+                nodes.setdefault(shown[:n], len(nodes))
+        steps = sorted(((nodes[t[:-1]] << CODE_BITS) | ord(t[-1]), i) for t, i in nodes.items() if t)
+        self.step_keys, self.step_nodes = np.array([k for k, _ in steps], np.int64), np.array([i for _, i in steps], np.int32)
+        self.node_score, self.node_id = np.full(len(nodes), NO_EDGE), np.zeros(len(nodes), np.int32)
         for shown, (score, ids) in self.edges.items():
-            by_length.setdefault(len(shown), []).append((self._hash(shown), score, ids[0]))
-        self.tables = {n: [np.array(c, t) for c, t in zip(zip(*sorted(rows)), (np.uint64, np.int64, np.int32))] for n, rows in by_length.items()}
-
-    @staticmethod
-    def _hash(text: str) -> int:
-        h = 0
-        for c in text:
-            h = (h * _FACTOR + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-        return h
+            self.node_score[nodes[shown]], self.node_id[nodes[shown]] = score, ids[0]
 
     def _bytes_edge(self, c: str) -> tuple[int, tuple[int, ...]]:
         raw = c.encode("utf-8", "surrogatepass")
@@ -162,19 +166,23 @@ class Pieces:
     def _equal_lengths(self, n: int, texts: list[str], out: dict) -> list[str]:
         """Adds the best paths of texts of n characters to out; returns the texts with a character of no piece."""
         m = len(texts)
-        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.uint64) + np.uint64(1)
-        window = codes.copy()  # hash of the characters from each place on, one more in each turn
-        found = {}
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T.astype(np.int64).ravel()
+        at, node = np.arange(n * m), np.zeros(n * m, np.int32)  # places (character, text) that a node of the trie goes on from
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for size in range(1, min(n, self.longest) + 1):
             if size > 1:
-                window = window[: n - size + 1] * np.uint64(_FACTOR) + codes[size - 1 :]
-            if size in self.tables:
-                hashes, score, ids = self.tables[size]
-                at = np.minimum(np.searchsorted(hashes, window), len(hashes) - 1)
-                hit = hashes[at] == window
-                if size == 1:
-                    known = hit.all(axis=0)
-                found[size] = np.where(hit, score[at], NO_EDGE), ids[at]
+                inside = at < (n - size + 1) * m
+                at, node = at[inside], node[inside]
+            key = (node.astype(np.int64) << CODE_BITS) | codes[at + (size - 1) * m]
+            step = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
+            hit = self.step_keys[step] == key
+            at, node = at[hit], self.step_nodes[step[hit]]
+            score, ids = np.full((n - size + 1) * m, NO_EDGE), np.zeros((n - size + 1) * m, np.int32)
+            score[at], ids[at] = self.node_score[node], self.node_id[node]
+            found[size] = score.reshape(-1, m), ids.reshape(-1, m)
+            if not len(at):
+                break
+        known = (found[1][0] > NO_EDGE).all(axis=0)
         best, second = (np.full((n + 1, m), NO_PATH) for _ in range(2))
         best[0] = 0
         came = np.zeros((n + 1, m), np.int8)
@@ -235,30 +243,43 @@ class Pieces:
 
 
 class Encoder:
+    """Best paths of chunks in a table of bounded size; others by A* where a text needs them."""
+
     CHUNK = re.compile(r" +[^ \n]*|\n|[^ \n]+")
 
     def __init__(self, model: bytes, n_best: int = N_BEST):
         self.pieces, self.n_best = Pieces(model), n_best
-        self.new: dict = {}
-        self.old: dict = {}
-        self.others: dict = {}
-
-    def chunk_rows(self, chunked: list[list[str]]) -> dict:
-        """[ids, score, loss of the second path] of all chunks; two generations of cache."""
-        rows, missing = {}, []
-        for chunk in set(chain.from_iterable(chunked)):
-            got = self.new.get(chunk) or self.old.get(chunk)
-            if got is None:
-                missing.append(chunk)
-            else:
-                rows[chunk] = self.new[chunk] = got
-        for chunk, got in self.pieces.best_paths(missing).items():
-            rows[chunk] = got
-            if len(chunk) <= CACHED_CHARS:
-                self.new[chunk] = got
-        if len(self.new) >= CACHE_CHUNKS:
-            self.old, self.new = self.new, {}
-        return rows
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.others: dict[str, list] = {}
+        self.n, self.flat, self.start = 0, np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
+        self.score, self.loss = np.empty(1 << 14, np.int64), np.empty(1 << 14)
+
+    def _add(self, chunks: list[str]) -> None:
+        """Puts the best paths of chunks into the table: ids, score, loss of the second path."""
+        rows = self.pieces.best_paths(chunks)
+        rows = [rows[c] for c in chunks]
+        first, self.n = self.n, self.n + len(chunks)
+        ends = self.start[first] + np.cumsum([len(r[0]) for r in rows])
+        self.flat, self.start, self.score, self.loss = (_grown(a, size) for a, size in ((self.flat, int(ends[-1])), (self.start, self.n + 1), (self.score, self.n), (self.loss, self.n)))
+        self.flat[self.start[first] : ends[-1]] = list(chain.from_iterable(r[0] for r in rows))
+        self.start[first + 1 : self.n + 1] = ends
+        self.score[first : self.n], self.loss[first : self.n] = [r[1] for r in rows], [math.inf if r[2] is None else r[2] for r in rows]
+        self.place.update(zip(chunks, range(first, self.n)))
+
+    def places(self, chunked: list[list[str]]) -> list[np.ndarray]:
+        """Numbers in the table of each text's chunks; they hold until the next call."""
+        if self.n > CACHE_CHUNKS:
+            self.clear()
+        get = self.place.get
+        found = [list(map(get, chunks)) for chunks in chunked]
+        missing = dict.fromkeys(c for chunks, at in zip(chunked, found) if None in at for c, i in zip(chunks, at) if i is None)
+        if missing:
+            self._add(list(missing))
+            found = [list(map(get, chunks)) if None in at else at for chunks, at in zip(chunked, found)]
+        return [np.array(at, np.int64) for at in found]
 
     def alternatives(self, chunk: str, best: list[int]) -> list[tuple[int, list[int]]]:
         """(loss, ids) of the next best paths."""
@@ -266,7 +287,7 @@ class Encoder:
         if got is None:
             paths = self.pieces.nbest(chunk, self.n_best)
             got = [(paths[0][0] - s, ids) for s, ids in paths if ids != best][: self.n_best - 1]
-            if len(self.others) >= CACHE_CHUNKS:
+            if len(self.others) >= CACHE_OTHERS:
                 self.others = {}
             if len(chunk) <= CACHED_CHARS:
                 self.others[chunk] = got
@@ -275,28 +296,29 @@ class Encoder:
     def encode(self, texts: list[str | None]):
         """(ids, score, [(score, [(at, drop, ids)])]) of each text: the best path, and the edits of the others."""
         chunked = [self.CHUNK.findall(" " + t) if t else [] for t in texts]
-        rows = self.chunk_rows(chunked)
-        for text, chunks in zip(texts, chunked):
-            yield (None, None, []) if text is None else self._combined(chunks, [rows[c] for c in chunks])
-
-    def _combined(self, chunks: list[str], rows: list):
-        if not rows:
-            return [], 0.0, []
-        ids = list(chain.from_iterable([r[0] for r in rows]))
-        score = sum([r[1] for r in rows])
+        for text, chunks, places in zip(texts, chunked, self.places(chunked)):
+            yield (None, None, []) if text is None else self._combined(chunks, places)
+
+    def _combined(self, chunks: list[str], places: np.ndarray):
+        if not chunks:
+            return np.empty(0, np.int32), 0.0, []
+        first, n = self.start[places], self.start[places + 1] - self.start[places]
+        start = np.cumsum(n) - n
+        ids = self.flat[np.repeat(first - start, n) + np.arange(n.sum())]
+        score = int(self.score[places].sum())
         if self.n_best == 1:
             return ids, score / UNIT, []
-        loss = np.array([math.inf if r[2] is None else r[2] for r in rows])
-        k = min(self.n_best - 1, len(rows))
-        if k < len(rows):
+        loss = self.loss[places]
+        k = min(self.n_best - 1, len(chunks))
+        if k < len(chunks):
             limit = np.partition(loss, k - 1)[k - 1]
             at = np.flatnonzero(loss < limit).tolist()
             at = sorted(at + np.flatnonzero(loss == limit)[: k - len(at)].tolist())
         else:
-            at = list(range(len(rows)))
+            at = list(range(len(chunks)))
         at = [i for i in at if loss[i] < math.inf]
-        options = [[(0, None), *self.alternatives(chunks[i], rows[i][0])] for i in at]
-        start = np.cumsum([0] + [len(r[0]) for r in rows])
+        best = {i: self.flat[first[i] : first[i] + n[i]].tolist() for i in at}
+        options = [[(0, None), *self.alternatives(chunks[i], best[i])] for i in at]
         others = []
         queue, seen = [(0, (0,) * len(at))], {(0,) * len(at)}
         while queue and len(others) < self.n_best:
@@ -308,15 +330,19 @@ class Encoder:
                     if more not in seen:
                         seen.add(more)
                         heapq.heappush(queue, (sum(options[q][c][0] for q, c in enumerate(more)), more))
-        return ids, score / UNIT, [((score - lost) / UNIT, [(int(start[at[p]]), len(rows[at[p]][0]), options[p][c][1]) for p, c in enumerate(choice) if c]) for lost, choice in others[1:]]
+        return ids, score / UNIT, [((score - lost) / UNIT, [(int(start[at[p]]), len(best[at[p]]), options[p][c][1]) for p, c in enumerate(choice) if c]) for lost, choice in others[1:]]
 
     def decode(self, ids) -> str:
         return b"".join(map(self.pieces.bytes_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
-def apply_edits(ids: list[int], edits) -> list[int]:
+def _grown(a: np.ndarray, size: int) -> np.ndarray:
+    return a if size <= len(a) else np.concatenate((a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)))
+
+
+def apply_edits(ids, edits) -> list[int]:
     """The id sequence of another path."""
-    out, at = [], 0
+    out, at, ids = [], 0, list(ids)
     for start, drop, new in edits:
         out += ids[at:start] + list(new)
         at = start + drop
@@ -335,20 +361,12 @@ def encoder(model: bytes, n_best: int) -> Encoder:
     return _ENCODERS[key]
 
 
-def _batches(b: pa.RecordBatch, at: int):
-    """Slices of b of about SLICE_CHARS characters of the string column ``at``."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(b.column(at)), 0).to_numpy(zero_copy_only=False)) // SLICE_CHARS
-    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), b.num_rows]
-    for first, last in zip(cuts, cuts[1:]):
-        if last > first:
-            yield b.slice(first, last - first)
-
-
-def _extended(df: DataFrame, schema: str) -> StructType:
+def _extended(df: DataFrame, schema: str) -> tuple[StructType, list[int]]:
+    """df's schema with new columns, and the numbers of df's columns that stay: a new column replaces one of its name."""
     new = df.sparkSession.createDataFrame([], schema).schema.fields
-    if clash := {f.name for f in new} & set(df.columns):
-        raise ValueError(f"there already: {sorted(clash)}")
-    return StructType([*df.schema.fields, *new])
+    names = {f.name.lower() for f in new}
+    stay = [i for i, c in enumerate(df.columns) if c.lower() not in names]
+    return StructType([*(df.schema.fields[i] for i in stay), *new]), stay
 
 
 def encode_texts(df: DataFrame, model: bytes, n_best: int = N_BEST, text_col: str = "text", decoded: str | None = None) -> DataFrame:
@@ -357,41 +375,40 @@ def encode_texts(df: DataFrame, model: bytes, n_best: int = N_BEST, text_col: st
     With ``decoded``, also with a column of that name: what the ids decode to.
     Null texts give null ids and score and no others; empty ones no ids and the
     score 0. Rows, also repeated ones, and other columns stay as they are; a
-    column named like a new one is an error.
+    column named like a new one is replaced. An empty table gives an empty result.
     """
     held = df.sparkSession.sparkContext.broadcast(model)
-    out, at = _extended(df, ENCODED + (f", {decoded} string" if decoded else "")), df.columns.index(text_col)
+    (out, stay), at = _extended(df, ENCODED + (f", {decoded} string" if decoded else "")), df.columns.index(text_col)
 
     def run(batches):
         e = encoder(held.value, n_best)
-        for whole in batches:
-            for b in _batches(whole, at):
-                flat, ends, valid, scores, others, texts = [], [0], [], [], [], []
-                for ids, score, more in e.encode(b.column(at).to_pylist()):
-                    valid.append(ids is not None)
-                    flat.append(np.array(ids or [], np.int32))
-                    ends.append(ends[-1] + len(flat[-1]))
-                    scores.append(score)
-                    others.append([{"score": s, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in edits]} for s, edits in more])
-                    if decoded:
-                        texts.append(None if ids is None else e.decode(ids))
-                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)), mask=pa.array([not v for v in valid]))
-                made = [lists, pa.array(scores, pa.float64()), pa.array(others, _OTHERS), *([pa.array(texts, pa.string())] if decoded else [])]
-                yield pa.RecordBatch.from_arrays([*b.columns, *made], names=out.names)
+        for b in slices(batches, at, SLICE_BYTES):
+            flat, ends, valid, scores, others, texts = [], [0], [], [], [], []
+            for ids, score, more in e.encode(b.column(at).to_pylist()):
+                valid.append(ids is not None)
+                flat.append(np.empty(0, np.int32) if ids is None else ids)
+                ends.append(ends[-1] + len(flat[-1]))
+                scores.append(score)
+                others.append([{"score": s, "edits": [{"at": a, "drop": d, "ids": i} for a, d, i in edits]} for s, edits in more])
+                if decoded:
+                    texts.append(None if ids is None else e.decode(ids.tolist()))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)), mask=pa.array([not v for v in valid]))
+            made = [lists, pa.array(scores, pa.float64()), pa.array(others, _OTHERS), *([pa.array(texts, pa.string())] if decoded else [])]
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in stay), *made], names=out.names)
 
     return df.mapInArrow(run, out)
 
 
 def decode_ids(df: DataFrame, model: bytes, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """df with the text of ids_col; null ids give null."""
+    """df with the text of ids_col; null ids give null. A column named like the new one is replaced."""
     held = df.sparkSession.sparkContext.broadcast(model)
-    out, at = _extended(df, f"{to} string"), df.columns.index(ids_col)
+    (out, stay), at = _extended(df, f"{to} string"), df.columns.index(ids_col)
 
     def run(batches):
         e = encoder(held.value, N_BEST)
         for b in batches:
             texts = [None if ids is None else e.decode(ids) for ids in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=out.names)
+            yield pa.RecordBatch.from_arrays([*(b.column(i) for i in stay), pa.array(texts, pa.string())], names=out.names)
 
     return df.mapInArrow(run, out)
 
@@ -401,16 +418,19 @@ def model_bytes(path: str = MODEL_PATH) -> bytes:
         return f.read()
 
 
+def session_model(spark: SparkSession) -> bytes:
+    """The model that the session names under MODEL_SETTING, else that of MODEL_PATH."""
+    return model_bytes(spark.conf.get(MODEL_SETTING, MODEL_PATH))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every document as count and hash, the scores of the best paths, and whether decoding gives the text back."""
-    model = model_bytes()
+    """encode_texts of all documents: ids, their number and score, the next best paths as edits of the best one, and whether decoding gives the text back. Nulls, blanks, repeats and empty tables as there."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode_texts(docs, model, decoded="decoded").select(
+    return encode_texts(docs, session_model(spark), decoded="decoded").select(
         "doc_id",
         F.coalesce(F.size("ids"), F.lit(0)).cast("long").alias("n_pieces"),
-        F.xxhash64("ids").alias("ids_hash"),
+        "ids",
         "score",
-        F.transform("others", lambda o: o["score"]).alias("other_scores"),
-        F.xxhash64(F.transform("others", lambda o: o["edits"])).alias("others_hash"),
+        "others",
         F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"),
     )

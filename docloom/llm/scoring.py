@@ -32,9 +32,9 @@ HEAD_WORDS = 200_000
 #: Bounds of the sample that the first steps are taken on; small samples are read again, SAMPLE_READS times at most.
 SAMPLE_DOCS, SAMPLE_IDS, SAMPLE_READS = 2000, 2_000_000, 4
 ROUNDS = 2
-LEARNING_RATE, AVERAGED_RATE = 0.012, 0.003
+LEARNING_RATE, AVERAGED_RATES = 0.02, (0.012, 0.004)
 #: Windows in a step of the first training and of the averaged rounds.
-TRAIN_WINDOWS, AVERAGED_WINDOWS = 96, 256
+TRAIN_WINDOWS, AVERAGED_WINDOWS = 192, 256
 SEGMENT_IDS = 65_536
 GROUP_IDS = 16_384  # scored at a time: their rows of scores stay in a core's cache
 CACHE_WORDS = 300_000
@@ -202,7 +202,7 @@ def train_everywhere(docs: DataFrame, state: np.ndarray, layout: attention.Layou
             if group:
                 x, y, scored, _ = attention.windows(group, layout.leaf, s.end, attention.WINDOW)
                 seen += int(scored.sum())
-                _epoch(net, steps, (x, y, scored), lambda at: AVERAGED_RATE * min(1, 0.1 + steps.t / 50), AVERAGED_WINDOWS)
+                _epoch(net, steps, (x, y, scored), lambda at: AVERAGED_RATES[turn] * min(1, 0.1 + steps.t / 50), AVERAGED_WINDOWS)
             group.clear()
             size = 0
 

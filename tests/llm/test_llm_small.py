@@ -102,7 +102,7 @@ def test_nbest_equals_all_paths(encoder):
     texts = ["Hello wörld", "a  b\nc▁d", "日本 ok\n", "aaaaaa", "  ", "x", "\n\n", "tab\there", "", None]
     for text, (ids, score, others) in zip(texts, encoder.encode(texts)):
         if not text:
-            assert others == [] and ids == (None if text is None else [])
+            assert others == [] and (ids is None if text is None else len(ids) == 0)
             continue
         want = [p[0] for p in every_path(encoder, " " + text)[: encoder.n_best]]
         assert [round(x * pieces.UNIT) for x in (score, *(o[0] for o in others))] == want
@@ -116,6 +116,18 @@ def test_array_paths_equal_viterbi(encoder):
     assert encoder.pieces.best_paths(texts) == dict(zip(texts, encoder.pieces.viterbi(texts)))
 
 
+def test_nbest_of_longer_texts_equals_a_search_of_the_whole_lattice(encoder, monkeypatch):
+    rng = random.Random(16)
+    texts = [" ".join("".join(rng.choices("theinaro\nb", k=rng.randrange(1, 12))) for _ in range(rng.randrange(5, 60))) for _ in range(30)]
+    monkeypatch.setattr(pieces, "CACHE_CHUNKS", 50)
+    for _ in range(2):
+        for text, (ids, score, others) in zip(texts, encoder.encode(texts)):
+            want = [s for s, _ in encoder.pieces.nbest(" " + text, encoder.n_best)]
+            assert [round(x * pieces.UNIT) for x in (score, *(o[0] for o in others))] == want
+            value = lambda path: sum(encoder.pieces.score_of[i] for i in path)
+            assert [value(pieces.apply_edits(ids, o[1])) for o in others] == want[1:] and value(ids) == want[0]
+
+
 def test_lcs():
     def plain(a, b):
         row = [0] * (len(b) + 1)
@@ -253,7 +265,7 @@ def test_probabilities_sum_to_one_and_gradient():
     assert abs(total - 1) < 1e-3
     x, y, scored, _ = attention.windows([np.flatnonzero(net.layout.counts)[seq % 300].astype(np.int32)], net.layout.leaf, 2)
     g, _ = net.gradient(x, y, scored)
-    for name, at in (("qkv", (3, 5)), ("qkv", (3, 12)), ("qkv", (3, 20)), ("hidden", (2, 4)), ("hidden", (20, 4)), ("hidden", (35, 4)), ("hidden", (-1, 4)), ("classes", (1, 0)), ("distance", (2,)), ("member_bias", (0, 1)), ("members", (0, 3, 1)), ("emb", (x[0, 3], 4))):
+    for name, at in (("qkv", (3, 5)), ("qkv", (3, 12)), ("qkv", (3, 20)), ("hidden", (2, 4)), ("hidden", (20, 4)), ("hidden", (60, 4)), ("hidden", (75, 4)), ("hidden", (-1, 4)), ("classes", (1, 0)), ("distance", (2,)), ("member_bias", (0, 1)), ("members", (0, 3, 1)), ("emb", (x[0, 3], 4))):
         w, eps = net.p[name], 1e-2
         w[at] += eps
         up = -net.log_probs(x, y, scored).astype(float).mean()
@@ -272,7 +284,7 @@ def plain_log_prob(net, before, target):
     q, keys, values = (np.array([x @ p["qkv"][:, part * attention.HEAD : (part + 1) * attention.HEAD] for x in e]) for part in range(3))
     weight = np.array([math.exp(min(60, q[-1] @ keys[j] + p["distance"][len(e) - 1 - j])) for j in range(len(e))])
     seen = (weight[:, None] * values).sum(axis=0) / weight.sum()
-    z = np.r_[e[-1], e[-2] if len(e) > 1 else np.zeros(attention.WIDTH), seen, 1.0]
+    z = np.concatenate([*(e[-1 - b] if len(e) > b else np.zeros(attention.WIDTH) for b in range(attention.RECENT)), seen, [1.0]])
     h = np.maximum(z @ p["hidden"], 0)
     c, m = divmod(int(layout.leaf[target]), k)
     softmax = lambda logits: logits - math.log(sum(math.exp(x) for x in logits))

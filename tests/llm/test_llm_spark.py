@@ -120,8 +120,9 @@ def test_pieces(spark):
     assert all(r.score >= o.score for r in rows for o in r.others)
     back = pieces.decode_ids(docs.limit(0).withColumn("ids", F.array(F.lit(1))), pieces.model_bytes())
     assert back.count() == 0
-    with pytest.raises(ValueError):
-        pieces.encode_texts(docs.withColumn("ids", F.lit(1)), pieces.model_bytes())
+    clash = pieces.encode_texts(docs.withColumn("ids", F.lit(1)).withColumn("score", F.lit("x")), pieces.model_bytes()).collect()
+    assert [r.ids for r in clash] == [r.ids for r in rows] and [r.score for r in clash] == [r.score for r in rows]
+    assert pieces.encode_texts(docs.limit(0), pieces.model_bytes()).count() == 0
 
 
 def sets_of(text):
