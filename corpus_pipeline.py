@@ -36,7 +36,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Subword ids of every text, the score of that path and of the next best ones, and whether decoding gives the text back."""
-    encoded = pieces.encode_texts(docs, pieces.model_bytes(), decoded="decoded")
+    encoded = pieces.encode_texts(docs, pieces.session_model(spark), decoded="decoded")
     return encoded.select("doc_id", "lang", "source", "n_chars", "ids", "score", F.transform("others", lambda o: o["score"]).alias("other_scores"), F.col("text").eqNullSafe(F.col("decoded")).alias("lossless"))
 
 
