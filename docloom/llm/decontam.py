@@ -28,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ ITEM_WEIGHT = 3.0
 COSINE = 0.28
 NEAR_COPY, PARAPHRASE, EVIDENCE = 0.75, 0.5, 0.72
 ROW_WORDS = 65_536  # of a longer text in one row
-GROUP_WORDS = 1 << 18
+GROUP_WORDS = 1 << 14  # gone through at a time: what belongs to them stays in a core's cache
 PAIR_WORDS = 1 << 21  # looked up at a time
 SEED = 77
 
@@ -86,8 +87,7 @@ class Items:
         self.longest = max(map(len, self.ids), default=0)
 
     def row(self, words: list[str]) -> np.ndarray:
-        get = self.vocabulary.get
-        return np.array([get(w, -1) for w in words], np.int32)
+        return np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, len(words))
 
     def parts(self, items: range) -> list[tuple[int, int, np.ndarray]]:
         """(item, first word, word ids) of the items' passages."""
@@ -97,18 +97,21 @@ class Items:
         self.idf = np.log((n_docs + 1) / (df + 0.5)).astype(np.float32)
         self.idf = np.maximum(self.idf, 1e-3)
 
-    def sketch(self, flat: np.ndarray, ends: np.ndarray, table: np.ndarray, out: np.ndarray, weight: float = 1.0) -> None:
+    def sketch(self, flat: np.ndarray, ends: np.ndarray, table: np.ndarray, out: np.ndarray) -> None:
         """Adds rows' (rows table) to out, for the rows of unit weight whose word ids end in flat at ends; none is empty."""
         if not len(ends):
             return
         first, idf, feature = np.r_[0, ends[:-1]], self.idf[flat], flat % self.features
         n = np.diff(np.r_[0, ends])
         scale = 1 / np.sqrt(np.add.reduceat(idf.astype(np.float64) ** 2, first))
-        y = np.add.reduceat(table[feature] * idf[:, None], first) * (scale**2)[:, None].astype(np.float32)
+        own = table[feature]
+        own *= idf[:, None]
+        y = np.add.reduceat(own, first) * (scale**2)[:, None].astype(np.float32)
         order = np.argsort(feature, kind="stable")
-        part = y[np.repeat(np.arange(len(n)), n)[order]] * idf[order][:, None]
+        part = y[np.repeat(np.arange(len(n)), n)[order]]
+        part *= idf[order][:, None]
         start = np.flatnonzero(np.r_[True, np.diff(feature[order]) > 0])
-        out[feature[order][start]] += weight * np.add.reduceat(part, start)
+        out[feature[order][start]] += np.add.reduceat(part, start)
 
     def table(self) -> np.ndarray:
         return np.random.default_rng(SEED).normal(size=(self.features, min(RANK + OVERSAMPLE, self.features))).astype(np.float32)
@@ -234,7 +237,7 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def tokenised(ws: Workspace, items: Items, docs: DataFrame, name: str) -> tuple[DataFrame, np.ndarray, int]:
-    """(key, skip, ids) of docs (key, text) as a written table, and from the same pass how many documents hold each word, and their number.
+    """(key, skip, ids: 4 bytes a word) of docs (key, text) as a written table, and from the same pass how many documents hold each word, and their number.
 
     A longer text has several rows that overlap by ``skip`` words.
     """
@@ -257,12 +260,12 @@ def tokenised(ws: Workspace, items: Items, docs: DataFrame, name: str) -> tuple[
                     skip.append(min(start, overlap))
                     rows.append(row[max(0, start - overlap) : start + ROW_WORDS])
             total[size] += b.num_rows
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0] + [len(r) for r in rows]), pa.int32()), pa.array(np.concatenate(rows)))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(skip, pa.int32()), lists, pa.nulls(len(rows), pa.binary())], names=["key", "skip", "ids", "counts"])
+            data = pa.array([r.tobytes() for r in rows], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(skip, pa.int32()), data, pa.nulls(len(rows), pa.binary())], names=["key", "skip", "ids", "counts"])
         if kind is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([0], pa.int32()), pa.nulls(1, pa.list_(pa.int32())), pa.array([total.tobytes()], pa.binary())], names=["key", "skip", "ids", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, kind), pa.array([0], pa.int32()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names=["key", "skip", "ids", "counts"])
 
-    table = ws.table(docs.select("key", "text").mapInArrow(run, f"key {key_type}, skip int, ids array<int>, counts binary"), name)
+    table = ws.table(docs.select("key", "text").mapInArrow(run, f"key {key_type}, skip int, ids binary, counts binary"), name)
 
     def add(b, total):
         for v in b.column(0):
@@ -274,11 +277,10 @@ def tokenised(ws: Workspace, items: Items, docs: DataFrame, name: str) -> tuple[
 
 def _rows(b: pa.RecordBatch, at: int):
     """Numbers of rows and their word ids in groups of about GROUP_WORDS words."""
-    column, numbers, group, words = b.column(at), [], [], 0
-    flat, offsets = np.asarray(column.values), np.asarray(column.offsets)
-    for i in range(b.num_rows):
+    numbers, group, words = [], [], 0
+    for i, v in enumerate(b.column(at)):
         numbers.append(i)
-        group.append(flat[offsets[i] : offsets[i + 1]])
+        group.append(np.frombuffer(v.as_buffer(), np.int32))
         words += len(group[-1])
         if words >= GROUP_WORDS:
             yield numbers, group
