@@ -106,6 +106,23 @@ def slices(batches, at: int = 0, limit: int = SLICE_BYTES):
                 yield b.slice(first, last - first)
 
 
+class Numbers(dict):
+    """Numbers of things as they come up; ``fresh`` holds those numbered since it was last cleared."""
+
+    def __init__(self):
+        self.fresh: list = []
+
+    def __missing__(self, x):
+        n = self[x] = len(self)
+        self.fresh.append(x)
+        return n
+
+
+def grown(a: np.ndarray, size: int) -> np.ndarray:
+    """a with room for ``size`` entries."""
+    return a if size <= len(a) else np.concatenate((a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)))
+
+
 def crc_mod(c: Column, n: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(n))
 

@@ -35,19 +35,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docloom.llm.common import read, slices
+from docloom.llm.common import Numbers, grown, read, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 UNIT = 1_000_000
 NEVER = -(1 << 80)
-#: Scores in arrays: no edge, no path. Paths have at most ARRAY_CHARS edges.
-NO_EDGE, NO_PATH = -(1 << 45), -(1 << 52)
+#: 32-bit scores in arrays: no edge, no path; real paths, of at most ARRAY_CHARS edges, stay above LEAST.
+NO_EDGE, NO_PATH, LEAST = -(1 << 30), -(1 << 30) + 1, -(1 << 29)
 ARRAY_CHARS = 24
 CODE_BITS = 21
 N_BEST = 4
 #: Chunks in an encoder's table, and of those the ones with known alternatives; longer chunks are not kept.
-CACHE_CHUNKS, CACHE_OTHERS = 250_000, 50_000
+CACHE_CHUNKS, CACHE_OTHERS = 500_000, 50_000
 CACHED_CHARS = 64
 SLICE_BYTES = 1 << 20
 #: Names the file of the model in a session.
@@ -87,6 +87,7 @@ class Pieces:
                 self.edges[shown] = (score, (i,))
         self.byte_score = lowest - 10 * UNIT
         self.longest = max(map(len, self.edges), default=1)
+        self.array_chars = min(ARRAY_CHARS, LEAST // min(lowest, -1) - 1)
         self.score_of = {i: score for score, (i,) in self.edges.values()} | {i: self.byte_score for i in self.byte_ids}
         # the pieces as a trie: a step from a node with a character is a key in a sorted array
         nodes: dict[str, int] = {"": 0}
@@ -95,7 +96,7 @@ class Pieces:
                 nodes.setdefault(shown[:n], len(nodes))
         steps = sorted(((nodes[t[:-1]] << CODE_BITS) | ord(t[-1]), i) for t, i in nodes.items() if t)
         self.step_keys, self.step_nodes = np.array([k for k, _ in steps], np.int64), np.array([i for _, i in steps], np.int32)
-        self.node_score, self.node_id = np.full(len(nodes), NO_EDGE), np.zeros(len(nodes), np.int32)
+        self.node_score, self.node_id = np.full(len(nodes), NO_EDGE, np.int32), np.zeros(len(nodes), np.int32)
         for shown, (score, ids) in self.edges.items():
             self.node_score[nodes[shown]], self.node_id[nodes[shown]] = score, ids[0]
 
@@ -153,7 +154,7 @@ class Pieces:
         """viterbi of many texts, by text: those of equal length together, in arrays."""
         out, rest, by_length = {}, [], {}
         for t in texts:
-            if len(t) > ARRAY_CHARS:
+            if len(t) > self.array_chars:
                 rest.append(t)
             else:
                 by_length.setdefault(len(t), []).append(t)
@@ -177,13 +178,13 @@ class Pieces:
             step = np.minimum(np.searchsorted(self.step_keys, key), len(self.step_keys) - 1)
             hit = self.step_keys[step] == key
             at, node = at[hit], self.step_nodes[step[hit]]
-            score, ids = np.full((n - size + 1) * m, NO_EDGE), np.zeros((n - size + 1) * m, np.int32)
+            score, ids = np.full((n - size + 1) * m, NO_EDGE, np.int32), np.zeros((n - size + 1) * m, np.int32)
             score[at], ids[at] = self.node_score[node], self.node_id[node]
             found[size] = score.reshape(-1, m), ids.reshape(-1, m)
             if not len(at):
                 break
         known = (found[1][0] > NO_EDGE).all(axis=0)
-        best, second = (np.full((n + 1, m), NO_PATH) for _ in range(2))
+        best, second = (np.full((n + 1, m), NO_PATH, np.int32) for _ in range(2))
         best[0] = 0
         came = np.zeros((n + 1, m), np.int8)
         for j in range(1, n + 1):
@@ -209,7 +210,7 @@ class Pieces:
         columns = path.T.tolist()
         for t, ok, ids, k, score, lost in zip(texts, known.tolist(), columns, count.tolist(), best[n].tolist(), loss.tolist()):
             if ok:
-                out[t] = ids[:k][::-1], score, None if lost > -NO_EDGE // 2 else lost
+                out[t] = ids[:k][::-1], score, None if lost > -LEAST else lost
         return [t for t, ok in zip(texts, known.tolist()) if not ok]
 
     def nbest(self, text: str, n_best: int) -> list[tuple[int, list[int]]]:
@@ -252,8 +253,7 @@ class Encoder:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[str, int] = {}
-        self.others: dict[str, list] = {}
+        self.place, self.others = Numbers(), {}
         self.n, self.flat, self.start = 0, np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
         self.score, self.loss = np.empty(1 << 14, np.int64), np.empty(1 << 14)
 
@@ -263,23 +263,20 @@ class Encoder:
         rows = [rows[c] for c in chunks]
         first, self.n = self.n, self.n + len(chunks)
         ends = self.start[first] + np.cumsum([len(r[0]) for r in rows])
-        self.flat, self.start, self.score, self.loss = (_grown(a, size) for a, size in ((self.flat, int(ends[-1])), (self.start, self.n + 1), (self.score, self.n), (self.loss, self.n)))
+        self.flat, self.start, self.score, self.loss = (grown(a, size) for a, size in ((self.flat, int(ends[-1])), (self.start, self.n + 1), (self.score, self.n), (self.loss, self.n)))
         self.flat[self.start[first] : ends[-1]] = list(chain.from_iterable(r[0] for r in rows))
         self.start[first + 1 : self.n + 1] = ends
         self.score[first : self.n], self.loss[first : self.n] = [r[1] for r in rows], [math.inf if r[2] is None else r[2] for r in rows]
-        self.place.update(zip(chunks, range(first, self.n)))
 
     def places(self, chunked: list[list[str]]) -> list[np.ndarray]:
         """Numbers in the table of each text's chunks; they hold until the next call."""
         if self.n > CACHE_CHUNKS:
             self.clear()
-        get = self.place.get
-        found = [list(map(get, chunks)) for chunks in chunked]
-        missing = dict.fromkeys(c for chunks, at in zip(chunked, found) if None in at for c, i in zip(chunks, at) if i is None)
-        if missing:
-            self._add(list(missing))
-            found = [list(map(get, chunks)) if None in at else at for chunks, at in zip(chunked, found)]
-        return [np.array(at, np.int64) for at in found]
+        found = [np.array(list(map(self.place.__getitem__, chunks)), np.int64) for chunks in chunked]
+        if self.place.fresh:
+            self._add(self.place.fresh)
+            self.place.fresh = []
+        return found
 
     def alternatives(self, chunk: str, best: list[int]) -> list[tuple[int, list[int]]]:
         """(loss, ids) of the next best paths."""
@@ -336,10 +333,6 @@ class Encoder:
         return b"".join(map(self.pieces.bytes_of.__getitem__, ids))[1:].decode("utf-8", "surrogatepass")
 
 
-def _grown(a: np.ndarray, size: int) -> np.ndarray:
-    return a if size <= len(a) else np.concatenate((a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)))
-
-
 def apply_edits(ids, edits) -> list[int]:
     """The id sequence of another path."""
     out, at, ids = [], 0, list(ids)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import attention
-from docloom.llm.common import Workspace, crc_mod, map_sum, read, slices, summed
+from docloom.llm.common import Numbers, Workspace, crc_mod, grown, map_sum, read, slices, summed
 from docloom.llm.pieces import MODEL_PATH, model_bytes
 
 SMOOTHING = 0.1
@@ -59,9 +59,10 @@ class Subwords:
         self.clear()
 
     def clear(self) -> None:
-        self.place: dict[bytes, int] = {}
+        self.place = Numbers()
         self.words: list[bytes] = []
         self.flat, self.start, self.base = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.empty(1 << 14)
+        self.place[END], self.place.fresh = 0, []
         self._add([END])
 
     def cut(self, words: list[bytes]) -> list[list[int]]:
@@ -71,24 +72,21 @@ class Subwords:
         ids = self.cut(words)
         first, n = len(self.words), len(words)
         ends = self.start[first] + np.cumsum([len(x) for x in ids])
-        self.flat, self.start, self.base = (_grown(a, size) for a, size in ((self.flat, int(ends[-1])), (self.start, first + n + 1), (self.base, first + n)))
+        self.flat, self.start, self.base = (grown(a, size) for a, size in ((self.flat, int(ends[-1])), (self.start, first + n + 1), (self.base, first + n)))
         self.flat[self.start[first] : ends[-1]] = np.concatenate(ids)
         self.start[first + 1 : first + n + 1] = ends
         self.base[first : first + n] = [self.head.get(w, math.nan) for w in words]
-        self.place.update(zip(words, range(first, first + n)))
         self.words += words
 
     def places(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Numbers in the table of each text's words and its end. Numbers hold until the next call."""
         if len(self.words) > CACHE_WORDS:
             self.clear()
-        get = self.place.get
-        found = [list(map(get, words)) for words in texts]
-        missing = dict.fromkeys(w for words, at in zip(texts, found) if None in at for w, i in zip(words, at) if i is None)
-        if missing:
-            self._add(list(missing))
-            found = [list(map(get, words)) if None in at else at for words, at in zip(texts, found)]
-        return [np.array([*at, 0], np.int64) for at in found]
+        found = [np.array([*map(self.place.__getitem__, words), 0], np.int64) for words in texts]
+        if self.place.fresh:
+            self._add(self.place.fresh)
+            self.place.fresh = []
+        return found
 
     def ids(self, places: np.ndarray) -> np.ndarray:
         first, n = self.start[places], self.start[places + 1] - self.start[places]
@@ -98,10 +96,6 @@ class Subwords:
         return [self.ids(p) for p in self.places([words_of(t) for t in texts])]
 
 
-def _grown(a: np.ndarray, size: int) -> np.ndarray:
-    return a if size <= len(a) else np.concatenate((a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)))
-
-
 def segments(ids: np.ndarray):
     """(ids, places not to score) of a sequence in bounded pieces; later ones begin with some context."""
     yield ids[:SEGMENT_IDS], 0
