@@ -261,6 +261,22 @@ def test_neighbours(spark):
     assert len(neighbours.neighbours(spark, data.limit(3), F.lit(True)).collect()) == 6
 
 
+def test_neighbours_of_tiny_leaves_are_complete(spark, monkeypatch):
+    """Few visits to leaves of one or two vectors: every query still gets k, and chunks of all sides meet."""
+    monkeypatch.setattr(neighbours, "LEAF_SAMPLE", 1)
+    monkeypatch.setattr(neighbours, "CHUNK", 2)
+    monkeypatch.setattr(neighbours, "calibrated", lambda *_: 1)
+    rng = np.random.default_rng(4)
+    x = np.r_[rng.normal(size=(150, 4)), rng.normal(size=(3, 4)) + 100]
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    rows = neighbours.neighbours(spark, data, F.col("vec_id") % 7 == 5).collect()
+    counts = Counter(r.query_id for r in rows)
+    assert set(counts) == {i for i in range(153) if i % 7 == 5} and set(counts.values()) == {10}
+    assert all(abs(math.dist(x[r.query_id], x[r.vec_id]) - r.score) < 1e-9 and r.vec_id != r.query_id for r in rows)
+    every = neighbours.neighbours(spark, data.limit(6), F.lit(True)).groupBy("query_id").count().collect()
+    assert [r["count"] for r in every] == [5] * 6
+
+
 def test_components(spark):
     rng = random.Random(4)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)]
