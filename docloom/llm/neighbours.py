@@ -8,10 +8,12 @@ calibrated: for ``CALIBRATION`` queries the exact neighbours are found among all
 vectors, and the visits widen until ``TARGET`` of them lie in visited leaves.
 A query goes on beyond that until its leaves hold k other vectors.
 
-The vectors of a leaf are cut into chunks by the hash of the id, and so are the
-queries that visit it. Chunks are joined by (leaf, chunk, chunk of queries), so no
-leaf and no set of queries meets in one task whole; each pair of chunks yields at
-most k rows a query.
+Leaves are gathered, in the order of the tree, into cells of about CHUNK vectors; a
+query goes to a cell once, with the leaves that it visits there. Larger cells (a
+leaf of a common vector) are cut into chunks by the hash of the id, and so are the
+queries of a cell. Chunks are joined by (cell, chunk, chunk of queries), so no leaf
+and no set of queries meets in one task whole; each pair of chunks yields at most
+k rows a query.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from docloom.llm.common import Workspace, read
 
 K = 10
-SAMPLE = 50_000
+SAMPLE = 32_768
 BRANCHES = 8
 LEAF_SAMPLE = 16
 ROUNDS = 8
@@ -162,42 +164,54 @@ def neighbours(spark: SparkSession, rows: DataFrame, is_query, k: int = K, id_co
     sizes = np.zeros(tree.leaves, np.int64)
     for r in indexed.groupBy("leaf").count().collect():  # a row a leaf: at most SAMPLE
         sizes[r["leaf"]] = r["count"]
-    held_sizes = spark.sparkContext.broadcast(sizes)
+    cell_of = (np.cumsum(sizes) - sizes) // CHUNK  # leaves in the tree's order
+    held_sizes = spark.sparkContext.broadcast((sizes, cell_of))
 
     def route(batches):
+        sizes, cell_of = held_sizes.value
         for b in batches:
-            q = _vectors(b.column(1), dim)
-            leaves = pa.array([held.value.visits(x, visits, held_sizes.value, k + 1) for x in q], pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*b.columns, leaves], names=["query_id", "v", "leaves"])
-
-    routed = ws.table(queries.mapInArrow(route, "query_id long, v array<double>, leaves array<int>").select("query_id", "v", F.explode("leaves").alias("leaf")), "routed")
+            out: list[tuple[int, int, list[int]]] = []
+            for i, x in enumerate(_vectors(b.column(1), dim)):
+                leaves = np.array(held.value.visits(x, visits, sizes, k + 1))
+                leaves = np.sort(leaves[sizes[leaves] > 0])
+                cuts = np.flatnonzero(np.diff(cell_of[leaves])) + 1
+                out += [(i, int(cell_of[part[0]]), part.tolist()) for part in np.split(leaves, cuts) if len(part)]
+            at, cells, lists = zip(*out) if out else ((), (), ())
+            yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in b.columns), pa.array(cells, pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["query_id", "v", "cell", "leaves"])
+
+    routed = ws.table(queries.mapInArrow(route, "query_id long, v array<double>, cell int, leaves array<int>"), "routed")
+    cells = spark.createDataFrame(list(enumerate(cell_of.tolist())), "leaf int, cell int")
+    placed = indexed.join(F.broadcast(cells), "leaf")  # a row for each leaf: at most SAMPLE
 
     def chunks(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
+        return df.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias(name))
 
-    grid = ws.table(chunks(routed, "q_chunks").join(chunks(indexed, "chunks"), "leaf"), "grid")
+    grid = ws.table(chunks(routed, "q_chunks").join(chunks(placed, "chunks"), "cell"), "grid")
 
-    def chunked(df: DataFrame, key: str, own: str, other: str, others: str) -> DataFrame:
-        """Rows of each leaf in chunks of about CHUNK, once for each chunk of the other side."""
-        df = df.join(F.broadcast(grid), "leaf")  # a row for each leaf: at most SAMPLE
-        df = df.groupBy("leaf", F.pmod(F.xxhash64(key), F.col(own + "s")).cast("int").alias(own)).agg(F.collect_list(key).alias("ids"), F.flatten(F.collect_list("v")).alias("flat"), F.first(others).alias("n"))
+    def chunked(df: DataFrame, key: str, leaves: str, own: str, other: str) -> DataFrame:
+        """Rows of each cell in chunks of about CHUNK, once for each chunk of the other side."""
+        df = df.join(F.broadcast(grid), "cell")  # a row for each cell: no more than leaves
+        df = df.groupBy("cell", F.pmod(F.xxhash64(key), F.col(own + "s")).cast("int").alias(own)).agg(
+            F.collect_list(key).alias("ids"), F.collect_list(leaves).alias("leaves"), F.flatten(F.collect_list("v")).alias("flat"), F.first(other + "s").alias("n")
+        )
         return df.withColumn(other, F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
 
-    left = chunked(routed, "query_id", "q_chunk", "chunk", "chunks").select("leaf", "q_chunk", "chunk", F.col("ids").alias("q_ids"), F.col("flat").alias("q_flat"))
-    right = chunked(indexed, "vec_id", "chunk", "q_chunk", "q_chunks").select("leaf", "q_chunk", "chunk", "ids", "flat")
+    left = chunked(routed, "query_id", "leaves", "q_chunk", "chunk").select("cell", "q_chunk", "chunk", F.col("ids").alias("q_ids"), F.col("leaves").alias("q_leaves"), F.col("flat").alias("q_flat"))
+    right = chunked(placed, "vec_id", "leaf", "chunk", "q_chunk").select("cell", "q_chunk", "chunk", "ids", "leaves", "flat")
 
     def search(batches):
         for b in batches:
-            out = []
             for i in range(b.num_rows):
-                ids, q_ids = (np.asarray(b.column(c)[i].values) for c in ("ids", "q_ids"))
-                x, q = (np.asarray(b.column(c)[i].values).reshape(-1, dim) for c in ("flat", "q_flat"))
-                for own, vector in zip(q_ids.tolist(), q):
-                    out += [(own, v, d) for d, v in nearest(vector, own, ids, x, k)]
-            columns = list(zip(*out)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
-
-    found = left.join(right, ["leaf", "q_chunk", "chunk"]).select("ids", "flat", "q_ids", "q_flat").mapInArrow(search, "query_id long, vec_id long, score double")
+                ids, leaf, q_ids = (np.asarray(b.column(c)[i].values) for c in (0, 1, 3))
+                x, q = (np.asarray(b.column(c)[i].values).reshape(-1, dim) for c in (2, 5))
+                out = []
+                for own, vector, visited in zip(q_ids.tolist(), q, b.column(4)[i].values):
+                    rows = np.flatnonzero(np.isin(leaf, np.asarray(visited.values)))
+                    out += [(own, v, d) for d, v in nearest(vector, own, ids[rows], x[rows], k)]
+                columns = list(zip(*out)) or [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.float64())], names=["query_id", "vec_id", "score"])
+
+    found = left.join(right, ["cell", "q_chunk", "chunk"]).select("ids", "leaves", "flat", "q_ids", "q_leaves", "q_flat").mapInArrow(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
