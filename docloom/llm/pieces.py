@@ -346,7 +346,7 @@ _ENCODERS: dict = {}
 
 
 def encoder(model: bytes, n_best: int) -> Encoder:
-    """One encoder for each Python worker; its caches last over tasks."""
+    """One encoder for each Python worker; the model's tables last over tasks, what was encoded doesn't."""
     key = (hashlib.sha1(model).digest(), n_best)
     if key not in _ENCODERS:
         _ENCODERS.clear()
@@ -388,6 +388,7 @@ def encode_texts(df: DataFrame, model: bytes, n_best: int = N_BEST, text_col: st
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat)), mask=pa.array([not v for v in valid]))
             made = [lists, pa.array(scores, pa.float64()), pa.array(others, _OTHERS), *([pa.array(texts, pa.string())] if decoded else [])]
             yield pa.RecordBatch.from_arrays([*(b.column(i) for i in stay), *made], names=out.names)
+        e.clear()  # the worker may serve other stages next
 
     return df.mapInArrow(run, out)
 

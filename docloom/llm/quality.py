@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
-from docloom.llm.common import Workspace, crc_mod, map_sum, read
+from docloom.llm.common import Workspace, crc_mod, map_sum, read, slices
 
 N_RANDOM = 256
 FOLDS = 4
@@ -108,7 +108,7 @@ def text_statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, x) of (doc_id, text)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 1):
             x = [statistics(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "x"])
 
@@ -202,7 +202,7 @@ def score_quality(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> Da
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, whose score is at least 0.5."""
+    """The rows of docs, with all columns, whose score is at least 0.5. Rows with nulls are scored like others (see score_quality)."""
     model, _ = learned(spark, docs.select("doc_id", "text"), labels, Workspace(spark, "quality"))
     at = docs.columns.index("text")
     flag = "_good"
@@ -210,7 +210,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
         flag += "_"
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, at):
             x = np.array([statistics(t) for t in b.column(at).to_pylist()]).reshape(-1, D)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(x) >= 0.5)], names=[*b.schema.names, flag])
 
@@ -218,4 +218,5 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame) -> DataFr
 
 
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """score_quality of all documents. Nulls, empty texts, repeats and empty tables as there."""
     return score_quality(spark, read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))

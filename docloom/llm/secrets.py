@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import read
+from docloom.llm.common import read, slices
 from docloom.llm.trigrams import TrigramIndex, query_of, trigrams_of
 
 BLOCK_BYTES = 4 << 20
@@ -99,7 +99,7 @@ def scan_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
 
     def scan(batches):
         scanner = Scanner(rules)
-        for b in batches:
+        for b in slices(batches, 1):
             spans = [[{"kind": k, "start": s, "end": e} for s, _, e, k in found] for found in scanner.scan(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(spans, _ARROW_SPANS)], names=["doc_id", "spans"])
 
@@ -118,12 +118,16 @@ def masked(text: str, spans: list) -> str:
 
 
 def redact_secrets(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
-    """docs with the secrets in text_col masked; all columns and rows stay. Null texts stay null."""
+    """docs with the secrets in text_col masked; all columns and rows stay.
+
+    Null texts stay null and empty ones empty; repeated rows are masked alike.
+    Columns of other names, whatever they are, pass through.
+    """
     at = docs.columns.index(text_col)
 
     def redact(batches):
         scanner = Scanner(rules)
-        for b in batches:
+        for b in slices(batches, at):
             texts = b.column(at)
             found = scanner.scan(texts)
             if any(found):
@@ -135,6 +139,7 @@ def redact_secrets(docs: DataFrame, rules=RULES, text_col: str = "text") -> Data
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """scan_secrets of all documents as counts, a digest and a list of spans. Nulls, empty texts, repeats and empty tables as there."""
     base = [r.kind for r in BASE_RULES]
     line = lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")

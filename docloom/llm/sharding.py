@@ -176,4 +176,5 @@ def shard_by_bytes(spark: SparkSession, docs: DataFrame, n_shards: int = 40, id_
 
 
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """shard_by_bytes of all documents, in 40 shards. Nulls, repeats and empty tables as there."""
     return shard_by_bytes(spark, read(spark, sf_dir, "documents"))

@@ -8,9 +8,10 @@ keeps a stack of the rules' hosts that enclose the current key. Each host on
 the stack has its paths; a rule fits if the url's path starts with its path.
 The longest rule (host and path together, then the host) wins.
 
-Rules come to the tasks in blocks of ``RULES_PER_BLOCK``; every block is one
-pass within the same stage, and the best rule so far travels with the row. So
-memory is bounded for any number of rules, and the pages are never shuffled.
+Rules come to the tasks in broadcast blocks of ``RULES_PER_BLOCK`` raw rules; each
+batch of pages is swept block by block, and only one block is prepared (turned into
+intervals) at a time. The raw rules themselves, which the caller holds as a list,
+stay in each worker. Pages are never shuffled.
 """
 
 from __future__ import annotations
@@ -110,38 +111,39 @@ def judge_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     """
     host, path = parts(F.col(url_col))
     out = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"), F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"), F.lit(0).alias("rule_len"), F.lit(0).alias("host_len"))
-    schema, rules = out.schema, sorted(rules, key=lambda r: reversed_host(r[1] or ""))
-    for start in range(0, len(rules), RULES_PER_BLOCK):
-        block = rules[start : start + RULES_PER_BLOCK]
-
-        def judge(batches, block=block):
-            held = prepared(block)
-            for b in batches:
-                cols = {n: b.column(n) for n in b.schema.names}
-                rule, verdict, rl, hl = (cols[n].to_pylist() for n in ("rule", "verdict", "rule_len", "host_len"))
-                for i, best in enumerate(sweep(cols["host"].to_pylist(), cols["path"].to_pylist(), held)):
+    rules = sorted(rules, key=lambda r: reversed_host(r[1] or ""))
+    blocks = [pages.sparkSession.sparkContext.broadcast(rules[i : i + RULES_PER_BLOCK]) for i in range(0, len(rules), RULES_PER_BLOCK)]
+
+    def judge(batches):
+        only = prepared(blocks[0].value) if len(blocks) == 1 else None
+        for b in batches:
+            page, host, path, *rest = b.columns
+            rule, verdict, rl, hl = (c.to_pylist() for c in rest)
+            hosts, paths = host.to_pylist(), path.to_pylist()
+            for block in blocks:
+                for i, best in enumerate(sweep(hosts, paths, only or prepared(block.value))):
                     if best is not None and best[:2] > (rl[i], hl[i]):
                         rl[i], hl[i], rule[i], verdict[i] = best
-                yield pa.RecordBatch.from_arrays([cols["page_id"], cols["host"], cols["path"], pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(rl, pa.int32()), pa.array(hl, pa.int32())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([page, host, path, pa.array(rule, pa.string()), pa.array(verdict, pa.string()), pa.array(rl, pa.int32()), pa.array(hl, pa.int32())], names=b.schema.names)
 
-        out = out.mapInArrow(judge, schema)
-    return out.select("page_id", "host", "path", "rule", "verdict")
+    return (out.mapInArrow(judge, out.schema) if blocks else out).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """judge_urls of all pages. Nulls, odd urls, repeats and empty tables as there."""
     return judge_urls(read(spark, sf_dir, "pages"))
 
 
 OP4_SQL = r"""
 WITH p AS (
-  SELECT page_id,
+  SELECT row_number() OVER () AS n, page_id,
     translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
     regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)([^?#]*)', 2, 's') AS path
   FROM pages),
 r(verdict, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 m AS (
-  SELECT page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+  SELECT n, page_id, host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
   FROM p LEFT JOIN r ON ('.' || host) LIKE ('%.' || rhost) AND starts_with(path, rpath)
-  GROUP BY page_id, host, path)
+  GROUP BY n, page_id, host, path)
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m
 """

@@ -30,7 +30,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Workspace, read
+from docloom.llm.common import read, slices, Workspace
 
 BLOCK_LINES = 3000
 ARCHIVE_BYTES = 1 << 30
@@ -41,6 +41,8 @@ HOT_SHARE = 10_000
 
 INDEX_SCHEMA = "key string, file string, offset long, length long"
 PART_SCHEMA = "first_key string, file string, directory string, blocks int"
+#: Bytes of records read at a time, but for a longer record.
+READ_BYTES = 8 << 20
 RECORD_SCHEMA = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
 
@@ -140,12 +142,13 @@ def kinds(ws: Workspace, pages: DataFrame, min_bytes: int) -> DataFrame:
 
 def write_archives(ws: Workspace, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """Writes page_id, url, html as records; returns the index lines (INDEX_SCHEMA), unsorted."""
-    folder = f"{ws.root}/archives"
+    folder, rows = f"{ws.root}/archives", kinds(ws, pages, min_bytes)
+    html = rows.columns.index("html")
 
     def write(batches):
         out = Archives(folder)
         try:
-            for b in batches:
+            for b in slices(batches, html):
                 lines = []
                 for r in b.to_pylist():
                     payload = (r["html"] or "").encode("utf-8", "surrogatepass")
@@ -156,7 +159,7 @@ def write_archives(ws: Workspace, pages: DataFrame, min_bytes: int = 0) -> DataF
         finally:
             out.close()
 
-    return ws.table(kinds(ws, pages, min_bytes).mapInArrow(write, INDEX_SCHEMA), "lines")
+    return ws.table(rows.mapInArrow(write, INDEX_SCHEMA), "lines")
 
 
 def build_index(ws: Workspace, lines: DataFrame) -> DataFrame:
@@ -260,11 +263,12 @@ def read_ranges(places: list[tuple[str, int, int]]) -> dict:
     return out
 
 
-def lookup(ws: Workspace, parts: DataFrame, keys: DataFrame) -> DataFrame:
+def lookup(ws: Workspace, parts: DataFrame, keys: DataFrame, payload: bool = True) -> DataFrame:
     """RECORD_SCHEMA rows of all captures whose index key starts with a given key (column ``key``).
 
     A key is a full one (``index_key``), or ``surt(url) + " "`` for all captures
-    of a url. Repeated keys are answered once.
+    of a url. Repeated keys are answered once. Without ``payload`` records are read and
+    verified as ever, but the column stays null.
     """
     known = [tuple(r) for r in parts.select("first_key", "file", "directory").collect()]  # a row for each part
 
@@ -272,15 +276,18 @@ def lookup(ws: Workspace, parts: DataFrame, keys: DataFrame) -> DataFrame:
         index, before = Index(known), None
         schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
         for b in batches:
-            asked = b.column(0).to_pylist()
-            for start in range(0, len(asked), 256):
-                places = []
-                for key in asked[start : start + 256]:
-                    if key != before:
-                        places += index.find(key)
-                    before = key
-                data = read_ranges(places)
-                yield pa.RecordBatch.from_pylist([parse_record(data[p[:2]]) for p in places], schema=schema)
+            places, size = [], 0
+            for key in [*b.column(0).to_pylist(), None]:
+                if key is not None and key != before:
+                    found = index.find(key)
+                    places += found
+                    size += sum(p[2] for p in found)
+                before = key if key is not None else before
+                if places and (key is None or len(places) >= 256 or size >= READ_BYTES):
+                    data = read_ranges(places)
+                    records = [parse_record(data[p[:2]]) for p in places]
+                    yield pa.RecordBatch.from_pylist(records if payload else [{**r, "payload": None} for r in records], schema=schema)
+                    places, size = [], 0
 
     if not known:
         return ws.spark.createDataFrame([], RECORD_SCHEMA)
@@ -298,7 +305,7 @@ def page_keys(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "url").mapInArrow(keys, "key string")
 
 
-def archive_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0) -> DataFrame:
+def archive_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0, payload: bool = True) -> DataFrame:
     """Writes every page, indexes the archives, and reads every record back by its key.
 
     A row for each row of pages. Null html is an empty payload; null urls have
@@ -310,11 +317,12 @@ def archive_round_trip(spark: SparkSession, pages: DataFrame, min_bytes: int = 0
     ws = Workspace(spark, "warc")
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.col("html").cast("string"))
     parts = build_index(ws, write_archives(ws, pages, min_bytes))
-    return lookup(ws, parts, page_keys(pages))
+    return lookup(ws, parts, page_keys(pages), payload)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_round_trip(spark, read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    """archive_round_trip of all pages, without the payloads themselves. Nulls, repeats and empty tables as there."""
+    return archive_round_trip(spark, read(spark, sf_dir, "pages").select("page_id", "url", "html"), payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 OP6_SQL = r"""
