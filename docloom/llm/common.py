@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -123,6 +124,14 @@ def grown(a: np.ndarray, size: int) -> np.ndarray:
     return a if size <= len(a) else np.concatenate((a, np.zeros(max(size, 2 * len(a)) - len(a), a.dtype)))
 
 
+def keep_memory() -> None:
+    """Lets this worker keep freed memory (glibc only): arrays that come and go in loops then cost no page faults."""
+    mallopt = getattr(ctypes.CDLL(None), "mallopt", None)
+    if mallopt:
+        mallopt(-3, 1 << 28)  # the size from which memory is mapped afresh
+        mallopt(-1, 1 << 28)  # the size of free memory that goes back
+
+
 def crc_mod(c: Column, n: int) -> Column:
     return F.pmod(F.crc32(c.cast("string").cast("binary")), F.lit(n))
 
@@ -163,8 +172,8 @@ def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
         large = join_by_share(both, least, "u", "n", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = join_by_share(large, least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         step += 1
         edges = ws.table(small, f"{name}-{step}")
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())

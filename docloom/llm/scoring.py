@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import attention
-from docloom.llm.common import Numbers, Workspace, crc_mod, grown, map_sum, read, slices, summed
+from docloom.llm.common import Numbers, Workspace, crc_mod, grown, keep_memory, map_sum, read, slices, summed
 from docloom.llm.pieces import MODEL_PATH, model_bytes
 
 SMOOTHING = 0.1
@@ -155,6 +155,7 @@ def train_on_sample(docs: DataFrame, layout: attention.Layout, model: bytes, see
     held = docs.sparkSession.sparkContext.broadcast((model, layout))
 
     def train(batches):
+        keep_memory()
         piece_model, layout = held.value
         s, net = Subwords(piece_model), attention.Attention(layout.blank(), layout)
         rng, texts, size = np.random.default_rng(seed), [], 0
@@ -186,6 +187,7 @@ def train_everywhere(docs: DataFrame, state: np.ndarray, layout: attention.Layou
     held = docs.sparkSession.sparkContext.broadcast((model, layout, state))
 
     def train(batches):
+        keep_memory()
         piece_model, layout, state = held.value
         s, net = Subwords(piece_model), attention.Attention(state, layout)
         steps, seen, size = attention.Adam(net), 0, 0
@@ -250,6 +252,7 @@ def score_texts(spark: SparkSession, docs: DataFrame, model: bytes) -> DataFrame
     held = spark.sparkContext.broadcast((model, layout, state, {w: math.log10(c + SMOOTHING) - denominator for w, c in head.items()}))
 
     def run(batches):
+        keep_memory()
         piece_model, layout, state, head = held.value
         s, net = Subwords(piece_model, head), attention.Attention(state, layout)
         key = int.from_bytes(os.urandom(7), "little")
