@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from docloom.functions.contact import first_email, first_phone
 from docloom.functions.names import best_name, name_is_bad, name_score
 from docloom.functions.noise import clean_education, clean_entities, clean_experience, dedupe_ci, merge_dates
-from docloom.functions.text import clean_text, lines
+from docloom.functions.text import clean_text, lines, parser_confidence
 from docloom.functions.vocabulary import SKILLS
 from docloom.operators.sections import section_lines, tagged_lines
 from docloom.operators.skills import skills
@@ -76,7 +76,20 @@ def hybrid_merge(df: DataFrame) -> DataFrame:
     return df.withColumn("merged", merged)
 
 
-def response(df: DataFrame) -> DataFrame:
-    """Each profile as one JSON document, null scalars kept out."""
-    body = F.struct(F.struct("name", "email", "phone", "skills", "education", "experience").alias("profile"), F.struct("confidence", "text_length").alias("metadata"))
-    return df.withColumn("json", F.to_json(body))
+def response(df: DataFrame, metadata: dict[str, Column] | None = None, debug: Column | None = None) -> DataFrame:
+    """Each profile as one JSON document, null scalars kept out.
+
+    ``metadata`` adds what the caller knows of the request (``request_metadata``),
+    ``debug`` a part for inspection, such as a struct of ``debug_view``.
+    """
+    more = [c.alias(name) for name, c in (metadata or {}).items()]
+    parts = [F.struct("name", "email", "phone", "skills", "education", "experience").alias("profile"), F.struct("confidence", "text_length", *more).alias("metadata")]
+    return df.withColumn("json", F.to_json(F.struct(*parts, *([debug.alias("debug")] if debug is not None else []))))
+
+
+def request_metadata(parser: Column, quality: Column, way: Column, started: Column | None = None) -> dict[str, Column]:
+    """Parser, quality and its confidence, backend, and a request id and the milliseconds so far; the last two differ from run to run."""
+    out = {"request_id": F.expr("uuid()"), "parser_used": parser, "quality_flag": quality, "parser_confidence": parser_confidence(quality), "inference_backend": way}
+    if started is not None:
+        out["processing_ms"] = F.greatest(F.lit(0), F.unix_millis(F.current_timestamp()) - F.unix_millis(started)).cast("int")
+    return out

@@ -7,6 +7,8 @@ spelt out; queries whose patterns need look-around, or that aren't SQL at all
 
 from __future__ import annotations
 
+import re
+
 from docloom.functions import vocabulary as v
 from docloom.plans.inputs import RESUME_SQL, TOKENS_SQL, for_oracle
 
@@ -144,7 +146,9 @@ def deduped(items: str, key: str) -> str:
     return f"WITH p AS (SELECT doc_id, list_filter(list_transform({items}, lambda x: {strip('x')}), lambda x: x <> '') AS ps FROM documents) SELECT doc_id, {join(first_of('ps', key))} AS items FROM p"
 
 
-SINGLE = sorted({s for s in v.SKILLS if " " not in s})
+#: Single-word skills: those of letters and digits alone are tokens; others are looked for by a pattern each.
+PLAIN = sorted({s for s in v.SKILLS if s.isalnum()})
+MARKED = [f"CASE WHEN regexp_matches(t, '(^|[^{W}]){re.escape(s)}([^{W}]|$)') THEN {quoted(s)} END" for s in sorted({s for s in v.SKILLS if " " not in s and not s.isalnum()})]
 TAGGED = f"tagged AS ({for_oracle(TOKENS_SQL)})"
 #: Spans of tagged tokens: islands that a B- tag opens; tags of other labels are passed over, O closes.
 GROUPED = f"""{TAGGED}, isl AS (SELECT *, sum(CASE WHEN entity LIKE 'B-%' OR entity = 'O' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM tagged),
@@ -152,6 +156,23 @@ head AS (SELECT doc_id, island, entity[3:] AS label FROM isl WHERE entity LIKE '
 grp AS (SELECT doc_id, island, label, list(score ORDER BY ts, event_id) AS ss, list(replace(word, '##', '') ORDER BY ts, event_id) AS ws FROM isl JOIN head USING (doc_id, island) WHERE entity[3:] = label GROUP BY ALL),
 ents AS (SELECT doc_id, island, label, list_reduce(ss, lambda a, x: (a + x) / 2) AS score, list_reduce(ws, lambda a, x: a || CASE WHEN starts_with(x, '''') THEN '' ELSE ' ' END || x) AS text FROM grp)"""
 
+#: The same of tokens and spans above the peak's floor.
+FLOOR = "greatest(0.17, 0.5 * peak)"
+FILTERED = GROUPED.replace("isl AS", f"peaks AS (SELECT doc_id, max(score) AS peak FROM tagged GROUP BY doc_id), strong AS (SELECT t.* FROM tagged t JOIN peaks USING (doc_id) WHERE peak >= 0.2 AND score >= {FLOOR}), isl AS", 1).replace("FROM tagged), \n", "").replace("AS island FROM tagged)", "AS island FROM strong)").replace("ents AS", "grouped AS", 1)
+FILTERED += f", ents AS (SELECT g.* FROM grouped g JOIN peaks USING (doc_id) WHERE peak >= 0.2 AND score >= {FLOOR})"
+USER, SPACED = "[A-Za-z0-9_][A-Za-z0-9._%+-]{1,39}", f"[{SP}]+"
+BARE = rf"(?i)(?:^|[^{W}])({USER}){SPACED}([A-Za-z0-9][A-Za-z0-9.-]*\.(?:com|net|org|edu|io|co|gov|uk))(?:[^{W}]|$)"
+SPELT = rf"(?i)(?:^|[^{W}])({USER}){SPACED}at{SPACED}([A-Za-z0-9][A-Za-z0-9.-]*\.[A-Za-z]{{2,}})(?:[^{W}]|$)"
+
+
+def address(pattern: str) -> str:
+    return f"CASE WHEN regexp_matches(t, '{pattern}') THEN regexp_extract(t, '{pattern}', 1) || '@' || regexp_extract(t, '{pattern}', 2) END"
+
+
+def texts_of(label: str) -> str:
+    return f"(SELECT doc_id, ts FROM j WHERE label = '{label}')"
+
+
 JUNK = f"list_filter(list_transform(items, lambda x: {strip('x')}), lambda s: length(s) >= 2 AND lower(s) NOT IN {listed(v.JUNK_ENTITIES)} AND length(regexp_replace(s, '[^\\p{{L}}\\p{{N}}]', '', 'g')) >= 2)"
 EXTRA = ("Education:", "2014", "2010-2014", "zation", "han", "a b", "US", "-", "oh", " Experience ", "Team lead")
 ITEMS = f"it AS (SELECT doc_id, list_concat(string_split(text, ' '), {array(EXTRA)}) AS items FROM documents), c AS (SELECT doc_id, {JUNK} AS cs FROM it)"
@@ -183,7 +204,32 @@ def f1(tp: str, p: str, g: str) -> str:
     return f"{pr} AS precision, {rc} AS recall, CASE WHEN ({pr}) + ({rc}) > 0 THEN 2 * ({pr}) * ({rc}) / (({pr}) + ({rc})) ELSE 0 END AS f1"
 
 
+#: Spans of a tag sequence: islands that open at B-, or where the label changes.
+TAGGED_TURNS = f"""{TURNS}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, p, l) - 1 AS pos FROM t), y AS (SELECT conv_id, pos, 'p' AS kind, p AS x FROM o UNION ALL SELECT conv_id, pos, 'g', l FROM o),
+g0 AS (SELECT conv_id, pos, kind, ['O', 'B-NAME', 'I-NAME', 'B-SKILL', 'I-SKILL'][greatest(x, 0) + 1] AS tag FROM y), g1 AS (SELECT *, CASE WHEN tag <> 'O' THEN tag[3:] END AS label FROM g0),
+g2 AS (SELECT *, label IS NOT NULL AND (tag LIKE 'B-%' OR lag(label) OVER w IS DISTINCT FROM label OR pos = 0) AS opens FROM g1 WINDOW w AS (PARTITION BY conv_id, kind ORDER BY pos)),
+g3 AS (SELECT *, sum(opens::INT) OVER (PARTITION BY conv_id, kind ORDER BY pos ROWS UNBOUNDED PRECEDING) AS island FROM g2 WHERE true), s AS (SELECT conv_id, kind, label, min(pos) AS a, max(pos) AS b FROM g3 WHERE label IS NOT NULL GROUP BY conv_id, kind, label, island),
+c AS (SELECT label, count(*) FILTER (WHERE kinds = 2) AS tp, count(*) FILTER (WHERE has_p) AS p, count(*) FILTER (WHERE has_g) AS g FROM (SELECT conv_id, label, a, b, count(*) AS kinds, bool_or(kind = 'p') AS has_p, bool_or(kind = 'g') AS has_g FROM s GROUP BY ALL) GROUP BY label)"""
+
+
 ORACLES = {
+    "first_email": f"WITH {RESUMES}, e AS (SELECT doc_id, regexp_replace(replace(text, chr(65312), '@'), '[{SP}]*@[{SP}]*', '@', 'g') AS t FROM resumes) SELECT doc_id, coalesce(nullif(regexp_extract(t, '{EMAIL}'), ''), {address(BARE)}, {address(SPELT)}) AS email FROM e",
+    "read_text": "SELECT doc_id || '.txt' AS file_name, replace(regexp_replace(text || chr(13) || chr(10) || 'last' || chr(13) || 'line', '\\r\\n?', chr(10), 'g'), chr(65533), '') AS text FROM documents",
+    "ready_list": "SELECT doc_id || '.txt' AS file_name FROM documents WHERE doc_id % 4 <> 0",
+    "annotations": """SELECT doc_id AS id, text, source AS filename, doc_id % 3 = 0 AS was_cancelled, n_chars::INT AS "end", lang AS label FROM documents""",
+    "parser_counts": f"WITH {PARSED} SELECT CASE chars % 3 WHEN 0 THEN 'embedded' WHEN 1 THEN 'second' ELSE 'unknown' END AS parser, count(*) AS n FROM parsed WHERE ok GROUP BY 1",
+    "error_samples": f"WITH {PARSED.replace('SELECT doc_id % 4', 'SELECT doc_id, doc_id % 4', 1)} SELECT doc_id, error FROM parsed WHERE error IS NOT NULL ORDER BY doc_id LIMIT 8",
+    "entity_f1": f"""WITH {TAGGED_TURNS}, each AS (SELECT label, {f1('tp', 'p', 'g')}, g AS support FROM c), m AS (SELECT sum(tp) AS tp, sum(p) AS p, sum(g) AS g FROM c)
+SELECT label, precision, recall, f1, support::BIGINT AS support FROM each UNION ALL SELECT 'micro avg', {f1('tp', 'p', 'g')}, g::BIGINT FROM m UNION ALL SELECT 'macro avg', avg(precision), avg(recall), avg(f1), sum(support)::BIGINT FROM each
+UNION ALL SELECT 'weighted avg', sum(precision * support) / sum(support), sum(recall * support) / sum(support), sum(f1 * support) / sum(support), sum(support)::BIGINT FROM each""",
+    "ner_profile": f"""WITH {FILTERED}, e AS (SELECT doc_id, label, {strip('text')} AS t, island FROM ents), d AS (SELECT doc_id, label, t, min(island) AS island FROM e WHERE t <> '' GROUP BY ALL), j AS (SELECT doc_id, label, string_agg(t, '¦' ORDER BY island) AS ts FROM d GROUP BY ALL), n AS (SELECT doc_id, arg_min(t, island) AS name FROM e WHERE label = 'NAME' GROUP BY doc_id),
+k AS (SELECT doc_id, list_reduce(list(score ORDER BY island), lambda a, x: a + x) / count(*) AS m FROM ents WHERE label IN ('NAME', 'SKILL', 'EDUCATION', 'EXPERIENCE') GROUP BY doc_id)
+SELECT doc_id, nullif(name, '') AS name, coalesce(s.ts, '') AS skills, coalesce(u.ts, '') AS education, coalesce(x.ts, '') AS experience, coalesce(m, 0.45) AS confidence FROM (SELECT DISTINCT doc_id FROM tagged) LEFT JOIN n USING (doc_id) LEFT JOIN {texts_of('SKILL')} s USING (doc_id) LEFT JOIN {texts_of('EDUCATION')} u USING (doc_id) LEFT JOIN {texts_of('EXPERIENCE')} x USING (doc_id) LEFT JOIN k USING (doc_id)""",
+    "bio_dataset": f"""WITH {OFFSETS}, {SPANS}, ends AS (SELECT doc_id, n_chars // 10 + 20 AS name_end, CASE WHEN n_chars // 2 >= n_chars // 10 + 20 THEN n_chars // 2 + 15 ELSE n_chars // 10 + 20 END AS later_end FROM documents),
+kept AS (SELECT sp.* FROM sp JOIN ends USING (doc_id) WHERE l = 'NAME' OR (l = 'SKILL' AND a >= name_end) OR (l = 'DATE' AND a >= later_end)),
+hit AS (SELECT doc_id, pos, arg_min(l, (greatest(a, s), l)) AS label FROM off JOIN kept USING (doc_id) WHERE e > s AND a < e AND b > s GROUP BY doc_id, pos),
+al AS (SELECT doc_id, pos, label FROM off LEFT JOIN hit USING (doc_id, pos) WHERE e > s), tg AS (SELECT doc_id, pos, CASE WHEN label IS NULL THEN 'O' WHEN lag(label) OVER (PARTITION BY doc_id ORDER BY pos) = label THEN 'I-' || label ELSE 'B-' || label END AS tag FROM al)
+SELECT doc_id, string_agg(tag, ' ' ORDER BY pos) AS tags FROM tg GROUP BY doc_id""",
     "clean_text": f"WITH {RESUMES} SELECT doc_id, {clean('text')} AS clean FROM resumes",
     "ocr_artifact_flag": f"WITH a AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN replace(text, 's', 'Claire') ELSE text END AS t FROM documents), b AS (SELECT doc_id, len(regexp_extract_all(t, '(?i)claire')) AS n, len({words('t')}) AS w FROM a) SELECT doc_id, n >= 8 AND coalesce(n / nullif(w, 0), 0) > 0.04 AS artifact FROM b",
     "ocr_normalize": f"SELECT doc_id, {ocr(quoted('') + ' || text || ' + quoted(' SOL RESOLVE sol x t-sql I ve Hi ve master s Camputer campany'))} AS normalized FROM documents",
@@ -216,8 +262,8 @@ SELECT doc_id, sec AS section, count(*) AS n_lines, string_agg(kept, '¦' ORDER
     "section_dedupe": f"WITH {LINES}, kept AS (SELECT doc_id, pos, line FROM lined WHERE NOT {noise('line')} QUALIFY row_number() OVER (PARTITION BY doc_id, {collapse('lower(line)')} ORDER BY pos) = 1), j AS (SELECT doc_id, string_agg(line, '¦' ORDER BY pos) AS lines FROM kept GROUP BY doc_id) SELECT doc_id, coalesce(lines, '') AS lines FROM resumes LEFT JOIN j USING (doc_id)",
     "dedupe_ci": deduped("regexp_split_to_array(text, '[.\\n]')", "lower(x)"),
     "dedupe_ws": deduped("regexp_split_to_array(text, '[.\\n]')", f"lower({collapse('x')})"),
-    "skills_exact": f"""WITH {RESUMES}, s(skill) AS (SELECT unnest({array(SINGLE)})), low AS (SELECT doc_id, {collapse('lower(text)')} AS t FROM resumes),
-f AS (SELECT doc_id, string_agg(skill, '¦' ORDER BY skill) AS skills FROM low JOIN s ON contains(t, skill) AND regexp_matches(t, '(^|[^{W}])' || regexp_escape(skill) || '([^{W}]|$)') GROUP BY doc_id) SELECT doc_id, coalesce(skills, '') AS skills FROM low LEFT JOIN f USING (doc_id)""",
+    "skills_exact": f"""WITH {RESUMES}, low AS (SELECT doc_id, {collapse('lower(text)')} AS t FROM resumes), toks AS (SELECT doc_id, t, list_distinct(regexp_split_to_array(t, '[^{W}]+')) AS ws FROM low),
+f AS (SELECT doc_id, list_sort(list_concat(list_filter({array(PLAIN)}, lambda s: list_contains(ws, s)), list_filter([{", ".join(MARKED)}], lambda s: s IS NOT NULL))) AS skills FROM toks) SELECT doc_id, {join('skills')} AS skills FROM f""",
     "ngrams": f"WITH w AS (SELECT doc_id, {words('text')} AS ws FROM documents), g AS (SELECT doc_id, list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' ')) AS gs FROM w) SELECT doc_id, len(gs) AS n, md5({join('gs')}) AS grams_md5 FROM g",
     "backend": "SELECT CASE WHEN doc_id % 5 = 0 OR doc_id % 2 <> 0 THEN 'mock_heuristic' WHEN doc_id % 3 = 0 THEN 'mock_heuristic_fallback' ELSE 'ner_hybrid' END AS backend, count(*) AS n FROM documents GROUP BY 1",
     "quality_score": f"WITH {RESUMES}, {quality('resumes')} SELECT doc_id, garbled_ratio, {join('hs')} AS headers_found, has_email, text_length, scramble_ratio, {join('iss')} AS issues, verdict FROM q",

@@ -100,6 +100,23 @@ def _ready(spark, d):
     return files.ready_texts(ready, texts)
 
 
+def read_text(spark, d):
+    raw = F.encode(F.concat("text", F.lit("\r\nlast\rline")), "utf-8")
+    return documents(spark, d).select(F.concat("doc_id", F.lit(".txt")).alias("file_name"), files.decoded(raw).alias("text"))
+
+
+def ready_list(spark, d):
+    return files.listed(documents(spark, d).select(F.when(F.col("doc_id") % 4 == 0, F.lit(" \t")).otherwise(F.concat(F.lit("\t "), "doc_id", F.lit(".txt  "))).alias("value")))
+
+
+def annotations(spark, d):
+    """Annotation tasks out of JSON arrays, one for each document."""
+    result = F.struct(F.lit("r1").alias("id"), F.lit("labels").alias("type"), F.struct(F.lit(0).alias("start"), F.col("n_chars").alias("end"), F.array(F.col("lang")).alias("labels")).alias("value"))
+    task = F.struct(F.col("doc_id").alias("id"), F.struct("text", F.struct(F.col("source").alias("filename"), F.col("n_chars").alias("char_count")).alias("meta")).alias("data"), F.array(F.struct((F.col("doc_id") % 3 == 0).alias("was_cancelled"), F.array(result).alias("result"))).alias("annotations"))
+    t = documents(spark, d).select(F.explode(files.tasks_of(F.to_json(F.array(task)))).alias("t"))
+    return t.select("t.id", F.col("t.data.text").alias("text"), F.col("t.data.meta.filename").alias("filename"), F.col("t.annotations")[0]["was_cancelled"].alias("was_cancelled"), F.col("t.annotations")[0]["result"][0]["value"]["end"].alias("end"), F.col("t.annotations")[0]["result"][0]["value"]["labels"][0].alias("label"))
+
+
 def ready_join(spark, d):
     return _ready(spark, d)[0]
 
@@ -282,13 +299,22 @@ def batches(spark, d):
 
 def _parsed(spark, d):
     t = tx.quality_flag(F.col("text"))
-    return documents(spark, d).select((F.col("doc_id") % 4 != 0).alias("ok"), F.col("n_chars").alias("chars"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("failed: "), "source", F.lit(" "), t)).alias("error"))
+    return documents(spark, d).select("doc_id", (F.col("doc_id") % 4 != 0).alias("ok"), F.col("n_chars").alias("chars"), F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("failed: "), "source", F.lit(" "), t)).alias("error"))
 
 
 def parser_benchmark(spark, d):
     return curation.benchmark_summary(_parsed(spark, d))
 
 
+def parser_counts(spark, d):
+    rows = _parsed(spark, d).withColumn("parser", F.when(F.col("chars") % 3 == 0, "embedded").when(F.col("chars") % 3 == 1, "second"))
+    return curation.parser_counts(rows)
+
+
+def error_samples(spark, d):
+    return curation.error_samples(_parsed(spark, d), "doc_id")
+
+
 def top_errors(spark, d):
     return curation.top_errors(_parsed(spark, d))
 
@@ -470,10 +496,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         profile, clean_text, ocr_artifact_flag, ocr_artifact_repair, ocr_normalize, lines, parser_quality, collapse_pages, parser_cascade, best_candidate_per_page,
-        inventory, ingest_binary, validate_input, ready_join, ready_missing,
+        inventory, ingest_binary, validate_input, read_text, ready_list, annotations, ready_join, ready_missing,
         first_email, first_phone, format_phone, name_score, best_name, name_candidates, name_bad, label_slug, canonical_label, parse_uri, noise_lines, drop_states,
         section_headers, sections, section_dedupe, education_merge, dedupe_ci, dedupe_ws, skills_exact, skills_fuzzy, skills, ngrams, backend, response_json, debug_view,
-        quality_score, verdict_counts, label_counts, label_variants, split_counts, stratified_split, holdout_split, seeded_sample, batches, parser_benchmark, top_errors,
+        quality_score, verdict_counts, label_counts, label_variants, split_counts, stratified_split, holdout_split, seeded_sample, batches, parser_benchmark, parser_counts, error_samples, top_errors,
         group_entities, peak_filter, ner_profile, entities_by_label, confidence, entity_filter, experience_filter, education_filter, hybrid_merge, resolve_overlaps,
         span_trim, span_extract, bio_tags, tag_histogram, bio_align, bio_dataset, first_span, prelabel, token_accuracy, ner_audit, ner_label_top, entity_f1,
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions.text import strip
@@ -14,6 +15,8 @@ TASK_SCHEMA = (
     "id long, data struct<text:string,meta:struct<filename:string,char_count:long>>, annotations array<struct<id:long,was_cancelled:boolean,"
     "result:array<struct<id:string,from_name:string,to_name:string,type:string,origin:string,value:struct<start:int,end:int,text:string,labels:array<string>>>>>>"
 )
+#: Plain values of the format that stand for numbers, booleans, nulls or collections.
+_NO_STRING = re.compile(r"(?i)[-+]?(?:\d[\d_]*(?:\.\d*)?|\.\d+)(?:e[-+]?\d+)?|0x[0-9a-f]+|true|false|yes|no|on|off|null|~|[\[{].*")
 NER_SCHEMA = "input_ids array<int>, attention_mask array<int>, labels array<int>, text string"
 
 
@@ -34,16 +37,46 @@ def inventory(files: DataFrame) -> DataFrame:
     )
 
 
+def decoded(content: Column) -> Column:
+    """Text of a file's bytes; line ends become \\n, bytes that are no UTF-8 go."""
+    return F.replace(F.regexp_replace(F.make_valid_utf8(content.cast("string")), r"\r\n?", "\n"), F.lit("�"), F.lit(""))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """file_name and text of each .txt file; line ends become \\n, bytes that are no UTF-8 go."""
+    """file_name and text of each .txt file."""
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
-    text = F.replace(F.regexp_replace(F.expr("make_valid_utf8(cast(content as string))"), r"\r\n?", "\n"), F.lit("�"), F.lit(""))
-    return raw.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), text.alias("text"))
+    return raw.select(F.element_at(F.split("path", "/"), -1).alias("file_name"), decoded(F.col("content")).alias("text"))
 
 
-def read_list(spark: SparkSession, path: str) -> DataFrame:
+def listed(lines: DataFrame, column: str = "value") -> DataFrame:
     """Stripped lines that aren't blank."""
-    return spark.read.text(path).select(strip(F.col("value")).alias("file_name")).filter("file_name <> ''")
+    return lines.select(strip(F.col(column)).alias("file_name")).filter("file_name <> ''")
+
+
+def read_list(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """The lines of a list; if the list is missing, the .txt files of a folder, where one is named."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder is None or p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return listed(spark.read.text(path))
+    return read_binary(spark, folder, "*.txt", recursive=False).select(F.element_at(F.split("path", "/"), -1).alias("file_name"))
+
+
+def tasks_of(json: Column) -> Column:
+    """Annotation tasks of a JSON array."""
+    return F.from_json(json, f"array<struct<{_fields(TASK_SCHEMA)}>>")
+
+
+def _fields(schema: str) -> str:
+    """Top-level ``name type`` pairs as ``name:type``."""
+    depth, out, named = 0, "", False
+    for c in schema:
+        depth += (c == "<") - (c == ">")
+        if depth == 0 and c == ",":
+            named = False
+        if depth == 0 and c == " " and not named and out and out[-1] not in ", ":
+            c, named = ":", True
+        out += "" if c == " " else c
+    return out
 
 
 def read_tasks(spark: SparkSession, path: str) -> DataFrame:
@@ -55,16 +88,17 @@ def read_ner_rows(spark: SparkSession, path: str) -> DataFrame:
 
 
 def overrides_of(text: str | None) -> dict[str, str]:
-    """Flat ``key: value`` lines (comments and quotes allowed): values in lower case with underscores. A nested value is an error."""
+    """Flat ``key: value`` lines (comments and quotes allowed): values in lower case with underscores. A nested value, or one that is no string, is an error."""
     out: dict[str, str] = {}
     for line in (text or "").splitlines():
         body = line.split(" #")[0].rstrip()
         if not body.strip() or body.lstrip().startswith("#"):
             continue
         key, sep, value = body.partition(":")
-        key, value = key.strip().strip("\"'"), value.strip().strip("\"'")
-        if not sep or not value or body[0] in " \t-":
+        key, value = key.strip(), value.strip()
+        if not sep or not value or body[0] in " \t-" or any(_NO_STRING.fullmatch(x) for x in (key, value)):
             raise ValueError(f"not a flat mapping of strings: {line!r}")
+        key, value = key.strip("\"'"), value.strip("\"'")
         out[key] = value.lower().replace(" ", "_")
     return out
 
@@ -117,6 +151,19 @@ def write_by(df: DataFrame, path: str, column: str, form: str = "json") -> None:
     df.write.mode("overwrite").partitionBy(column).format(form).save(path)
 
 
+def write_texts(df: DataFrame, path: str, key: str, text: str = "text") -> None:
+    """One folder with one text file for each key: ``key=.../part-*.txt``, with a line end after the text."""
+    df.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def write_dataset(rows: DataFrame, tags: list[str], path: str, split: str = "split") -> None:
+    """Rows of each split as JSON lines, and the label map (label to number and back) as one JSON file."""
+    write_by(rows, f"{path}/rows", split)
+    spark = rows.sparkSession
+    table = spark.createDataFrame([(dict(enumerate(tags)), {t: i for i, t in enumerate(tags)})], "id2label map<int,string>, label2id map<string,int>")
+    write_report(table, f"{path}/label_map")
+
+
 def write_report(df: DataFrame, path: str) -> None:
     """A small report as one JSON file."""
     df.coalesce(1).write.mode("overwrite").json(path)

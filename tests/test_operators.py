@@ -222,6 +222,69 @@ def test_sources(spark, tmp_path):
         files.overrides_of("a:\n  - b")
 
 
+def test_list_falls_back_to_a_folder(spark, tmp_path):
+    (tmp_path / "b.txt").write_text("x")
+    (tmp_path / "c.pdf").write_text("x")
+    assert [r.file_name for r in files.read_list(spark, str(tmp_path / "none.lst"), str(tmp_path)).collect()] == ["b.txt"]
+
+
+def test_overrides_take_strings_only():
+    assert files.overrides_of("a: '12'\nb: 12 b\nc: \"true\"\nd: No Way") == {"a": "12", "b": "12_b", "c": "true", "d": "no_way"}
+    for bad in ("a: 12", "a: 1.5e3", "a: true", "a: No", "a: null", "a: [x]", "7: x", "a: {b: c}"):
+        with pytest.raises(ValueError):
+            files.overrides_of(bad)
+
+
+def test_sinks(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a,b", "READY", "l1\nl2"), (2, None, "SKIP", "x")], "id long, label string, verdict string, text string")
+    files.write_csv(df, str(tmp_path / "csv"), ["label", "id"])
+    text = "".join(p.read_text() for p in (tmp_path / "csv").glob("*.csv"))
+    assert "label,id" in text and '"a,b",1' in text
+    files.write_by(df, str(tmp_path / "by"), "verdict")
+    assert {p.name for p in (tmp_path / "by").glob("verdict=*")} == {"verdict=READY", "verdict=SKIP"}
+    assert {(r.id, r.verdict) for r in spark.read.json(str(tmp_path / "by")).collect()} == {(1, "READY"), (2, "SKIP")}
+    files.write_report(df.select("id"), str(tmp_path / "report"))
+    assert len(list((tmp_path / "report").glob("*.json"))) == 1
+    files.write_texts(df, str(tmp_path / "texts"), "id")
+    assert [p.read_text() for p in (tmp_path / "texts" / "id=1").glob("*.txt")] == ["l1\nl2\n"]
+    files.write_dataset(df.select("id", F.lit("train").alias("split")), ["O", "B-A"], str(tmp_path / "set"))
+    assert spark.read.json(str(tmp_path / "set" / "rows")).count() == 2
+    table = json.loads(next((tmp_path / "set" / "label_map").glob("*.json")).read_text())
+    assert table == {"id2label": {"0": "O", "1": "B-A"}, "label2id": {"O": 0, "B-A": 1}}
+
+
+def test_ner_rows(spark, tmp_path):
+    (tmp_path / "rows.json").write_text(json.dumps([{"input_ids": [1, 2], "attention_mask": [1, 1], "labels": [0, -100], "text": "a b"}]))
+    assert [tuple(r) for r in files.read_ner_rows(spark, str(tmp_path / "rows.json")).collect()] == [([1, 2], [1, 1], [0, -100], "a b")]
+
+
+def test_response_and_debug_view(spark):
+    text = "Maria Lopez\nSkills: Python\nExperience\nAcme Corp"
+    df = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string").withColumn("raw", F.col("text"))
+    found = pf.profile(df).withColumn("started", F.current_timestamp())
+    more = pf.request_metadata(F.lit("embedded"), F.lit("ok"), F.lit("mock_heuristic"), F.col("started"))
+    view = F.struct(*pf.debug_view(F.coalesce("raw", F.lit("")), F.coalesce("raw", F.lit(""))))
+    got = [json.loads(r.json) for r in pf.response(found, more, view).orderBy("doc_id").collect()]
+    assert got[0]["profile"] == {"name": "Maria Lopez", "skills": ["python"], "education": [], "experience": ["Acme Corp"]}
+    meta = got[0]["metadata"]
+    assert (meta["confidence"], meta["text_length"], meta["parser_used"], meta["parser_confidence"], meta["inference_backend"]) == (0.62, len(text), "embedded", 1.0, "mock_heuristic")
+    assert len(meta["request_id"]) == 36 and meta["processing_ms"] >= 0 and got[0]["metadata"]["request_id"] != got[1]["metadata"]["request_id"]
+    assert got[0]["debug"]["lines"] == text.split("\n") and got[0]["debug"]["name_candidates"][0] == {"line": "Maria Lopez", "score": 5} and got[1]["metadata"]["confidence"] == 0.0
+    plain = json.loads(pf.response(found).orderBy("doc_id").first().json)
+    assert set(plain) == {"profile", "metadata"} and set(plain["metadata"]) == {"confidence", "text_length"}
+
+
+def test_hybrid_merge(spark):
+    shape = "struct<name:string,email:string,phone:string,skills:array<string>,education:array<string>,experience:array<string>,confidence:double>"
+    ner = ("Resume Of", None, "1", ["SQL", "x", "sql"], ["2019 -", "Education"], ["US", "Acme"], 0.9)
+    heuristic = ("Jane Doe", "j@x.org", None, ["sql", "Go"], ["BSc"], ["acme", "Beta"], 0.62)
+    good = ("Ann Lee", *ner[1:])
+    rows = [(1, 3, ner, heuristic), (2, 0, good, heuristic), (3, 2, None, heuristic)]
+    got = [r.merged for r in pf.hybrid_merge(spark.createDataFrame(rows, f"id int, n_entities int, ner {shape}, heuristic {shape}")).orderBy("id").collect()]
+    assert (got[0].name, got[0].email, got[0].phone, got[0].skills, got[0].experience, got[0].confidence) == ("Jane Doe", "j@x.org", "1", ["SQL", "Go"], ["Acme", "Beta"], 0.9)
+    assert got[0].education == ["2019 - BSc"] and (got[1].name, got[1].confidence) == ("Ann Lee", 0.62) and got[2].skills == ["sql", "Go"]
+
+
 def test_parser_cascade(spark):
     rows = [(n, bytearray(b)) for n, b in (("a.pdf", b"e" * 50), ("b.pdf", b"weak"), ("c.pdf", b""), ("d.pdf", b"bad"))]
 
