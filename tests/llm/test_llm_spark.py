@@ -314,3 +314,54 @@ def test_pipeline(spark):
     assert "hunter2" not in secret.text
     for name, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, folder).columns == docs.columns, name
+
+
+def pipeline_folder(spark, docs, labels, bench):
+    folder = common.shared_dir(spark) + f"/pipeline-{hashlib.md5(str(random.random()).encode()).hexdigest()}"
+    for name, df in (("documents", docs), ("labels", labels), ("benchmark", bench)):
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return folder
+
+
+def test_pipeline_on_odd_rows(spark):
+    """Null ids, repeated rows, clashing columns, and empty tables."""
+    import corpus_pipeline
+
+    item = " ".join(f"bench{i}" for i in range(30))
+    texts = [None, "", " \n", "one two", prose(1, 60), prose(1, 60), f"{prose(2, 50)} {item}", prose(3, 70)]
+    docs = table(spark, texts, [None, None, 5, 5, 6, None, 8, 9])
+    docs = docs.union(docs.filter("doc_id = 9")).withColumns({c: F.lit("clash") for c in ("ids", "score", "others", "decoded", "_row", "_text", "_good", "key", "root", "h", "spans")})
+    labels = spark.createDataFrame([(None, 1, 0), (6, None, 0), (9, 1, 0), (9, 1, 0)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(0, item), (None, item), (1, None), (2, "")], "item_id long, text string")
+    folder = pipeline_folder(spark, docs, labels, bench)
+    rows = corpus_pipeline.run(spark, folder).collect()
+    # one of the two copies, one of the repeated rows, no document with the item; blanks stay
+    assert len(rows) == 6 and sum(r.doc_id == 9 for r in rows) == 1 and all(r.doc_id != 8 for r in rows) and all(r.lossless for r in rows)
+    assert sorted(len(r.ids or []) == 0 for r in rows) == [False] * 3 + [True] * 3 or sum(r.ids is None for r in rows) == 1
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, folder).columns == docs.columns, name
+        assert stage(spark, docs.limit(0), folder).count() == 0, name
+    assert corpus_pipeline.run(spark, pipeline_folder(spark, docs.limit(0), labels.limit(0), bench.limit(0))).count() == 0
+
+
+def test_one_of_each_needs_no_places(spark):
+    """The same folder read with other numbers of tasks gives the same rows."""
+    texts = near_copies(5, 60, 4) + [prose(i, 40) for i in range(60, 160)] + ["", None, "", None]
+    folder = common.shared_dir(spark) + f"/places-{hashlib.md5(str(random.random()).encode()).hexdigest()}"
+    table(spark, texts).repartition(7).write.parquet(folder)
+    got = []
+    for size in ("128m", "1k"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        got.append(sorted(str(r.doc_id) for r in jaccard.one_of_each(spark, spark.read.parquet(folder)).collect()))
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    n, root = components_by_hand(texts)
+    assert got[0] == got[1] and len(got[0]) == len(set(root))
+
+
+def test_decontamination_of_odd_rows(spark):
+    item = " ".join(f"q{i}" for i in range(20))
+    bench = spark.createDataFrame([("a", item), ("b", item), (None, "other words here for nothing")], "item_id string, text string")
+    docs = spark.createDataFrame([("x", f"{prose(1, 30)} {item}"), ("x", f"{prose(1, 30)} {item}"), (None, item), ("y", None), (None, "")], "doc_id string, text string")
+    got = sorted((str(r.doc_id), r.item_id) for r in decontam.contaminated(spark, docs, bench).collect())
+    assert got == [("None", "a"), ("None", "b"), ("x", "a"), ("x", "b")]
+    assert sorted(str(r.doc_id) for r in decontam.drop_contaminated(spark, docs, bench).collect()) == ["None", "y"]
