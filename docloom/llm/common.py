@@ -33,6 +33,17 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+#: Bytes of rows that go to Python at a time, where the session leaves the setting as it comes.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Rows with whole texts go to Python in batches of about BATCH_BYTES: both sides hold a batch or two at a time."""
+    if int(str(spark.conf.get(_BATCH_SETTING)).rstrip("b")) > 32 << 20:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_BYTES))
+
+
 #: Roots of workspaces that hold tables, in the order they were opened.
 _OPEN: list[str] = []
 
@@ -45,6 +56,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, what: str):
+        bound_batches(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/docloom/{what}-{uuid.uuid4().hex}"
         _OPEN.append(self.root)
@@ -143,20 +155,18 @@ HOT_SHARE = 10_000
 def join_by_share(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
     """rows left join table on key, where table has one row a key and ``weight``, the key's number of rows.
 
-    Hot keys go to every task (their number is bounded by HOT_SHARE), all others
-    are shuffled; rows of hot keys are then dealt at random. So no key gathers
-    its rows in one task. ``key`` may be null: such rows find nothing.
+    Hot keys go to every task (their number is bounded by HOT_SHARE), and their
+    rows stay where they are; only the rows of other keys are shuffled. So no key
+    gathers its rows in one task. ``key`` may be null: such rows find nothing.
     """
     others = [c for c in table.columns if c not in (key, weight)]
-    hot = table.filter(F.col(weight) * HOT_SHARE >= total).select(F.col(key).alias("_hot_key"), F.struct(*others).alias("_hot"))
-    cold = table.filter(F.col(weight) * HOT_SHARE < total).select(F.col(key).alias("_cold_key"), F.struct(*others).alias("_cold"), F.lit(0).alias("_deal"))
-    out = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
-    # only the deal 0 finds anything; rows that are answered, or can't be, are spread over the others
-    settled = F.col("_hot").isNotNull() | F.col(key).isNull()
-    out = out.withColumn("_row_deal", F.when(settled, F.monotonically_increasing_id() + 1).otherwise(F.lit(0).cast("long")))
-    out = out.join(cold, (F.col(key) == F.col("_cold_key")) & (F.col("_row_deal") == F.col("_deal")), "left")
-    found = F.coalesce("_hot", "_cold")
-    return out.select(*rows.columns, *(found[c].alias(c) for c in others))
+    hot = table.filter(F.col(weight) * HOT_SHARE >= total).select(F.col(key).alias("_hot_key"), F.struct(*others).alias("_found"))
+    cold = table.filter(F.col(weight) * HOT_SHARE < total).select(F.col(key).alias("_cold_key"), F.struct(*others).alias("_found"))
+    met = rows.join(F.broadcast(hot), F.col(key) == F.col("_hot_key"), "left")
+    done = F.col("_found").isNotNull() | F.col(key).isNull()
+    rest = met.filter(~done).select(*rows.columns).join(cold, F.col(key) == F.col("_cold_key"), "left")
+    pick = [*rows.columns, *(F.col("_found")[c].alias(c) for c in others)]
+    return met.filter(done).select(*pick).unionByName(rest.select(*pick))
 
 
 def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from docloom.llm.common import Numbers, grown, read, slices
+from docloom.llm.common import Numbers, bound_batches, grown, read, slices
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -370,6 +370,7 @@ def encode_texts(df: DataFrame, model: bytes, n_best: int = N_BEST, text_col: st
     score 0. Rows, also repeated ones, and other columns stay as they are; a
     column named like a new one is replaced. An empty table gives an empty result.
     """
+    bound_batches(df.sparkSession)
     held = df.sparkSession.sparkContext.broadcast(model)
     (out, stay), at = _extended(df, ENCODED + (f", {decoded} string" if decoded else "")), df.columns.index(text_col)
 

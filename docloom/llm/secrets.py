@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docloom.llm.common import read, slices
+from docloom.llm.common import bound_batches, read, slices
 from docloom.llm.trigrams import TrigramIndex, query_of, trigrams_of
 
 BLOCK_BYTES = 4 << 20
@@ -97,6 +97,7 @@ def scan_secrets(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
     scanned one by one, null ids are kept, other columns are not looked at.
     """
 
+    bound_batches(docs.sparkSession)
     def scan(batches):
         scanner = Scanner(rules)
         for b in slices(batches, 1):
@@ -123,6 +124,7 @@ def redact_secrets(docs: DataFrame, rules=RULES, text_col: str = "text") -> Data
     Null texts stay null and empty ones empty; repeated rows are masked alike.
     Columns of other names, whatever they are, pass through.
     """
+    bound_batches(docs.sparkSession)
     at = docs.columns.index(text_col)
 
     def redact(batches):
