@@ -34,7 +34,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Bytes of rows that go to Python at a time, where the session leaves the setting as it comes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 12 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
