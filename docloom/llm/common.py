@@ -173,23 +173,22 @@ def components(ws: Workspace, links: DataFrame, name: str) -> DataFrame:
     """(node, root) of every node that isn't the root of its component, from links (a, b).
 
     Alternates large and small stars until nothing changes; the root is the
-    smallest node. Every round is a written table. Nodes with many links are
-    joined by share, so a hub's links stay dealt out.
+    smallest node. Every round is a written table. A node's links meet in one
+    task, as pairs of numbers: what is linked here are sets, not documents.
     """
     edges = ws.table(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), f"{name}-0")
-    before, step, total = None, 0, edges.count()
+    before, step = None, 0
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = join_by_share(both, least, "u", "n", 2 * total).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = join_by_share(large, least, "u", "n", total).select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         step += 1
         edges = ws.table(small, f"{name}-{step}")
         state = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
         if step > 1:
             ws.drop(f"{name}-{step - 2}")
-        total = state[0]
         if state == before or not state[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = state

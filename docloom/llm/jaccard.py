@@ -50,6 +50,8 @@ PIVOT_ROWS = 1024
 #: Shingles of a block of nodes that is compared with another block.
 BLOCK_SHINGLES = 65_536
 COLUMNS = 8192
+#: Words whose hashes a task keeps.
+CACHE_WORDS = 120_000
 
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -61,7 +63,7 @@ class Shingler:
         self.words, self.known = words, {}
 
     def _word(self, w: bytes) -> int:
-        if len(self.known) > 400_000:
+        if len(self.known) > CACHE_WORDS:
             self.known.clear()
         x = self.known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
         return x
