@@ -49,6 +49,8 @@ PIVOTS = 4
 PIVOT_ROWS = 1024
 #: Shingles of a block of nodes that is compared with another block.
 BLOCK_SHINGLES = 65_536
+#: Shingles of long lists' nodes that are counted at a time.
+RANGE_SHINGLES = 500_000
 COLUMNS = 8192
 #: Words whose hashes a task keeps.
 CACHE_WORDS = 120_000
@@ -282,13 +284,32 @@ def _links_of_long_lists(ws: Workspace, posts: DataFrame, links: DataFrame, sets
     size = F.length("packed") * 8 / HASH_BITS
     nodes = ws.table(posts.select("rid").distinct().join(sets, "rid").withColumn("n", size.cast("int")), "long-sets")
 
+    ranges = max(1, -(-(nodes.agg(F.sum("n")).first()[0] or 0) // RANGE_SHINGLES))
+
     def spread(batches):
+        """Shingles and their nodes by range of the hash space, packed: a row for each range of a slice."""
         for b in slices(batches, 1, 1 << 20):
             arrays = [unpacked(p) for p in b.column(1).to_pylist()]
-            rid = np.repeat(np.asarray(b.column(0)), [len(a) for a in arrays])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(arrays).astype(np.int64)), pa.array(rid)], names=["s", "rid"])
-
-    alone = nodes.select("rid", "packed").mapInArrow(spread, "s long, rid long").groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("rid")).filter("c = 1").groupBy("rid").agg(F.count(F.lit(1)).alias("alone"))
+            s, rid = np.concatenate(arrays), np.repeat(np.asarray(b.column(0)), [len(a) for a in arrays])
+            place = ((s >> np.uint64(HASH_BITS - 24)) * np.uint64(ranges)) >> np.uint64(24)
+            order = np.argsort(place, kind="stable")
+            ends = np.searchsorted(place[order], np.arange(ranges + 1))
+            full = np.flatnonzero(np.diff(ends)).tolist()
+            parts = [order[ends[i] : ends[i + 1]] for i in full]
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array([x[p].tobytes() for p in parts], pa.binary()) for x in (s.astype(np.int64), rid.astype(np.int64)))], names=["place", "s", "rids"])
+
+    def single(batches):
+        """(rid, alone) from the rows of each range together: a node's shingles that no other node has."""
+        rows = (r for b in slices(batches, 1) for r in zip(*(c.to_pylist() for c in b.columns)))
+        for _, own in groupby(rows, key=lambda r: r[0]):  # about RANGE_SHINGLES
+            own = list(own)
+            s, rid = (np.concatenate([np.frombuffer(r[c], np.int64) for r in own]) for c in (1, 2))
+            _, first, count = np.unique(s, return_index=True, return_counts=True)
+            rids, n = np.unique(rid[first[count == 1]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(rids), pa.array(n.astype(np.int64))], names=["rid", "alone"])
+
+    packed_ranges = nodes.select("rid", "packed").mapInArrow(spread, "place int, s binary, rids binary").repartition("place").sortWithinPartitions("place")
+    alone = packed_ranges.mapInArrow(single, "rid long, alone long").groupBy("rid").agg(F.sum("alone").alias("alone"))
     kept = nodes.select("rid", "n").join(alone, "rid", "left").withColumn("alone", F.coalesce("alone", F.lit(0))).filter(100 * (F.col("n") - F.col("alone")) >= percent * F.col("n"))
     kept = ws.table(kept, "long-kept")
     posts = ws.table(posts.join(kept, "rid").select("h", "rid", "n", "alone"), "long")

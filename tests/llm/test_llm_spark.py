@@ -157,6 +157,7 @@ def test_jaccard(spark, monkeypatch, short_list):
     monkeypatch.setattr(jaccard, "SHORT_LIST", short_list)
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 900)
     monkeypatch.setattr(jaccard, "PIVOT_ROWS", 4)
+    monkeypatch.setattr(jaccard, "RANGE_SHINGLES", 700)
     monkeypatch.setattr(jaccard, "PIVOTS", 1)
     shared = prose(99, 60)
     texts = ODD + near_copies(1, 40, 6) + near_copies(2, 12, 3) + [f"{shared} {prose(i, 50)}" for i in range(30, 50)] + ["a b c d e f", "A B c d e f", "a b c d e", "b c d e f"]
