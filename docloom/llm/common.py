@@ -149,7 +149,7 @@ def crc_mod(c: Column, n: int) -> Column:
 
 
 #: Keys that hold at least 1/HOT_SHARE of all rows are joined by broadcast: there are at most HOT_SHARE of them.
-HOT_SHARE = 10_000
+HOT_SHARE = 1_000
 
 
 def join_by_share(rows: DataFrame, table: DataFrame, key: str, weight: str, total: int) -> DataFrame:
