@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -366,3 +367,18 @@ def test_decontamination_of_odd_rows(spark):
     got = sorted((str(r.doc_id), r.item_id) for r in decontam.contaminated(spark, docs, bench).collect())
     assert got == [("None", "a"), ("None", "b"), ("x", "a"), ("x", "b")]
     assert sorted(str(r.doc_id) for r in decontam.drop_contaminated(spark, docs, bench).collect()) == ["None", "y"]
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    def shuffles():
+        files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {x.rpartition("/")[2] for x in files.mkString("\n").split("\n") if "/shuffle_" in x}
+
+    before, setting = shuffles(), spark.conf.get(common._CLEANUP_SETTING, None)
+    ws = common.Workspace(spark, "t")
+    written = ws.table(spark.range(5000).repartition(3, "id").groupBy((F.col("id") % 7).alias("g")).count(), "counts")
+    end = time.time() + 5
+    while shuffles() - before and time.time() < end:  # files go in the background
+        time.sleep(0.2)
+    assert not shuffles() - before and spark.conf.get(common._CLEANUP_SETTING, None) == setting
+    assert sum(r["count"] for r in written.collect()) == 5000
