@@ -8,9 +8,10 @@ don't meet in the prefixes:
 1. Documents with equal sets are one node. A node lists the shingles whose hash
    is in a fixed band of the hash space (with more hashes where a short text
    has too few there for its prefix); all others come later in the order.
-2. Document frequencies of the listed shingles are counted over all nodes. The
-   order is: the band by frequency then hash, then the rest by hash. Shingles
-   that one node alone has fill the front of a prefix and find nobody.
+2. Document frequencies of the listed shingles are counted over all nodes, range
+   by range of the hashes (see ``_meeting``). The order is: the band by
+   frequency then hash, then the rest by hash. Shingles that one node alone has
+   fill the front of a prefix and find nobody.
 3. Nodes with equal size and equal prefixes form a group; groups meet in the
    lists of their prefix shingles, and pairs of groups of compatible size are
    expanded to their members.
@@ -18,8 +19,10 @@ don't meet in the prefixes:
    out. Long lists, which large groups of near copies make, are not paired off
    (see ``_links_of_long_lists``).
 
-Frequent shingles, large groups and frequent sets are joined by share: the few
-keys with many rows go to all tasks, and their rows stay dealt out.
+Large groups, long lists and frequent sets are joined by share: the few keys
+with many rows go to all tasks, and their rows stay dealt out. Hashes cross the
+network packed, a row for each range of a slice, and are dropped from the tables
+of rows and nodes as soon as they have been counted.
 Shingles are compared by 48 bits of a 64-bit hash: two different ones of a pair
 are taken for equal with a probability of 2^-48.
 """
@@ -34,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docloom.llm.common import Workspace, components, if_small, join_by_share, read, slices
+from docloom.llm.common import Workspace, components, if_small, join_by_share, map_sum, read, slices
 
 WORDS = 5
 PERCENT = 80
@@ -49,8 +52,10 @@ PIVOTS = 4
 PIVOT_ROWS = 1024
 #: Shingles of a block of nodes that is compared with another block.
 BLOCK_SHINGLES = 65_536
-#: Shingles of long lists' nodes that are counted at a time.
+#: Shingles that are counted at a time.
 RANGE_SHINGLES = 500_000
+#: Nodes of the sample that shows frequent shingles, and the number of them that makes one frequent.
+SAMPLE_NODES, OFTEN = 4096, 64
 COLUMNS = 8192
 #: Words whose hashes a task keeps.
 CACHE_WORDS = 120_000
@@ -94,14 +99,14 @@ def short(h: np.ndarray) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """key, n, node key, band size and the listed hashes (48 bits) of every row of docs (key, text)."""
+    """key, n, node key, band size and the listed hashes (packed) of every row of docs (key, text)."""
     limit = np.uint64(int(BAND * (1 << HASH_BITS)))
-    schema = f"key {docs.schema['key'].dataType.simpleString()}, n int, node binary, n_band int, listed array<long>"
+    schema = f"key {docs.schema['key'].dataType.simpleString()}, n int, node binary, n_band int, listed binary"
 
     def run(batches):
         s = Shingler(words)
         for b in slices(batches, 1):
-            n, key, band, flat, ends = [], [], [], [], [0]
+            n, key, band, lists = [], [], [], []
             for text in b.column(1).to_pylist():
                 h = s.hashes(text)
                 hs = short(h)  # ascending as h is; equal ones are kept apart by nothing, so dropped
@@ -111,10 +116,8 @@ def shingled(docs: DataFrame, words: int, percent: int) -> DataFrame:
                 n.append(len(h))
                 key.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if len(h) else None)
                 band.append(inside)
-                flat.append(listed.astype(np.int64))
-                ends.append(ends[-1] + len(listed))
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(key, pa.binary()), pa.array(band, pa.int32()), lists], names=["key", "n", "node", "n_band", "listed"])
+                lists.append(as_bytes(listed))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int32()), pa.array(key, pa.binary()), pa.array(band, pa.int32()), pa.array(lists, pa.binary())], names=["key", "n", "node", "n_band", "listed"])
 
     return docs.select("key", "text").mapInArrow(run, schema)
 
@@ -143,7 +146,11 @@ def checked(pairs: DataFrame, percent: int) -> DataFrame:
 
 def packed(h: np.ndarray) -> bytes:
     """48 bits of each hash."""
-    return np.ascontiguousarray(short(h).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8]).tobytes()
+    return as_bytes(short(h))
+
+
+def as_bytes(short_hashes: np.ndarray) -> bytes:
+    return np.ascontiguousarray(short_hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : HASH_BITS // 8]).tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
@@ -177,15 +184,20 @@ def fits(n, m, percent: int):
 
 def _labelled(ws: Workspace, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(key, n, root) of every row of docs (key, text): its number of shingles and the smallest key of its component (its own without shingles)."""
-    rows = ws.table(shingled(docs, words, percent), "rows")
+    listed = ws.table(shingled(docs, words, percent), "listed")
+    rows = ws.table(listed.select("key", "n", "node"), "rows")
     nodes = ws.table(
-        rows.filter("n > 0")
+        listed.filter("n > 0")
         .groupBy("node")
         .agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("n_band").alias("n_band"), F.first("listed").alias("listed"))
         .withColumn("rid", F.monotonically_increasing_id()),
-        "nodes",
+        "listed-nodes",
     )
-    roots = _roots(ws, docs, nodes, words, percent)
+    ws.drop("listed")
+    prefixes = _prefixes(ws, nodes, percent)
+    nodes = ws.table(nodes.select("rid", "node", "rep", "copies"), "nodes")
+    ws.drop("listed-nodes")
+    roots = _roots(ws, docs, nodes, prefixes, words, percent)
     labelled = nodes.select("rid", "node", "rep", "copies").join(roots.select(F.col("node").alias("rid"), "root"), "rid", "left").withColumn("root", F.coalesce("root", "rid"))
     sizes = ws.table(labelled.groupBy("root").agg(F.min("rep").alias("least"), F.count(F.lit(1)).alias("k")), "roots")
     table = join_by_share(labelled.select("node", "copies", "root"), sizes, "root", "k", nodes.count())
@@ -209,38 +221,112 @@ def similar_components(spark: SparkSession, docs: DataFrame, words: int = WORDS,
     return out.select(F.col("key").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("root").alias("component_id"))
 
 
+def _meeting(rows: DataFrame) -> DataFrame:
+    """(h, rid, size, k): the hashes that at least two heads hold, with the number of rows and of heads that hold them.
+
+    rows: a written table (rid, head, listed), each with distinct packed hashes; head is
+    a boolean. Hashes go to ranges of about RANGE_SHINGLES by their low bits, as a packed
+    row for each range of a slice. Those that OFTEN rows of a sample hold are counted
+    first, by all tasks, and their rows stay dealt out, so no range has a longer list
+    than about one of SAMPLE_NODES / OFTEN rows.
+    """
+    spark = rows.sparkSession
+    count, total = rows.agg(F.count(F.lit(1)), F.sum(F.length("listed"))).first()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) * 8 // HASH_BITS // RANGE_SHINGLES), 1)
+
+    def flat(b):
+        """Hashes of a slice (rid, head, listed) and the place of each one's row."""
+        lists = b.column(2).to_pylist()
+        return unpacked(b"".join(lists)), np.repeat(np.arange(len(lists)), [len(x) * 8 // HASH_BITS for x in lists])
+
+    def tally(batches):
+        for b in slices(batches, 2):
+            s, c = np.unique(flat(b)[0].astype(np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(s), pa.array(c)], names=["h", "c"])
+
+    sample = rows.filter(F.pmod(F.xxhash64("rid"), F.lit(max(1, count // SAMPLE_NODES))) == 0)
+    found = sample.select("rid", "head", "listed").mapInArrow(tally, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")).filter(F.col("c") >= OFTEN)
+    often = np.sort(np.array([r.h for r in found.select("h").collect()], np.uint64))  # at most the sample's hashes / OFTEN
+
+    def at(s):
+        """The place of each hash in often, and whether it is there."""
+        i = np.minimum(np.searchsorted(often, s), len(often) - 1)
+        return i, often[i] == s
+
+    def add(b, total):
+        for x in slices([b], 2):
+            s, row = flat(x)
+            i, there = at(s)
+            total[0] += np.bincount(i[there], minlength=len(often))
+            heads = there & x.column(1).to_numpy(zero_copy_only=False)[row]
+            total[1] += np.bincount(i[heads], minlength=len(often))
+
+    known = map_sum(rows.select("rid", "head", "listed"), add, (2, len(often))).astype(np.int64) if len(often) else None
+
+    def spread(batches):
+        for b in slices(batches, 2):
+            s, row = flat(b)
+            rid, head = (b.column(c).to_numpy(zero_copy_only=False) for c in (0, 1))
+            place = (((s & np.uint64((1 << 24) - 1)) * np.uint64(ranges)) >> np.uint64(24)).astype(np.int64)
+            if len(often):
+                place[at(s)[1]] = ranges + int(rid[0]) % (1 << 30)
+            order = np.argsort(place, kind="stable")
+            place, start = np.unique(place[order], return_index=True)
+            parts = [order[x:y] for x, y in zip(start, [*start[1:], len(order)])]
+            steps = [np.diff(rid[row[p]], prepend=0).astype(np.int64).tobytes() for p in parts]  # small numbers, which shrink
+            yield pa.RecordBatch.from_arrays([pa.array(place), pa.array([as_bytes(s[p]) for p in parts], pa.binary()), pa.array(steps, pa.binary()), pa.array([np.packbits(head[row[p]]).tobytes() for p in parts], pa.binary())], names=["place", "s", "rids", "heads"])
+
+    def together(batches):
+        rows = (r for b in slices(batches, 1) for r in zip(*(c.to_pylist() for c in b.columns)))
+        for place, own in groupby(rows, key=lambda r: r[0]):
+            for part in [list(own)] if place < ranges else ([r] for r in own):
+                s = unpacked(b"".join(r[1] for r in part))
+                rid = np.concatenate([np.cumsum(np.frombuffer(r[2], np.int64)) for r in part])
+                if place < ranges:
+                    head = np.concatenate([np.unpackbits(np.frombuffer(r[3], np.uint8), count=len(r[2]) // 8) for r in part])
+                    _, i, size = np.unique(s, return_inverse=True, return_counts=True)
+                    size, k = size[i], np.bincount(i, weights=head).astype(np.int64)[i]
+                else:
+                    size, k = known[:, at(s)[0]]
+                keep = k > 1
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep].astype(np.int64)) for x in (s, rid, size, k)], names=["h", "rid", "size", "k"])
+
+    ranged = rows.select("rid", "head", "listed").mapInArrow(spread, "place long, s binary, rids binary, heads binary")
+    return ranged.repartition("place").sortWithinPartitions("place").mapInArrow(together, "h long, rid long, size long, k long")
+
+
 def _prefixes(ws: Workspace, nodes: DataFrame, percent: int) -> DataFrame:
-    """(h, rid, n): the shingles of each node's prefix that another node lists too."""
-    limit = int(BAND * (1 << HASH_BITS))
-    listed = nodes.select(F.explode("listed").alias("h"), "rid", "n", "n_band")
-    shared = ws.table(listed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "frequencies")
-    total = nodes.agg(F.sum(F.size("listed"))).first()[0] or 0
-    posts = ws.table(join_by_share(listed, shared.select("h", "df", F.col("df").alias("rows")), "h", "rows", total).filter("df IS NOT NULL"), "shared")
-    inside = posts.filter(F.col("h") < limit)
-    rank = F.row_number().over(Window.partitionBy("rid").orderBy("df", "h"))
-    known = F.count(F.lit(1)).over(Window.partitionBy("rid"))
+    """(rid, n, prefix): the shingles of each node's prefix that another node lists too, packed; no row where there are none."""
+    inside = F.col("h") < int(BAND * (1 << HASH_BITS))
+    posts = ws.table(_meeting(nodes.select("rid", F.lit(True).alias("head"), "listed")).select("h", "rid", F.col("size").alias("df")), "shared")
+    mine = Window.partitionBy("rid")
+    at = F.row_number().over(mine.orderBy(~inside, "df", "h")) + F.col("n_band") - F.count(F.when(inside, 1)).over(mine)  # before it: what one node alone has
     length = F.col("n") - F.floor((F.col("n") * percent + 99) / 100) + 1
-    inside = inside.withColumn("at", rank + F.col("n_band") - known).filter(F.col("at") <= length)  # before it: what one node alone has
-    return ws.table(inside.select("h", "rid", "n").union(posts.filter(F.col("h") >= limit).select("h", "rid", "n")), "prefixes")
+    kept = posts.join(nodes.select("rid", "n", "n_band"), "rid").withColumn("at", at).filter(~inside | (F.col("at") <= length))
+
+    def pack(batches):
+        for b in batches:
+            prefix = [as_bytes(h.values.to_numpy(zero_copy_only=False)) for h in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(prefix, pa.binary())], names=["rid", "n", "prefix"])
 
+    lists = kept.groupBy("rid", "n").agg(F.sort_array(F.collect_list("h")).alias("h"))
+    prefixes = ws.table(lists.mapInArrow(pack, "rid long, n int, prefix binary"), "prefixes")
+    ws.drop("shared")
+    return prefixes
 
-def _roots(ws: Workspace, docs: DataFrame, nodes: DataFrame, words: int, percent: int) -> DataFrame:
+
+def _roots(ws: Workspace, docs: DataFrame, nodes: DataFrame, prefixes: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) of the components of nodes, but for the roots themselves."""
-    prefixes = _prefixes(ws, nodes, percent)
-    ws.drop("frequencies", "shared")
     # groups of equal size and prefix; g is the smallest member
-    keys = prefixes.groupBy("rid", "n").agg(F.unhex(F.md5(F.array_join(F.sort_array(F.collect_list("h")), ","))).alias("prefix"))
-    keys = ws.table(keys.select("rid", "n", F.concat("prefix", F.unhex(F.lpad(F.hex("n"), 8, "0"))).alias("prefix")), "keys")
+    keys = prefixes.select("rid", "n", F.concat(F.unhex(F.md5("prefix")), F.unhex(F.lpad(F.hex("n"), 8, "0"))).alias("prefix"))
     sizes = ws.table(keys.groupBy("prefix").agg(F.min("rid").alias("g"), F.count(F.lit(1)).alias("copies")).withColumn("members", F.col("copies")), "sizes")
     groups = ws.table(join_by_share(keys, sizes, "prefix", "copies", keys.count()).select("rid", "n", "g", "members"), "groups")
     # lists of at least two groups, and the groups of several members themselves
-    own = ws.table(prefixes.join(groups.select("rid", "g"), "rid"), "own")
-    lists = own.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.count(F.when(F.col("rid") == F.col("g"), 1)).alias("k")).filter("k > 1")
-    lists = ws.table(lists.select("h", "size", F.col("size").alias("rows")), "lists")
-    found = join_by_share(own.select("h", "rid", "n", "g"), lists, "h", "rows", own.count()).filter("size IS NOT NULL")
+    own = ws.table(prefixes.join(groups.select("rid", "g"), "rid").select("rid", (F.col("rid") == F.col("g")).alias("head"), F.col("prefix").alias("listed")), "own")
+    found = _meeting(own).join(groups.select("rid", "n", "g"), "rid")
     inner = groups.filter("members > 1").select((-F.col("g") - 1).alias("h"), "rid", "n", "g", F.col("members").alias("size"))
     posts = ws.table(found.select("h", "rid", "n", "g", "size").unionByName(inner), "posts")
-    ws.drop("prefixes", "keys", "sizes", "own", "lists")
+    ws.drop("prefixes", "sizes", "own")
     wanted = ws.table(posts.select("rid").distinct().join(nodes.select("rid", "node", "rep"), "rid"), "wanted")
     sets = ws.table(whole_sets(docs, wanted, words), "sets")
 
@@ -314,10 +400,13 @@ def _links_of_long_lists(ws: Workspace, posts: DataFrame, links: DataFrame, sets
     kept = ws.table(kept, "long-kept")
     posts = ws.table(posts.join(kept, "rid").select("h", "rid", "n", "alone"), "long")
     total = posts.count()
+    # of lists that hold the same nodes (told apart by 128 bits) one stays
+    lists = posts.groupBy("h").agg(F.count(F.lit(1)).alias("rows"), F.bit_xor(F.xxhash64("rid")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "rid")).alias("y"))
+    lists = ws.table(lists.groupBy("rows", "x", "y").agg(F.min("h").alias("h")).filter("rows > 1").select("h", "rows"), "long-lists")
 
     order = Window.partitionBy("h").orderBy(F.col("alone") / F.col("n"), "rid")
     pivots = posts.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= PIVOTS).groupBy("h").agg(F.collect_list(F.struct(F.col("rid").alias("a"), F.col("n").alias("m"))).alias("pivots"))
-    pivots = ws.table(pivots.join(posts.groupBy("h").agg(F.count(F.lit(1)).alias("rows")), "h"), "pivots")
+    pivots = ws.table(pivots.join(lists, "h"), "pivots")
     stars = join_by_share(posts.select("h", "rid", "n"), pivots, "h", "rows", total).select(F.col("rid").alias("b"), "n", F.explode("pivots").alias("p")).select(F.col("p.a").alias("a"), "b", "n", F.col("p.m").alias("m"))
     stars = ws.table(stars.filter((F.col("a") != F.col("b")) & fits(F.col("n"), F.col("m"), percent)).select("a", "b").distinct(), "stars")
     counts = ws.table(stars.groupBy("a").agg(F.count(F.lit(1)).alias("rows")).withColumn("copies", F.ceil(F.col("rows") / PIVOT_ROWS).cast("int")), "star-counts")
@@ -331,7 +420,7 @@ def _links_of_long_lists(ws: Workspace, posts: DataFrame, links: DataFrame, sets
     # what the stars leave apart
     placed = ws.table(posts.select("h", "rid", "n").join(roots.withColumnRenamed("node", "rid"), "rid", "left").withColumn("root", F.coalesce("root", "rid")), "placed")
     mains = placed.groupBy("h", "root").agg(F.count(F.lit(1)).alias("k"), F.sum("n").alias("volume")).groupBy("h").agg(F.count(F.lit(1)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.max(F.struct("k", "root", "volume"))["volume"].alias("main_volume"), F.sum("k").alias("rows"), F.sum("volume").alias("volume"))
-    mains = mains.filter("roots > 1").select("h", "main", "rows", F.ceil((F.col("volume") - F.col("main_volume")) / BLOCK_SHINGLES).cast("int").alias("odd"), F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int").alias("all"))
+    mains = mains.join(lists.select("h"), "h").filter("roots > 1").select("h", "main", "rows", F.ceil((F.col("volume") - F.col("main_volume")) / BLOCK_SHINGLES).cast("int").alias("odd"), F.ceil(F.col("volume") / BLOCK_SHINGLES).cast("int").alias("all"))
     mains = ws.table(mains, "mains")
     if mains.isEmpty():
         return roots, None

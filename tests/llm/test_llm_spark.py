@@ -382,3 +382,17 @@ def test_written_tables_leave_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not shuffles() - before and spark.conf.get(common._CLEANUP_SETTING, None) == setting
     assert sum(r["count"] for r in written.collect()) == 5000
+
+
+@pytest.mark.parametrize("often", [8, 1000])
+def test_hashes_that_meet(spark, monkeypatch, often):
+    monkeypatch.setattr(jaccard, "RANGE_SHINGLES", 50)
+    monkeypatch.setattr(jaccard, "OFTEN", often)
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << jaccard.HASH_BITS, 120)
+    held = [sorted({int(pool[0]), *rng.choice(pool, 6).tolist()}) if i % 9 else [] for i in range(80)]
+    rows = [(i * (1 << 31), i % 3 == 0, bytearray(jaccard.as_bytes(np.array(h, np.uint64)))) for i, h in enumerate(held)]
+    size, heads = Counter(x for h in held for x in h), Counter(x for i, h in enumerate(held) if i % 3 == 0 for x in h)
+    ws = common.Workspace(spark, "t")
+    got = jaccard._meeting(ws.table(spark.createDataFrame(rows, "rid long, head boolean, listed binary").repartition(3), "rows"))
+    assert sorted(map(tuple, got.collect())) == sorted((x, rid, size[x], heads[x]) for (rid, _, _), h in zip(rows, held) for x in h if heads[x] > 1)
