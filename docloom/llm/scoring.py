@@ -1,8 +1,9 @@
 """Language-model scores of documents, beside those of smoothed word counts.
 
-1. Words of all training documents are counted (partial counts in each task).
-2. Each counted word is cut into subword ids once; so the corpus counts of ids
-   follow from the word counts. They lay out the model's output tree.
+1. Each text is cut into words and subword ids once, and its ids are kept beside it;
+   in the same pass the words of all training documents are counted (partial counts
+   in each task).
+2. The ids of training documents are counted. They lay out the model's output tree.
 3. A causal self-attention model (``attention``) takes its first steps in one task
    on a bounded sample, SAMPLE_DOCS documents and SAMPLE_IDS ids at most. Then all
    partitions train on all of their own training documents, each document, whole, in
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 import math
 import os
+from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,6 @@ TRAIN_WINDOWS, AVERAGED_WINDOWS = 192, 256
 SEGMENT_IDS = 65_536
 GROUP_IDS = 16_384  # scored at a time: their rows of scores stay in a core's cache
 CACHE_WORDS = 300_000
-FLUSH_WORDS = 300_000
 CONTEXT = attention.WINDOW - attention.STRIDE
 END = b""  # stands for a text's end among the words
 
@@ -49,51 +51,55 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 class Subwords:
-    """A table of words with their ids and their share of the base score (NaN: not among the most frequent); a text's end is an id of its own."""
+    """A table of words with their ids and counts; a text's end is an id of its own."""
 
-    def __init__(self, model: bytes, head: dict[bytes, float] | None = None):
+    def __init__(self, model: bytes):
         import sentencepiece
 
         self.sp = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.size, self.end, self.head = self.sp.get_piece_size(), self.sp.eos_id(), head or {}
+        self.size, self.end = self.sp.get_piece_size(), self.sp.eos_id()
+        self.kind = np.dtype("<u2" if self.size <= 1 << 16 else "<i4")  # of kept ids
         self.clear()
 
     def clear(self) -> None:
         self.place = Numbers()
         self.words: list[bytes] = []
-        self.flat, self.start, self.base = np.empty(1 << 16, np.int32), np.zeros(1 << 14, np.int64), np.empty(1 << 14)
+        self.flat, self.start, self.counts = np.empty(1 << 16, self.kind), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.place[END], self.place.fresh = 0, []
         self._add([END])
 
-    def cut(self, words: list[bytes]) -> list[list[int]]:
-        return [[self.end] if w == END else ids or [self.sp.unk_id()] for w, ids in zip(words, self.sp.encode([w.decode("utf-8", "replace") for w in words]))]
-
     def _add(self, words: list[bytes]) -> None:
-        ids = self.cut(words)
+        pieces = self.sp.encode([w.decode("utf-8", "replace") for w in words], num_threads=1)
+        ids = [[self.end] if w == END else x or [self.sp.unk_id()] for w, x in zip(words, pieces)]
         first, n = len(self.words), len(words)
         ends = self.start[first] + np.cumsum([len(x) for x in ids])
-        self.flat, self.start, self.base = (grown(a, size) for a, size in ((self.flat, int(ends[-1])), (self.start, first + n + 1), (self.base, first + n)))
-        self.flat[self.start[first] : ends[-1]] = np.concatenate(ids)
+        self.flat, self.start, self.counts = (grown(a, size) for a, size in ((self.flat, int(ends[-1])), (self.start, first + n + 1), (self.counts, first + n)))
+        self.flat[self.start[first] : ends[-1]] = np.fromiter(chain.from_iterable(ids), self.kind, int(ends[-1] - self.start[first]))
         self.start[first + 1 : first + n + 1] = ends
-        self.base[first : first + n] = [self.head.get(w, math.nan) for w in words]
         self.words += words
 
     def places(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Numbers in the table of each text's words and its end. Numbers hold until the next call."""
-        if len(self.words) > CACHE_WORDS:
-            self.clear()
+        """Numbers in the table of each text's words and its end."""
         found = [np.array([*map(self.place.__getitem__, words), 0], np.int64) for words in texts]
         if self.place.fresh:
             self._add(self.place.fresh)
             self.place.fresh = []
         return found
 
+    def count(self, places: np.ndarray) -> None:
+        self.counts[: len(self.words)] += np.bincount(places, minlength=len(self.words))
+
+    def counted(self) -> tuple[list[bytes], np.ndarray]:
+        at = np.flatnonzero(self.counts[: len(self.words)])
+        return [self.words[i] for i in at.tolist()], self.counts[at]
+
     def ids(self, places: np.ndarray) -> np.ndarray:
         first, n = self.start[places], self.start[places + 1] - self.start[places]
         return self.flat[np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
-    def sequences(self, texts: list[str | None]) -> list[np.ndarray]:
-        return [self.ids(p) for p in self.places([words_of(t) for t in texts])]
+    def kept(self, column) -> list[np.ndarray]:
+        """Ids of texts as ``cut`` keeps them."""
+        return [np.frombuffer(x, self.kind) for x in column.to_pylist()]
 
 
 def segments(ids: np.ndarray):
@@ -103,40 +109,50 @@ def segments(ids: np.ndarray):
         yield ids[start - CONTEXT : start + SEGMENT_IDS], CONTEXT
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """(word, c) of all texts; an end for each text."""
+def cut(docs: DataFrame, model: bytes) -> DataFrame:
+    """docs (doc_id, held_out, text) with ``pieces``, the bytes of each text's ids; then rows of ``word`` and ``c`` alone, partial counts of the words and ends of texts that aren't held out."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def count(batches):
-        counts: dict[bytes, int] = {}
+    def run(batches):
+        s, types = Subwords(held.value), []
 
-        def emitted():
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "c"])
-            counts.clear()
+        def counts():
+            words, c = s.counted()
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(len(c), t) for t in types), pa.nulls(len(c), pa.binary()), pa.array(words, pa.binary()), pa.array(c)], names=names)
+
+        for b in slices(batches, 2):
+            if len(s.words) > CACHE_WORDS:
+                yield from counts()
+                s.clear()
+            types = [c.type for c in b.columns]
+            places = s.places([words_of(t) for t in b.column(2).to_pylist()])
+            teaching = [p for p, out in zip(places, b.column(1).to_pylist()) if not out]
+            if teaching:
+                s.count(np.concatenate(teaching))
+            pieces = pa.array([s.ids(p).tobytes() for p in places], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, pieces, pa.nulls(b.num_rows, pa.binary()), pa.nulls(b.num_rows, pa.int64())], names=names)
+        if types:
+            yield from counts()
+
+    names = ["doc_id", "held_out", "text", "pieces", "word", "c"]
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select(*names[:3]).mapInArrow(run, f"doc_id {id_type}, held_out boolean, text string, pieces binary, word binary, c long")
 
-        for b in slices(batches):
-            for text in b.column(0).to_pylist():
-                for w in words_of(text):
-                    counts[w] = counts.get(w, 0) + 1
-                counts[END] = counts.get(END, 0) + 1
-            if len(counts) >= FLUSH_WORDS:
-                yield from emitted()
-        if counts:
-            yield from emitted()
 
-    return docs.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+def with_pieces(docs: DataFrame, model: bytes) -> DataFrame:
+    """docs (doc_id, text), which may be cut already."""
+    return docs if "pieces" in docs.columns else cut(docs.withColumn("held_out", F.lit(True)), model).filter("word IS NULL")
 
 
-def count_ids(words: DataFrame, model: bytes) -> np.ndarray:
-    size = Subwords(model).size
-    held = words.sparkSession.sparkContext.broadcast(model)
-    cache: dict = {}
+def count_ids(docs: DataFrame, model: bytes) -> np.ndarray:
+    s = Subwords(model)
+    size, kind = s.size, s.kind
 
     def add(b, total):
-        s = cache.get("s") or cache.setdefault("s", Subwords(held.value))
-        ids = s.cut(b.column(0).to_pylist())
-        total += np.bincount(np.concatenate(ids), np.repeat(np.asarray(b.column(1), np.float64), [len(x) for x in ids]), size)
+        for x in b.column(0):
+            total += np.bincount(np.frombuffer(x.as_buffer(), kind), minlength=size)
 
-    return map_sum(words, add, (size,))
+    return map_sum(docs.select("pieces"), add, (size,))
 
 
 def _epoch(model: attention.Attention, optimiser: attention.Adam, data, rate, size: int = TRAIN_WINDOWS) -> None:
@@ -160,7 +176,7 @@ def train_on_sample(docs: DataFrame, layout: attention.Layout, model: bytes, see
         s, net = Subwords(piece_model), attention.Attention(layout.blank(), layout)
         rng, texts, size = np.random.default_rng(seed), [], 0
         for b in slices(batches):
-            for ids in s.sequences(b.column(0).to_pylist()):
+            for ids in s.kept(b.column(0)):
                 if size < SAMPLE_IDS:
                     texts.append(ids[: SAMPLE_IDS - size])
                     size += len(texts[-1])
@@ -173,7 +189,7 @@ def train_on_sample(docs: DataFrame, layout: attention.Layout, model: bytes, see
                 _epoch(net, steps, (x[order], y[order], scored[order]), lambda at, e=e: LEARNING_RATE * min(1, 0.02 + 20 * (at + e) / epochs) * (1 - 0.8 * (at + e) / epochs))
         yield pa.RecordBatch.from_arrays([pa.array([net.state.astype(np.float64).tobytes()], pa.binary())], names=["m"])
 
-    state = summed(chosen.select("text").coalesce(1).mapInArrow(train, "m binary"), layout.blank().shape)
+    state = summed(with_pieces(chosen, model).select("pieces").coalesce(1).mapInArrow(train, "m binary"), layout.blank().shape)
     return state.astype(np.float32)
 
 
@@ -203,7 +219,7 @@ def train_everywhere(docs: DataFrame, state: np.ndarray, layout: attention.Layou
             size = 0
 
         for b in slices(batches):
-            for ids in s.sequences(b.column(0).to_pylist()):
+            for ids in s.kept(b.column(0)):
                 for i in range(0, len(ids), SEGMENT_IDS):
                     group.append(ids[i : i + SEGMENT_IDS])
                     size += len(group[-1])
@@ -212,7 +228,7 @@ def train_everywhere(docs: DataFrame, state: np.ndarray, layout: attention.Layou
         learn()
         yield pa.RecordBatch.from_arrays([pa.array([np.append(net.state.astype(np.float64) * seen, seen).tobytes()], pa.binary())], names=["m"])
 
-    total = summed(docs.filter(turn_of() == turn).select("text").mapInArrow(train, "m binary"), (len(state) + 1,))
+    total = summed(with_pieces(docs.filter(turn_of() == turn), model).select("pieces").mapInArrow(train, "m binary"), (len(state) + 1,))
     return (total[:-1] / total[-1]).astype(np.float32) if total[-1] else state
 
 
@@ -240,11 +256,13 @@ def score_texts(spark: SparkSession, docs: DataFrame, model: bytes) -> DataFrame
     ws = Workspace(spark, "scoring")
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     held_out = F.coalesce(crc_mod(F.col("doc_id"), 10) == 0, F.lit(False))
-    training = docs.filter(~held_out)
-    words = ws.table(count_words(training), "words")
+    cuts = ws.table(cut(docs.withColumn("held_out", held_out), model), "cuts")
+    docs = cuts.filter("word IS NULL").drop("word", "c")
+    training = docs.filter("NOT held_out")
+    words = ws.table(cuts.filter("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c")), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     denominator = math.log10(n + SMOOTHING * (v + 1))
-    layout = attention.Layout(count_ids(words, model))
+    layout = attention.Layout(count_ids(training, model))
     state = train_on_sample(training, layout, model, attention.SEED)
     for turn in range(ROUNDS):
         state = train_everywhere(training, state, layout, model, turn)
@@ -254,27 +272,27 @@ def score_texts(spark: SparkSession, docs: DataFrame, model: bytes) -> DataFrame
     def run(batches):
         keep_memory()
         piece_model, layout, state, head = held.value
-        s, net = Subwords(piece_model, head), attention.Attention(state, layout)
+        s, net = Subwords(piece_model), attention.Attention(state, layout)
         key = int.from_bytes(os.urandom(7), "little")
         for b in slices(batches, 2):
-            places = s.places([words_of(t) for t in b.column(2).to_pylist()])
-            lengths = np.array([len(p) for p in places])
-            flat = np.concatenate(places)
-            base, owner = s.base[flat], np.repeat(np.arange(len(places)), lengths)
+            texts = [[*words_of(t), END] for t in b.column(2).to_pylist()]
+            lengths = np.array([len(words) for words in texts])
+            flat = [*chain.from_iterable(texts)]
+            base, owner = np.fromiter(map(head.get, flat, repeat(math.nan)), float, len(flat)), np.repeat(np.arange(len(texts)), lengths)
             rare = np.isnan(base)
-            known, total = np.bincount(owner[~rare], minlength=len(places)), np.bincount(owner[~rare], base[~rare], len(places))
-            pairs, times = np.unique(owner[rare] * len(s.words) + flat[rare], return_counts=True)
-            tails = pa.StructArray.from_arrays([pa.array([s.words[i] for i in (pairs % len(s.words)).tolist()], pa.binary()), pa.array(times.astype(np.int64))], names=["word", "n"])
-            ends = np.searchsorted(pairs, np.arange(len(places) + 1) * len(s.words))
-            scores = _scores(net, [s.ids(p) for p in places], s.end)
-            keys = np.arange(key, key + len(places))
-            key += len(places)
+            known, total = np.bincount(owner[~rare], minlength=len(texts)), np.bincount(owner[~rare], base[~rare], len(texts))
+            pairs = Counter(zip(owner[rare].tolist(), [flat[i] for i in np.flatnonzero(rare).tolist()]))
+            tails = pa.StructArray.from_arrays([pa.array([w for _, w in pairs], pa.binary()), pa.array([*pairs.values()], pa.int64())], names=["word", "n"])
+            ends = np.searchsorted(np.array([i for i, _ in pairs], np.int64), np.arange(len(texts) + 1))
+            scores = _scores(net, s.kept(b.column(3)), s.end)
+            keys = np.arange(key, key + len(texts))
+            key += len(texts)
             columns = [pa.array(keys), b.column(0), b.column(1), pa.array(lengths.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(total), pa.array(scores / math.log(10)), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tails)]
             yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "held_out", "n_tokens", "known", "base", "score", "tail"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"key long, doc_id {id_type}, held_out boolean, n_tokens long, known long, base double, score double, tail array<struct<word:binary,n:long>>"
-    rows = ws.table(docs.select("doc_id", held_out.alias("held_out"), "text").mapInArrow(run, schema), "rows")
+    rows = ws.table(docs.select("doc_id", "held_out", "text", "pieces").mapInArrow(run, schema), "rows")
     tail = rows.select("key", F.explode("tail").alias("t")).select("key", "t.word", "t.n")
     tail = tail.join(words, "word", "left").groupBy("key").agg(
         F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("tail_known"),

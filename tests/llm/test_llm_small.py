@@ -332,6 +332,25 @@ def test_scores_do_not_depend_on_neighbours():
         assert {scoring._scores(net, [*others, one, *others], 2)[k], scoring._scores(net, [one, *others], 2)[0]} == {alone}
 
 
+def test_scores_are_the_same_at_any_place():
+    net, rng = trained(), np.random.default_rng(6)
+    for n in rng.integers(1, 100, 12):
+        one = rng.integers(0, 600, n).astype(np.int32)
+        alone = scoring._scores(net, [one], 2)[0]
+        for k in (1, 2, 5):
+            others = [rng.integers(0, 600, rng.integers(1, 200)).astype(np.int32) for _ in range(k)]
+            assert scoring._scores(net, [*others, one, *others], 2)[k] == alone
+
+
+def test_sums_of_rows_in_groups():
+    rng = np.random.default_rng(7)
+    key = np.sort(rng.zipf(1.4, 700) % 50)
+    rows = np.concatenate((rng.normal(size=(700, 5)), np.zeros((1, 5)))).astype(np.float32)
+    order, first = rng.permutation(700), np.flatnonzero(np.r_[True, np.diff(key) > 0])
+    want = [rows[order[key == k]].sum(axis=0) for k in np.unique(key)]
+    assert np.allclose(attention._sums(rows, order, first), want, atol=1e-4)
+
+
 def test_scores_see_only_what_came_before():
     net = trained()
     a = np.arange(30, dtype=np.int32)

@@ -220,6 +220,33 @@ def test_every_training_document_teaches(spark):
         assert sum(moved) == 1, i
 
 
+def test_texts_are_cut_once(spark, monkeypatch):
+    model = pieces.model_bytes()
+    texts = ODD + [prose(i, 60) for i in range(30)]
+    held = lambda i: i % 4 == 0
+    docs = table(spark, texts).withColumn("held_out", F.col("doc_id") % 4 == 0)
+    rows = scoring.cut(docs, model).cache()
+    s = scoring.Subwords(model)
+    counts = Counter()
+    for i, t in enumerate(texts):
+        words = (t or "").encode().lower().split()
+        ids = [x for w in words for x in s.sp.encode(w.decode()) or [s.sp.unk_id()]] + [s.end]
+        (kept,) = rows.filter(F.col("word").isNull() & (F.col("doc_id") == i)).collect()
+        assert np.frombuffer(kept.pieces, s.kind).tolist() == ids and kept.text == t
+        counts.update([] if held(i) else [*words, scoring.END])
+    got = rows.filter("word IS NOT NULL").groupBy("word").agg(F.sum("c")).collect()
+    assert {bytes(w): c for w, c in got} == counts
+    # what is kept teaches without the text
+    layout = attention.Layout(scoring.count_ids(rows.filter("word IS NULL AND NOT held_out"), model))
+    kept = rows.filter("word IS NULL").coalesce(1)
+    state = layout.blank()
+    want = scoring.train_everywhere(docs.coalesce(1), state, layout, model, 0)
+    monkeypatch.setattr(scoring, "turn_of", lambda: F.col("turn"))
+    turned = kept.withColumn("turn", F.pmod(F.crc32(F.concat_ws(":", F.lit("turn"), F.col("doc_id").cast("string")).cast("binary")), F.lit(scoring.ROUNDS)))
+    assert np.allclose(scoring.train_everywhere(turned.withColumn("text", F.lit(None).cast("string")), state, layout, model, 0), want, atol=1e-4)
+    assert not np.allclose(want, state, atol=1e-4)
+
+
 def test_scoring(spark, monkeypatch):
     monkeypatch.setattr(scoring, "HEAD_WORDS", 50)
     texts = ODD + [prose(i, 80) for i in range(60)]
