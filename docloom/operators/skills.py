@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from docloom.functions.text import WORD, collapse_space, once
 from docloom.functions.vocabulary import SKILLS
 
 SIMILAR = 0.85
+#: Texts of about so many characters are compared at once; bounds memory, not results.
+CHARS_AT_ONCE = 1_000_000
 
 
 def exact_skills(text: Column, skills=SKILLS) -> Column:
@@ -40,49 +44,95 @@ def ratio(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
-def phrase_windows(text: Column, skills=SKILLS) -> Column:
-    """Distinct word windows whose length admits the ratio, which is at most 2 min / (a + b), for a phrase of as many words."""
-    sizes: dict[int, list[int]] = {}
-    for s in sorted(set(skills)):
-        if " " in s:
-            sizes.setdefault(s.count(" ") + 1, []).append(len(s))
-    tokens = F.filter(F.split(text, " "), lambda w: w != "")
-
-    def fits(lengths: list[int]):
-        allowed = F.array(*map(F.lit, sorted(set(lengths))))
-        return lambda w: F.exists(allowed, lambda n: 2 * F.least(n, F.length(w)) > SIMILAR * (n + F.length(w)))
-
-    if not sizes:
-        return F.array().cast("array<string>")
-    return once(tokens, lambda t: F.array_distinct(F.concat(*(F.filter(_windows(t, k), fits(lengths)) for k, lengths in sorted(sizes.items())))))
+def _word_bits(texts: list[str]) -> tuple[np.ndarray, ...]:
+    """Of the words between spaces in all texts: first and last place in the joined texts, number of the text, and a mask of 64 bits, one for each code point modulo 64."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    edges = np.cumsum([0, *map(len, texts)])
+    gap = codes == 32
+    cut = np.zeros(len(codes) + 1, bool)  # a text begins here, or the last one has ended
+    cut[edges] = True
+    begins, ends = ~gap, ~gap
+    begins[1:] &= gap[:-1] | cut[1:-1]
+    ends[:-1] &= gap[1:] | cut[1:-1]
+    first, last = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    bits = np.left_shift(np.uint64(1), (codes & 63).astype(np.uint64))
+    bits[gap] = 0
+    masks = np.bitwise_or.reduceat(bits, first) if len(first) else bits[:0]
+    return first, last, np.searchsorted(edges, first, "right") - 1, masks
+
+
+def _may_be_similar(phrase: str, sizes: np.ndarray, masks: np.ndarray) -> np.ndarray:
+    """Places of the windows whose ratio to the phrase can be over SIMILAR.
+
+    Characters that just one of the two has are unmatched. So the matching ones
+    are at most the phrase's without ``missing``, and the window's without ``extra``.
+    """
+    mask = np.uint64(sum({1 << (ord(c) & 63) for c in phrase if c != " "}))
+    near = np.flatnonzero(2 * np.minimum(sizes, len(phrase)) > SIMILAR * (sizes + len(phrase)) - 1e-6)
+    n, m = sizes[near], masks[near]
+    missing, extra = np.bitwise_count(mask & ~m).astype(np.int64), np.bitwise_count(m & ~mask).astype(np.int64)
+    return near[2 * np.minimum(len(phrase) - missing, n - extra) > SIMILAR * (n + len(phrase)) - 1e-6]
+
+
+def similar_phrases(texts: list[str], phrases: list[str], known: dict[tuple[str, str], bool]) -> list[list[str]]:
+    """For each text the phrases that a window of as many words resembles, in the order given. ``known`` keeps pairs that bounds on all windows left."""
+    out: list[list[str]] = [[] for _ in texts]
+    whole = "".join(texts)
+    first, last, owner, bits = _word_bits(texts)
+    counts = {s: [(c, s.count(c)) for c in sorted(set(s))] for s in phrases}
+
+    def similar(s: str, w: str) -> bool:
+        if (s, w) not in known:
+            if len(known) > 100_000:
+                known.clear()
+            most = sum(min(n, w.count(c)) for c, n in counts[s])
+            known[s, w] = 2.0 * most / (len(s) + len(w)) > SIMILAR and ratio(s, w) > SIMILAR
+        return known[s, w]
+
+    windows = {}
+    for k in {s.count(" ") + 1 for s in phrases}:
+        n = max(0, len(first) - k + 1)
+        own = np.flatnonzero(owner[:n] == owner[k - 1 : k - 1 + n])
+        sizes, masks = np.full(len(own), k - 1), np.zeros(len(own), np.uint64)
+        for j in range(k):
+            sizes, masks = sizes + last[own + j] - first[own + j], masks | bits[own + j]
+        windows[k] = own, sizes, masks
+    for s in phrases:
+        k = s.count(" ") + 1
+        own, sizes, masks = windows[k]
+        for i in own[_may_be_similar(s, sizes, masks)].tolist():
+            have = out[owner[i]]
+            if not (have and have[-1] == s) and similar(s, " ".join(w for w in whole[first[i] : last[i + k - 1]].split(" ") if w)):
+                have.append(s)
+    return out
 
 
 def with_similar_skills(df: DataFrame, text: Column, to: str, skills=SKILLS) -> DataFrame:
     """df with the phrases that a window of as many words resembles (ratio over SIMILAR).
 
-    Only windows that the length filter leaves reach Python, in Arrow batches;
-    bounds on the ratio come before the ratio, and pairs are remembered.
+    Texts reach Python in Arrow batches; bounds on the ratio, for all windows of
+    some texts at once, come before the ratio, and pairs are remembered.
     """
     phrases = sorted(s for s in set(skills) if " " in s)
-    out = df.withColumn(to, phrase_windows(text, skills))
+    out = df.withColumn(to, text)
     at = out.columns.index(to)
+    shape = StructType([StructField(to, ArrayType(StringType())) if i == at else f for i, f in enumerate(out.schema)])
 
     def match(batches):
         known: dict[tuple[str, str], bool] = {}
-
-        def similar(s: str, w: str) -> bool:
-            if (s, w) not in known:
-                if len(known) > 100_000:
-                    known.clear()
-                m = SequenceMatcher(None, s, w)
-                known[s, w] = m.real_quick_ratio() > SIMILAR and m.quick_ratio() > SIMILAR and m.ratio() > SIMILAR
-            return known[s, w]
-
         for b in batches:
-            found = [[s for s in phrases if any(similar(s, w) for w in ws or () if w.count(" ") == s.count(" "))] for ws in b.column(at).to_pylist()]
+            found: list[list[str]] = []
+            texts, size = [], 0
+            for t in b.column(at):
+                texts.append(t.as_py() or "")
+                size += len(texts[-1])
+                if size > CHARS_AT_ONCE:
+                    found += similar_phrases(texts, phrases, known)
+                    texts, size = [], 0
+            found += similar_phrases(texts, phrases, known)
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())) if i == at else c for i, c in enumerate(b.columns)], names=b.schema.names)
 
-    return out.mapInArrow(match, out.schema)
+    return out.mapInArrow(match, shape)
 
 
 def search_text(text: Column, section: Column) -> Column:

@@ -38,6 +38,26 @@ def test_similar_skills_lose_nothing_to_the_length_filter(spark):
     assert got == want and got
 
 
+def test_similar_skills_compare_few_of_the_windows():
+    """Windows on texts of odd spaces and letters as without bounds, and of many windows few pairs are compared."""
+    rng = random.Random(3)
+    phrases = sorted(s for s in set(sk.SKILLS) if " " in s) + ["one two three"]
+
+    def odd(s):
+        at = rng.randrange(len(s))
+        return s[:at] + rng.choice(["", "x", "é", "  ", s[at] * 2, "\U0001f600", "\n"]) + s[at + rng.randrange(2) :]
+
+    texts = ["", " ", "power", " power  bi ", *(" ".join(odd(rng.choice(phrases)) for _ in range(rng.randrange(6))) for _ in range(300))]
+    known = {}
+    got = sk.similar_phrases(texts, phrases, known)
+    for text, found in zip(texts, got, strict=True):
+        tokens = [w for w in text.split(" ") if w]
+        assert found == [s for s in phrases if any(sk.ratio(s, " ".join(tokens[i : i + s.count(" ") + 1])) > sk.SIMILAR for i in range(len(tokens) - s.count(" ")))], text
+    words = ["".join(rng.choices("aeioutnrs", k=rng.randrange(2, 12))) for _ in range(20_000)]
+    known.clear()
+    assert sk.similar_phrases([" ".join(words)], phrases, known) == [[]] and len(known) < 0.02 * len(words) * len(phrases)
+
+
 def test_profile(spark):
     text = "Maria Lopez\nm.lopez @ mail.org\n(614) 555-0123\nSkills: Python\nExperience\nAcme Corp"
     row = pf.profile(spark.createDataFrame([(1, text), (2, None), (3, "")], "doc_id int, text string")).orderBy("doc_id").collect()
