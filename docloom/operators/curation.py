@@ -5,28 +5,40 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docloom.functions.contact import EMAIL
-from docloom.functions.text import MIN_MEANINGFUL_CHARS, SPACE, lines, strip, words
+from docloom.functions.contact import HAS_EMAIL
+from docloom.functions.text import MIN_MEANINGFUL_CHARS, SPACE, lines, n_words, once, strip
 from docloom.functions.vocabulary import QUALITY_HEADERS
 
 MAX_UPLOAD_BYTES = 10 * 1024 * 1024
 PDF_TYPES = ("application/pdf", "application/x-pdf")
 
 
-def is_garbled(token: Column) -> Column:
-    """Four or more ASCII letters without a vowel, or with five consonants in a row."""
-    t = F.regexp_replace(token, "[^a-zA-Z]", "")
-    return (F.length(t) >= 4) & (~t.rlike("(?i)[aeiou]") | t.rlike("[^aeiouAEIOU]{5,}"))
+_CONSONANT = "[bcdfghjklmnpqrstvwxyzBCDFGHJKLMNPQRSTVWXYZ]"
+#: Of words of ASCII letters: four consonants and then a fifth, with the rest of the word, or four that are the whole word.
+_GARBLED = rf"{_CONSONANT}{{4}}(?:{_CONSONANT}[a-zA-Z]*+|(?![a-zA-Z])(?<![a-zA-Z]{_CONSONANT}{{4}}))"
+
+
+def n_garbled(text: Column) -> Column:
+    """How many words have four or more ASCII letters without a vowel, or five consonants in a row, with other characters left out."""
+    return F.regexp_count(F.regexp_replace(text, rf"[^a-zA-Z{SPACE}]+", ""), F.lit(_GARBLED))
 
 
 def quality_scores(text: Column) -> dict[str, Column]:
-    """Measures of a text, the issues they raise, and the verdict."""
-    tokens, ls, low = words(text), lines(text), F.lower(text)
-    garbled = F.size(F.filter(tokens, is_garbled)) / F.greatest(F.size(tokens), F.lit(1))
-    scramble = F.size(F.filter(ls, lambda x: F.length(x) > 120)) / F.greatest(F.size(ls), F.lit(1))
-    headers = F.array_compact(F.array(*(F.when(F.contains(low, F.lit(h)), h) for h in QUALITY_HEADERS)))
-    has_email, length = text.rlike(EMAIL), F.length(text)
-    issues = F.array_compact(
+    """Measures of a text and the issues they raise."""
+    m = _measures(text)
+    return {**m, "issues": _issues(*m.values())}
+
+
+def _measures(text: Column) -> dict[str, Column]:
+    """Counts by patterns on the whole text; words get no array of their own."""
+    garbled = n_garbled(text) / F.greatest(n_words(text), F.lit(1))
+    scramble = once(lines(text), lambda ls: F.size(F.filter(ls, lambda x: F.length(x) > 120)) / F.greatest(F.size(ls), F.lit(1)))
+    headers = once(F.lower(text), lambda low: F.array_compact(F.array(*(F.when(F.contains(low, F.lit(h)), h) for h in QUALITY_HEADERS))))
+    return {"garbled_ratio": garbled, "headers_found": headers, "has_email": text.rlike(HAS_EMAIL), "text_length": F.length(text), "scramble_ratio": scramble}
+
+
+def _issues(garbled: Column, headers: Column, has_email: Column, length: Column, scramble: Column) -> Column:
+    return F.array_compact(
         F.array(
             F.when(garbled > 0.20, "garble"),
             F.when(F.size(headers) < 2, "headers"),
@@ -35,7 +47,6 @@ def quality_scores(text: Column) -> dict[str, Column]:
             F.when(scramble > 0.25, "scramble"),
         )
     )
-    return {"garbled_ratio": garbled, "headers_found": headers, "has_email": has_email, "text_length": length, "scramble_ratio": scramble, "issues": issues}
 
 
 def verdict(issues: Column) -> Column:
@@ -48,7 +59,9 @@ def verdict(issues: Column) -> Column:
 
 def with_quality(df: DataFrame, text_col: str = "text") -> DataFrame:
     """df with the measures and the verdict; null texts count as empty."""
-    out = df.withColumns(quality_scores(F.coalesce(F.col(text_col), F.lit(""))))
+    # columns of their own: the issues read them again
+    measures = _measures(F.coalesce(F.col(text_col), F.lit("")))
+    out = df.withColumns(measures).withColumn("issues", _issues(*map(F.col, measures)))
     return out.withColumn("verdict", verdict(F.col("issues")))
 
 

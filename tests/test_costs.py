@@ -13,6 +13,7 @@ from docloom.plans.queries import QUERIES
 #: Query and the most that it may take, in the time of the plain expression.
 COSTS = {
     "first_phone": 2,
+    "quality_score": 6,
 }
 
 
