@@ -14,6 +14,7 @@ from docloom.plans.queries import QUERIES
 COSTS = {
     "first_phone": 2,
     "quality_score": 6,
+    "verdict_counts": 4,
 }
 
 
