@@ -15,6 +15,7 @@ COSTS = {
     "first_phone": 2,
     "quality_score": 6,
     "verdict_counts": 4,
+    "name_score": 3.7,
 }
 
 
