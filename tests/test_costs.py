@@ -16,6 +16,7 @@ COSTS = {
     "quality_score": 6,
     "verdict_counts": 4,
     "name_score": 3.7,
+    "best_name": 2.5,
 }
 
 
