@@ -17,6 +17,7 @@ COSTS = {
     "verdict_counts": 4,
     "name_score": 3.7,
     "best_name": 2.5,
+    "experience_filter": 3.8,
 }
 
 
