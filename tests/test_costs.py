@@ -18,6 +18,7 @@ COSTS = {
     "name_score": 3.7,
     "best_name": 2.5,
     "experience_filter": 3.8,
+    "section_dedupe": 3,
 }
 
 
