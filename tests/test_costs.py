@@ -19,6 +19,7 @@ COSTS = {
     "best_name": 2.5,
     "experience_filter": 3.8,
     "section_dedupe": 3,
+    "education_filter": 2.4,
 }
 
 
