@@ -82,5 +82,7 @@ def counted_labels(df: DataFrame, n_labels: int, labels: str = "labels") -> Data
 
 def tag_histogram(df: DataFrame, tags: str = "tags", least: int = 10) -> DataFrame:
     """(tag, n, rare): counts of tags; B- tags with under ``least`` occurrences are rare."""
-    counts = df.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+    # outer: else the arrays are computed a second time, for a filter on their size
+    found = df.select(F.posexplode_outer(tags).alias("pos", "tag")).filter("pos IS NOT NULL")
+    counts = found.groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("rare", F.startswith("tag", F.lit("B-")) & (F.col("n") < least))

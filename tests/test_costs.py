@@ -20,6 +20,7 @@ COSTS = {
     "experience_filter": 3.8,
     "section_dedupe": 3,
     "education_filter": 2.4,
+    "tag_histogram": 8,
 }
 
 
