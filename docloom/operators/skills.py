@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -22,9 +23,17 @@ def exact_skills(text: Column, skills=SKILLS) -> Column:
     """Single-word skills that occur as whole words, sorted. Lower-case text with single spaces is expected."""
     if not any(" " not in s for s in skills):
         return F.array().cast("array<string>")
-    quoted = {s: "".join(c if c.isalnum() else f"\\{c}" for c in s) for s in sorted(set(skills)) if " " not in s}
+    # skills of letters and digits are looked up among the words, the others have a pattern each
+    single = sorted(s for s in set(skills) if " " not in s)
+    plain = [s for s in single if re.fullmatch("[a-z0-9]+", s)]
+    quoted = {s: "".join(c if c.isalnum() else f"\\{c}" for c in s) for s in single if s not in plain}
     bounded = {s: rf"(?<![{WORD}]){q}(?![{WORD}])" for s, q in quoted.items()}
-    return once(text, lambda t: F.array_compact(F.array(*(F.when(F.contains(t, F.lit(s)) & t.rlike(p), s) for s, p in bounded.items()))))
+
+    def found(t: Column) -> Column:
+        same = F.array_intersect(F.split(t, rf"[^{WORD}]+"), F.array(*map(F.lit, plain)).cast("array<string>"))
+        return F.concat(same, F.array_compact(F.array(*(F.when(F.contains(t, F.lit(s)) & t.rlike(p), s) for s, p in bounded.items())).cast("array<string>")))
+
+    return F.sort_array(once(F.coalesce(text, F.lit("")), found))
 
 
 def ngrams(tokens: Column, k: int) -> Column:
@@ -141,8 +150,11 @@ def search_text(text: Column, section: Column) -> Column:
 
 
 def skills(df: DataFrame, text: Column, section: Column, to: str = "skills", bank=SKILLS) -> DataFrame:
-    # a column of its own: it is read once for each skill
-    found = df.withColumn("_search", search_text(text, section))
-    out = with_similar_skills(found, F.col("_search"), "_similar", bank)
-    exact = exact_skills(F.col("_search"), bank)
-    return out.withColumn(to, F.sort_array(F.array_distinct(F.concat(exact, F.col("_similar"))))).drop("_similar", "_search")
+    return skills_in(df.withColumn("_search", search_text(text, section)), "_search", to, bank)
+
+
+def skills_in(df: DataFrame, search: str, to: str = "skills", bank=SKILLS) -> DataFrame:
+    """df with the skills in the column ``search``, which goes."""
+    found = df.withColumn("_exact", exact_skills(F.col(search), bank)).withColumnRenamed(search, "_similar")
+    out = with_similar_skills(found, F.col("_similar"), "_similar", bank)
+    return out.withColumn(to, F.sort_array(F.array_distinct(F.concat("_exact", "_similar")))).drop("_exact", "_similar")

@@ -21,6 +21,7 @@ COSTS = {
     "section_dedupe": 3,
     "education_filter": 2.4,
     "tag_histogram": 8,
+    "skills_exact": 3,
 }
 
 
