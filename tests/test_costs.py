@@ -22,6 +22,7 @@ COSTS = {
     "education_filter": 2.4,
     "tag_histogram": 8,
     "skills_exact": 3,
+    "skills": 6,
 }
 
 
