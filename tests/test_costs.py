@@ -23,6 +23,7 @@ COSTS = {
     "tag_histogram": 8,
     "skills_exact": 3,
     "skills": 6,
+    "name_candidates": 2.5,
 }
 
 
