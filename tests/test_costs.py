@@ -24,6 +24,7 @@ COSTS = {
     "skills_exact": 3,
     "skills": 6,
     "name_candidates": 2.5,
+    "debug_view": 5,
 }
 
 
