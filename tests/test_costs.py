@@ -25,6 +25,7 @@ COSTS = {
     "skills": 6,
     "name_candidates": 2.5,
     "debug_view": 5,
+    "first_span": 3,
 }
 
 
