@@ -26,6 +26,7 @@ COSTS = {
     "name_candidates": 2.5,
     "debug_view": 5,
     "first_span": 3,
+    "profile": 15,
 }
 
 
