@@ -27,6 +27,7 @@ COSTS = {
     "debug_view": 5,
     "first_span": 3,
     "profile": 15,
+    "response_json": 15,
 }
 
 
