@@ -28,6 +28,7 @@ COSTS = {
     "first_span": 3,
     "profile": 15,
     "response_json": 15,
+    "hybrid_merge": 15,
 }
 
 
