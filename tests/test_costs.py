@@ -29,6 +29,7 @@ COSTS = {
     "profile": 15,
     "response_json": 15,
     "hybrid_merge": 15,
+    "prelabel": 45,
 }
 
 

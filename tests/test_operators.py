@@ -195,6 +195,17 @@ def test_first_span(spark):
     assert [tuple(r.s) if r.s else None for r in got] == [(4, 5), (2, 12), (1, 3), None, None, (4, 7)]
 
 
+def test_first_span_in_folded_texts(spark):
+    """The same places in folded texts as by the patterns that take no heed of case."""
+    rng = random.Random(4)
+    parts = ["Power", "BI", "kelvin", "\u212aelvin", "ſql", "SQL", "ıi", "İI", "c", "C", "c++", "é", "É", "ß", "Σας", "\U0001f600", " ", " ", "-", "\n", "_", "1", "a.b", "\\E", "$", "[x", "power bi"]
+    join = lambda n: "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(n)))
+    df = spark.createDataFrame([(join(30), join(4)) for _ in range(6000)], "t string, p string").withColumn("f", sp.folded(F.col("t")))
+    got = df.select("t", "p", sp.first_span(F.col("t"), F.col("p")).alias("a"), sp.first_span(F.col("t"), F.col("p"), F.col("f")).alias("b")).collect()
+    assert all(r.a == r.b for r in got), [r for r in got if r.a != r.b][:3]
+    assert sum(r.a is not None for r in got) > 500
+
+
 def test_peak_filter(spark):
     df = spark.createDataFrame([([(0.1,), (0.19,)],), ([(0.9,), (0.44,), (0.45,)],), ([],)], "t array<struct<score:double>>")
     got = [[x.score for x in r[0]] for r in df.select(sp.above_peak(F.col("t"), sp.peak_of(F.col("t")))).collect()]
